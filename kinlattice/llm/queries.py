@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import ogg
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ogg": ogg.query,
+}
 ORACLES: dict[str, str] = {}
