@@ -89,3 +89,33 @@ def shingle_set(text: str | None, words: WordHash, width: int = 5) -> np.ndarray
         acc = acc * _P[0] + mix(h[j : n - k + 1 + j] + _P[1 + j % 4])
         acc ^= acc >> np.uint64(29)
     return np.unique(mix(acc))
+
+
+def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataFrame:
+    """Run work over Arrow batches: it gets one list per input and gives a dict of columns named by schema.
+
+    A generator is allowed too; ids keep all 64 bits, also where a column holds nulls.
+    work may be a function of no arguments that returns the function, where it has attribute 'starts'.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out_schema = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out_schema)
+    starts = getattr(work, "starts", False)
+
+    def run(batches):
+        f = work() if starts else work
+        for b in batches:
+            made = f(*(c.to_pylist() for c in b.columns))
+            for cols in [made] if isinstance(made, dict) else made:
+                yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type, from_pandas=False) for x in arrow], schema=arrow)
+
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out_schema)
+
+
+def starting(f):
+    """Mark a function that makes the function for map_columns, once per task."""
+    f.starts = True
+    return f

@@ -15,12 +15,13 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_columns, table
 
 FRAME = 576
 RATE = 8000
@@ -206,37 +207,33 @@ def feature(samples: bytes, seconds: float) -> str:
 def store(df: DataFrame, key: str = "doc_id", text: str = "text", media: str = "media") -> DataFrame:
     """One row per row of df: its key and the Ogg file that holds its text as samples."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["t"]:
-                payload, n = samples_of(t)
-                out.append(encode_samples(payload, struct.pack("<q", n)))
-            yield pd.DataFrame({key: b["k"].astype("Int64"), media: out})
+    def write(keys: list, texts: list) -> dict:
+        out = []
+        for t in texts:
+            payload, n = samples_of(t)
+            out.append(encode_samples(payload, struct.pack("<q", n)))
+        return {key: keys, media: out}
 
-    return df.selectExpr(f"cast(`{key}` as long) as k", f"`{text}` as t").mapInPandas(write, f"`{key}` long, `{media}` binary")
+    return map_columns(df, [F.col(key).cast("long"), F.col(text)], write, f"`{key}` long, `{media}` binary")
 
 
 def describe(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
     """Read stored files back: sizes, digests, features and damage."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for stored in b["m"]:
-                stored = bytes(stored) if stored is not None else b""
-                samples, meta, seconds, damage = decode_samples(stored)
-                n = struct.unpack("<q", meta)[0] if len(meta) == 8 else len(samples)
-                rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples, seconds), seconds, damage))
-            out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "damage"])
-            out.insert(0, key, b["k"].astype("Int64").to_numpy())
-            yield out
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seconds", "damage"]
+
+    def read(keys: list, files: list) -> dict:
+        rows = []
+        for stored in files:
+            stored = stored or b""
+            samples, meta, seconds, damage = decode_samples(stored)
+            n = struct.unpack("<q", meta)[0] if len(meta) == 8 else len(samples)
+            rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples, seconds), seconds, damage))
+        return {key: keys, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))} if rows else {key: [], **{n: [] for n in names}}
 
     schema = f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, damage long"
-    return df.selectExpr(f"cast(`{key}` as long) as k", f"`{media}` as m").mapInPandas(read, schema)
+    return map_columns(df, [F.col(key).cast("long"), F.col(media)], read, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return describe(store(table(spark, sf_dir, "documents")))

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg
+from . import ogg, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ogg": ogg.query,
+    "op8_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}
