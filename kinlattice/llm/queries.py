@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg, packing
+from . import language_id, ogg, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": language_id.query,
     "op6_ogg": ogg.query,
     "op8_packing": packing.query,
 }
