@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, ogg, packing
+from . import chat_format, language_id, ogg, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id.query,
     "op4_chat_format": chat_format.query,
     "op6_ogg": ogg.query,
     "op8_packing": packing.query,
+    "op9_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_format": chat_format.ORACLE,
