@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, ogg, packing, secrets
+from . import chat_format, language_id, line_dedup, ogg, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": line_dedup.query,
     "op3_language_id": language_id.query,
     "op4_chat_format": chat_format.query,
     "op6_ogg": ogg.query,
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
 }
