@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, language_id, line_dedup, ogg, packing, secrets
+from . import chat_format, decontam, language_id, line_dedup, ogg, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": line_dedup.query,
     "op3_language_id": language_id.query,
     "op4_chat_format": chat_format.query,
+    "op5_decontam": decontam.query,
     "op6_ogg": ogg.query,
     "op8_packing": packing.query,
     "op9_secrets": secrets.query,
