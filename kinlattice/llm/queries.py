@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, language_id, line_dedup, ogg, packing, secrets
+from . import chat_format, decontam, language_id, line_dedup, lm_scoring, ogg, packing, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_line_dedup": line_dedup.query,
     "op3_language_id": language_id.query,
     "op4_chat_format": chat_format.query,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": secrets.query,
 }
 ORACLES: dict[str, str] = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
 }
