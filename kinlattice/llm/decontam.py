@@ -36,10 +36,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """body of value, which is evaluated once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shingles(words: Column, width: int) -> Column:
     """Hashes of the shingles of an array of words, in order; none where it has fewer words."""
-    n = F.size(words) - (width - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+
+    def made(w: Column) -> Column:
+        n = F.size(w) - (width - 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, width)))).otherwise(none)
+
+    return let(words, made)
 
 
 def simhash(hashes: str) -> Column:
