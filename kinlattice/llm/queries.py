@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontam, language_id, line_dedup, lm_scoring, ogg, packing, secrets
+from . import chat_format, decontam, language_id, line_dedup, lm_scoring, ngram_join, ogg, packing, secrets, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": lm_scoring.query,
@@ -15,8 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_chat_format": chat_format.query,
     "op5_decontam": decontam.query,
     "op6_ogg": ogg.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_packing": packing.query,
     "op9_secrets": secrets.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLES: dict[str, str] = {
     "op1_lm_scoring": lm_scoring.query,
