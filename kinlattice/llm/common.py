@@ -115,6 +115,11 @@ def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataF
     return df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out_schema)
 
 
+def columns(names, rows: list) -> dict[str, list]:
+    """Rows as named lists, also where there is no row."""
+    return {n: [r[i] for r in rows] for i, n in enumerate(names)}
+
+
 def starting(f):
     """Mark a function that makes the function for map_columns, once per task."""
     f.starts = True

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_columns, mix, shingle_set, staged, starting, table
+from .common import WordHash, columns, map_columns, mix, shingle_set, staged, starting, table
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
@@ -110,7 +110,7 @@ def unshared(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
             for b, v, o in dealt:
                 of, n = np.unique(o, return_counts=True)
                 rows.append((b, ids[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u4").tobytes()))
-            return dict(zip(("bucket", "ids", "n", "values"), map(list, zip(*rows, strict=True)), strict=True))
+            return columns(("bucket", "ids", "n", "values"), rows)
 
         return run
 
@@ -213,7 +213,7 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
         for b, v, o in _deal(np.concatenate(values), np.concatenate(owner), buckets):
             of, n = np.unique(o, return_counts=True)
             rows.append((b, ids[of].tobytes(), labels[of].tobytes(), sizes[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u8").tobytes()))
-        return dict(zip(("bucket", "ids", "labels", "sizes", "n", "values"), map(list, zip(*rows, strict=True)), strict=True))
+        return columns(("bucket", "ids", "labels", "sizes", "n", "values"), rows)
 
     packed = map_columns(sets, [F.col(c) for c in ("cid", "n", "set", "label")], emit, "bucket int, ids binary, labels binary, sizes binary, n binary, values binary").repartition(buckets, "bucket")
 

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, table
+from .common import columns, map_columns, table
 
 FRAME = 576
 RATE = 8000
@@ -229,7 +229,7 @@ def describe(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFr
             samples, meta, seconds, damage = decode_samples(stored)
             n = struct.unpack("<q", meta)[0] if len(meta) == 8 else len(samples)
             rows.append((n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(samples, seconds), seconds, damage))
-        return {key: keys, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))} if rows else {key: [], **{n: [] for n in names}}
+        return {key: keys, **columns(names, rows)}
 
     schema = f"`{key}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, damage long"
     return map_columns(df, [F.col(key).cast("long"), F.col(media)], read, schema)

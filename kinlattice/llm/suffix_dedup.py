@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, mix, staged, table
+from .common import columns, map_columns, mix, staged, table
 
 DEPTH = 200
 STRETCH = 150
@@ -146,7 +146,7 @@ def repeated_anchors(docs: DataFrame, buckets: int, text: str = "text") -> DataF
         if len(known):
             of, n = np.unique(owner[known], return_counts=True)
             rows.append((int(keys[known[0]] % np.uint64(buckets)), ids[of].tobytes(), n.astype("<u4").tobytes(), b"", place[known].astype("<u4").tobytes(), b""))
-        return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+        return columns(names, rows)
 
     schema = "bucket int, ids binary, n binary, keys binary, places binary, known binary"
     packed = map_columns(docs, [F.col(text)], emit, schema).repartition(buckets, "bucket")
@@ -218,7 +218,7 @@ def repeated_starts(held: DataFrame, buckets: int) -> DataFrame:
                     b"".join(e[0][2] for e in some),
                 )
             )
-        return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
+        return columns(names, rows)
 
     schema = "bucket int, ids binary, keys binary, shift binary, starts binary, sizes binary, count binary, bytes binary"
     packed = map_columns(held, [F.col("a"), F.col("t"), F.col("places")], emit, schema).repartition(buckets, "bucket")
