@@ -16,11 +16,14 @@ in alphabetical order; repeated rows and equal texts get equal results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, table
+from .common import map_columns, starting, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -188,52 +191,77 @@ def fit(docs: DataFrame, sample_rows: int = 600, windows_per_text: int = 4, key:
     return net
 
 
+def classifier(net: Network | None):
+    """A function from texts to languages and scores."""
+    tables = net.tables() if net else None
+
+    def run(texts: list) -> tuple[list[str], list[float]]:
+        lang, score = [UNKNOWN] * len(texts), [1.0] * len(texts)
+        pending: list[tuple[int, np.ndarray]] = []
+
+        def settle() -> None:
+            if not pending:
+                return
+            x = np.concatenate([w for _, w in pending])
+            lp = np.concatenate([net.log_probs(x[i : i + 64], tables) for i in range(0, len(x), 64)])
+            letters = ((x >= 1) & (x <= 26) | (x >= 32)).sum(axis=1) + 1e-9
+            at = np.cumsum([0, *(len(w) for _, w in pending)])[:-1]
+            mean = np.add.reduceat(lp * letters[:, None], at) / np.add.reduceat(letters, at)[:, None]
+            p = np.exp(mean - mean.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            for (i, _), row in zip(pending, p, strict=True):
+                lang[i], score[i] = net.labels[int(row.argmax())], float(row.max())
+            pending.clear()
+
+        held = 0
+        for i, t in enumerate(texts):
+            if not t or not any(map(str.isalpha, t)):
+                continue
+            if net is None:
+                score[i] = 0.0
+                continue
+            w = windows(t.encode("utf-8", "surrogatepass"))
+            pending.append((i, w))
+            held += len(w)
+            if held >= 2000:
+                settle()
+                held = 0
+        settle()
+        return lang, score
+
+    return run
+
+
 def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred and score for every row of docs, from its whole text."""
 
+    @starting
     def work():
-        tables = net.tables() if net else None
-
-        def run(keys: list, texts: list) -> dict:
-            lang, score = [UNKNOWN] * len(texts), [1.0] * len(texts)
-            pending: list[tuple[int, np.ndarray]] = []
-            held = 0
-
-            def settle() -> None:
-                nonlocal pending, held
-                if not pending:
-                    return
-                x = np.concatenate([w for _, w in pending])
-                lp = np.concatenate([net.log_probs(x[i : i + 64], tables) for i in range(0, len(x), 64)])
-                letters = ((x >= 1) & (x <= 26) | (x >= 32)).sum(axis=1) + 1e-9
-                at = np.cumsum([0, *(len(w) for _, w in pending)])[:-1]
-                mean = np.add.reduceat(lp * letters[:, None], at) / np.add.reduceat(letters, at)[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                for (i, _), row in zip(pending, p, strict=True):
-                    lang[i], score[i] = net.labels[int(row.argmax())], float(row.max())
-                pending, held = [], 0
-
-            for i, t in enumerate(texts):
-                if not t or not any(map(str.isalpha, t)):
-                    continue
-                if net is None:
-                    score[i] = 0.0
-                    continue
-                w = windows(t.encode("utf-8", "surrogatepass"))
-                pending.append((i, w))
-                held += len(w)
-                if held >= 2000:
-                    settle()
-            settle()
+        run = classifier(net)
+
+        def named(keys: list, texts: list) -> dict:
+            lang, score = run(texts)
             return {key: keys, "lang_pred": lang, "score": score}
 
-        return run
+        return named
 
-    work.starts = True
     return map_columns(docs, [F.col(key).cast("long"), F.col(text)], work, f"`{key}` long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, text: str = "text") -> DataFrame:
+    """docs without the rows that have no letters, or a score under least; the same columns."""
+
+    @F.pandas_udf("lang string, score double")
+    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        run = classifier(net)
+        for texts in batches:
+            lang, score = run([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang": lang, "score": score})
+
+    held = docs.withColumn("_guess", guess(F.col(text)))
+    return held.where((F.col("_guess.lang") != UNKNOWN) & (F.col("_guess.score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def held_out(key: str = "doc_id"):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1
 

@@ -377,7 +377,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest key. Rows without shingles all stay."""
+    """docs with one document of each component: that with the smallest key.
+
+    Rows without shingles all stay; rows with one key and text are one document and stay together.
+    """
     found = join(docs, key, text).select(F.col(key).alias("_k"), "component_id", "n_shingles").distinct()
     stay = found.where(F.col("_k").isNull() | (F.col("_k") == F.col("component_id"))).select("_k").distinct()
     first = docs.join(stay, docs[key].eqNullSafe(stay["_k"]), "left_semi")
