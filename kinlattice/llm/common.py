@@ -46,7 +46,7 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
 
 
-_P = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], dtype=np.uint64)
+_P = np.array([0x9E3779B97F4A7C15], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,10 +84,10 @@ def shingle_set(text: str | None, words: WordHash, width: int = 5) -> np.ndarray
         return np.empty(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, tokens), np.uint64, n)
     k = min(width, n)
-    acc = np.full(n - k + 1, np.uint64(k), np.uint64)
-    for j in range(k):
-        acc = acc * _P[0] + mix(h[j : n - k + 1 + j] + _P[1 + j % 4])
-        acc ^= acc >> np.uint64(29)
+    acc = h[: n - k + 1] + np.uint64(k)
+    for j in range(1, k):
+        acc *= _P[0]
+        acc += h[j : n - k + 1 + j]
     return np.unique(mix(acc))
 
 

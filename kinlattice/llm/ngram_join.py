@@ -27,6 +27,7 @@ a component's number unless no other is there.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -39,9 +40,9 @@ from .common import WordHash, columns, map_columns, mix, shingle_set, staged, st
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
-BUCKET = 2_000_000  # sampled shingles, or signatures, that one task holds at a time
-LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8), (5, 9)]  # k2 and n2, by rising selectivity and cost
-LINK = 0.75
+BUCKET = 1_000_000  # sampled shingles, or signatures, that one task holds at a time
+LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
+SLACK = 5  # quarters
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -151,23 +152,22 @@ _BANDS = _bands()
 
 
 def choose(sets: int) -> tuple[int, int]:
-    """k2 and n2 for a band of so many sets: the first whose chance meetings are few for each set.
-
-    A signature covers c = 3.5 (k2 + 1) (n2 - k2) / n2 shingles of a set on average, is empty with a
-    chance of e^-c, and two unrelated sets meet mostly on empty ones.
-    """
-    for k2, n2 in LADDER:
-        c = 3.5 * (k2 + 1) * (n2 - k2) / n2 * 0.85
-        if sets * 100 * math.comb(n2, k2) * math.exp(-2 * c) <= 2:
-            break
-    return k2, n2
+    """k2 and n2 for a band of so many sets: a step up the ladder for every tenfold number."""
+    return LADDER[min(len(LADDER) - 1, max(0, int(math.log10(max(sets, 1) / 2000))))]
 
 
 def signatures(s: np.ndarray, band: int, shape: tuple[int, int]) -> np.ndarray:
-    """PartEnum signatures of a set in a band."""
+    """PartEnum signatures of a set in a band.
+
+    There are SLACK times as many parts as the pigeonhole principle asks for, so that a linked set
+    differs in at most k2 places in at least `good` of them. Subsets that hold no shingle of the set
+    tell nothing; where fewer than `good` parts have such a subset, one of the good parts has none, and
+    the signatures of empty subsets are left out without losing a link.
+    """
     k = 2 * int(_BANDS[band]) // 7
     k2, n2 = min(shape[0], k), shape[1]
-    n1 = -(-(k + 1) // (k2 + 1))
+    n1 = -(-(k + 1) * SLACK // (4 * (k2 + 1)))
+    good = n1 - k // (k2 + 1)
     h = mix(s ^ _CH)
     cell = ((h >> np.uint64(20)) % np.uint64(n1) * np.uint64(n2) + (h & np.uint64(0xFFFF)) % np.uint64(n2)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
@@ -177,15 +177,25 @@ def signatures(s: np.ndarray, band: int, shape: tuple[int, int]) -> np.ndarray:
     if len(c):
         sums[c[first]] = np.add.reduceat(mix(h + _CH)[order], first)
     sums = sums.reshape(n1, n2)
-    subsets = list(itertools.combinations(range(n2), n2 - k2))
-    pick = np.zeros((n2, len(subsets)), np.uint64)
-    for j, sub in enumerate(subsets):
-        pick[list(sub), j] = 1
-    out = np.zeros((n1, len(subsets)), np.uint64)
+    held = np.bincount(cell, minlength=n1 * n2).reshape(n1, n2)
+    pick = _subsets(n2, n2 - k2)
+    full = held @ pick > 0
+    out = np.zeros(full.shape, np.uint64)
     for i in range(n2):
-        out += sums[:, i : i + 1] * pick[i]
+        out += sums[:, i : i + 1] * pick[i].astype(np.uint64)
     place = mix((np.arange(out.size, dtype=np.uint64) + np.uint64(1)) * _CH + np.uint64(band << 40))
-    return mix(out.ravel() ^ place)
+    out = mix(out.ravel() ^ place)
+    return out[full.ravel()] if np.count_nonzero(~full.all(axis=1)) < good else out
+
+
+@functools.lru_cache(maxsize=64)
+def _subsets(n: int, size: int) -> np.ndarray:
+    """A column for each subset of so many of n things, 1 where a thing is in it."""
+    subsets = list(itertools.combinations(range(n), size))
+    pick = np.zeros((n, len(subsets)), np.int64)
+    for j, sub in enumerate(subsets):
+        pick[list(sub), j] = 1
+    return pick
 
 
 def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, mode: str) -> DataFrame:
@@ -196,24 +206,27 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
     """
     buckets = _buckets(sets.sparkSession, total)
 
-    def emit(ids: list, sizes: list, stored: list, labels: list) -> dict:
-        values, owner = [], []
-        for i, (n, raw) in enumerate(zip(sizes, stored, strict=True)):
+    names = ("bucket", "ids", "labels", "sizes", "n", "values")
+
+    def emit(ids: list, sizes: list, stored: list, labels: list):
+        ids, labels, sizes = np.array(ids, np.int64), np.array(labels, np.int64), np.array(sizes, np.int64)
+        values, owner, held = [], [], 0
+        for i, raw in enumerate(stored):
             s = np.frombuffer(raw, "<u8")
-            b = int(band_of(n))
+            b = int(band_of(len(s)))
             for band, native in ((b, 1), (b + 1, 0)):
                 if band in shapes:
                     v = signatures(s, band, shapes[band])
                     values.append((v & ~np.uint64(1)) | np.uint64(native))
                     owner.append(np.full(len(v), i))
-        if not values:
-            return {k: [] for k in ("bucket", "ids", "labels", "sizes", "n", "values")}
-        ids, labels, sizes = np.array(ids, np.int64), np.array(labels, np.int64), np.array(sizes, np.int64)
-        rows = []
-        for b, v, o in _deal(np.concatenate(values), np.concatenate(owner), buckets):
-            of, n = np.unique(o, return_counts=True)
-            rows.append((b, ids[of].tobytes(), labels[of].tobytes(), sizes[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u8").tobytes()))
-        return columns(("bucket", "ids", "labels", "sizes", "n", "values"), rows)
+                    held += len(v)
+            if held and (held > 500_000 or i == len(stored) - 1):
+                rows = []
+                for bucket, v, o in _deal(np.concatenate(values), np.concatenate(owner), buckets):
+                    of, n = np.unique(o, return_counts=True)
+                    rows.append((bucket, ids[of].tobytes(), labels[of].tobytes(), sizes[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u8").tobytes()))
+                yield columns(names, rows)
+                values, owner, held = [], [], 0
 
     packed = map_columns(sets, [F.col(c) for c in ("cid", "n", "set", "label")], emit, "bucket int, ids binary, labels binary, sizes binary, n binary, values binary").repartition(buckets, "bucket")
 
@@ -351,7 +364,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for r in bucketed.collect():  # one row a band
         per[r["band"]] = r["c"]
     shapes = {b: choose(per.get(b, 0) + per.get(b - 1, 0)) for b in {x for y in per for x in (y, y + 1)} if per.get(b, 0)}
-    weight = sum(c * 2 * math.comb(*reversed(choose(c))) / 3.5 * int(_BANDS[b]) / (choose(c)[0] + 1) for b, c in per.items())
+    weight = sum(c * 2.5 * int(_BANDS[b]) * 2 / 7 * math.comb(shapes[b][1], shapes[b][0]) / (shapes[b][0] + 1) for b, c in per.items())
     links, labels, tested = None, None, None
     for mode in ("best", "star", "all") if per else ():
         marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", "set", F.coalesce("label", "cid").alias("label"))
