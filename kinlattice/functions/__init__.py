@@ -1 +1 @@
-"""Part of kinlattice."""
+"""Column expressions and small driver-side helpers."""

@@ -1 +1 @@
-"""Part of kinlattice."""
+"""Table-to-table operators."""

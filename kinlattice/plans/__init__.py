@@ -1 +1 @@
-"""Part of kinlattice."""
+"""Pipelines, reports and the catalogue of named queries."""

@@ -1 +1 @@
-"""Part of kinlattice."""
+"""Readers and writers."""

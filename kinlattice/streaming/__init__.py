@@ -1 +1 @@
-"""Part of kinlattice."""
+"""Incremental operators."""
