@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 REQUIRED = ["species", "name", "sequence"]
 RESERVED = [*REQUIRED, "uid", "ott", "alignment", "keep", "always_keep"]
 NEWICK_RESERVED = "();#:,'\""
 ROW = "row_id"
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 
-HITS = T.StructType.fromDDL(
+HITS = (
     "accession string, hit_def string, hit_id string, title string, length int, e_value double, bits double, "
     "sequence string, subject_start int, subject_end int, query_start int, query_end int, query string"
 )
-SITES = T.StructType.fromDDL("anc string, site int, gap boolean, ml_state string, ml_pp double, alt_state string, alt_pp double, site_type string, entropy double")
+SITES = "anc string, site int, gap boolean, ml_state string, ml_pp double, alt_state string, alt_pp double, site_type string, entropy double"
 QUALITY_FLAGS = ["low_quality", "partial", "predicted", "precursor", "hypothetical", "isoform", "structure"]
 
 
