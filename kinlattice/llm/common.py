@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
@@ -46,7 +47,7 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
 
 
-_P = np.array([0x9E3779B97F4A7C15], np.uint64)
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,23 +73,56 @@ class WordHash(dict):
         return value
 
 
-def shingle_set(text: str | None, words: WordHash, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text.
+def shingle_sets(texts: list, words: WordHash, width: int = 5, chunk: int = 200_000) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its word shingles.
 
     Letters A-Z are lower-cased; words are what lies between ASCII white space. A text of fewer
     words than width has its whole word sequence as its only shingle; one without words has none.
+    Texts are hashed together, up to about chunk words at a time.
     """
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
-    n = len(tokens)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, tokens), np.uint64, n)
-    k = min(width, n)
-    acc = h[: n - k + 1] + np.uint64(k)
-    for j in range(1, k):
-        acc *= _P[0]
-        acc += h[j : n - k + 1 + j]
-    return np.unique(mix(acc))
+    out: list[np.ndarray] = []
+    held: list[list[bytes]] = []
+    size = 0
+
+    def settle() -> None:
+        nonlocal held, size
+        n = [len(t) for t in held]
+        h = np.fromiter(map(words.__getitem__, itertools.chain.from_iterable(held)), np.uint64, sum(n))
+        acc = np.zeros(max(0, len(h) - width + 1), np.uint64)
+        for j in range(width):
+            acc *= _MULTIPLIER
+            acc += h[j : len(acc) + j]
+        acc = mix(acc + np.uint64(width))
+        at = 0
+        for k in n:
+            if k >= width:
+                s = np.sort(acc[at : at + k - width + 1])
+                new = np.empty(len(s), bool)
+                new[0] = True
+                np.not_equal(s[1:], s[:-1], out=new[1:])
+                out.append(s[new])
+            elif k:
+                one = np.zeros(1, np.uint64)
+                for x in h[at : at + k]:
+                    one = one * _MULTIPLIER + x
+                out.append(mix(one + np.uint64(k)))
+            else:
+                out.append(np.empty(0, np.uint64))
+            at += k
+        held, size = [], 0
+
+    for t in texts:
+        tokens = t.encode("utf-8", "surrogatepass").lower().split() if t else []
+        held.append(tokens)
+        size += len(tokens)
+        if size >= chunk:
+            settle()
+    settle()
+    return out
+
+
+def shingle_set(text: str | None, words: WordHash, width: int = 5) -> np.ndarray:
+    return shingle_sets([text], words, width)[0]
 
 
 def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataFrame:

@@ -13,8 +13,11 @@ Documents with equal sets form a class, and only one set of a class goes on. For
    band share a signature. k2 and n2 are chosen for each band by the number of its sets.
 3. Verification. Sets that share a signature are compared exactly. A signature's sets are first
    compared with one of them (a star), so that a group of copies needs as many comparisons as it has
-   sets; then one set of each component found so far with that of the others; at last all pairs that
-   share a signature and still lie in different components. No pair is left out that could join two.
+   sets; then one set of each component found so far with another hub, STARS times; at last all pairs
+   that share a signature and still lie in different components, unless their sizes and unshared shingles
+   exclude a link. Where more than HEAVY sets share a signature, these pairs never become rows: the sets
+   are dealt into blocks, and a task counts the common shingles of two blocks. No pair is left out that
+   could join two components.
 4. Components of the links, by smallest label, in joins that stay on the executors.
 
 All shuffles carry fixed-size records, or packed arrays whose buckets are made as small as a parameter
@@ -28,54 +31,38 @@ a component's number unless no other is there.
 from __future__ import annotations
 
 import functools
+import hashlib
 import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, columns, map_columns, mix, shingle_set, staged, starting, table
+from .common import WordHash, columns, map_columns, mix, shingle_sets, staged, starting, table
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
+STARS = 3
 BUCKET = 1_000_000  # sampled shingles, or signatures, that one task holds at a time
 LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
 SLACK = 5  # quarters
+HEAVY = 128  # sets that share a signature, above which pairs are looked for in tiles
+TILE = 200_000  # shingles of a block of sets
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return np.asarray(x, np.uint64).view(np.int64)
-
-
-def set_ids(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles and the set's 128-bit identity s1, s2 for every row."""
-
-    @starting
-    def work():
-        import xxhash
-
-        words = WordHash()
-
-        def run(keys: list, texts: list) -> dict:
-            n, one, two = [], [], []
-            for t in texts:
-                s = shingle_set(t, words, WIDTH)
-                d = xxhash.xxh3_128_digest(s.tobytes())
-                n.append(len(s))
-                one.append(int.from_bytes(d[:8], "little", signed=True))
-                two.append(int.from_bytes(d[8:], "little", signed=True))
-            return {key: keys, "n_shingles": n, "s1": one, "s2": two}
-
-        return run
+def _buckets(spark, total: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET), 1)
 
-    return map_columns(docs, [F.col(key).cast("long"), F.col(text)], work, f"`{key}` long, n_shingles long, s1 long, s2 long")
 
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    import xxhash
 
-def _buckets(spark, total: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET), 1)
+    d = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
 def _deal(values: np.ndarray, owner: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -86,36 +73,53 @@ def _deal(values: np.ndarray, owner: np.ndarray, buckets: int) -> list[tuple[int
     return [(int(b[order[i]]), values[order[i:j]], owner[order[i:j]]) for i, j in zip(edges, edges[1:], strict=False)]
 
 
-def unshared(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
-    """s1 and how many sampled shingles of that set no other set has (left out where none)."""
-    buckets = _buckets(docs.sparkSession, total * SAMPLED // 16)
+PACKED = ("bucket", "ids", "n", "values")
 
-    @starting
-    def emit():
-        import xxhash
 
+def _pack(ids: list, sets: list[np.ndarray], buckets: int) -> list[tuple]:
+    """Rows bucket, ids, n, values: what each bucket gets of several sets, 32 bits of each shingle."""
+    if not sets:
+        return []
+    ids = np.array(ids, np.int64)
+    rows = []
+    for b, v, o in _deal(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), buckets):
+        of, n = np.unique(o, return_counts=True)
+        rows.append((b, ids[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u4").tobytes()))
+    return rows
+
+
+def scanned(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One pass over the texts. Rows with bucket -1 hold keys, sizes and 128-bit identities of sets; the
+    others what a bucket gets of the sampled shingles of each different set in a batch."""
+
+    @starting
+    def work():
         words = WordHash()
 
-        def run(texts: list) -> dict:
-            ids, parts = [], []
-            for t in set(texts):
-                s = shingle_set(t, words, WIDTH)
-                if len(s) >= 3:
-                    ids.append(int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True))
-                    parts.append(s[(s >> np.uint64(32)) & np.uint64(15) < SAMPLED])
-            if not parts:
-                return {"bucket": [], "ids": [], "n": [], "values": []}
-            dealt = _deal(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), buckets)
-            ids = np.array(ids, np.int64)
-            rows = []
-            for b, v, o in dealt:
-                of, n = np.unique(o, return_counts=True)
-                rows.append((b, ids[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u4").tobytes()))
-            return columns(("bucket", "ids", "n", "values"), rows)
+        def run(keys: list, texts: list) -> dict:
+            sets = shingle_sets(texts, words, WIDTH)
+            own = [_identity(s) for s in sets]
+            some = {i[0]: s for i, s in zip(own, sets, strict=True) if len(s) >= 3}
+            part = [s[(s >> np.uint64(32)) & np.uint64(15) < SAMPLED] for s in some.values()]
+            packed = _pack(list(some), part, buckets)
+            none = [None] * len(packed)
+            out = columns(PACKED, packed)
+            return {
+                "key": keys + none,
+                "n_shingles": [len(s) for s in sets] + none,
+                "s1": [i[0] for i in own] + none,
+                "s2": [i[1] for i in own] + none,
+                "bucket": [-1] * len(keys) + out["bucket"],
+                **{c: [None] * len(keys) + out[c] for c in PACKED[1:]},
+            }
 
         return run
 
-    packed = map_columns(docs, [F.col(text)], emit, "bucket int, ids binary, n binary, values binary").repartition(buckets, "bucket")
+    return map_columns(docs, [F.col(key).cast("long"), F.col(text)], work, "key long, n_shingles long, s1 long, s2 long, bucket int, ids binary, n binary, values binary")
+
+
+def unshared(packed: DataFrame, buckets: int) -> DataFrame:
+    """id and u: how many of a set's packed values no other set has (left out where none)."""
 
     def count(batches):
         held: dict[int, list] = {}
@@ -131,9 +135,10 @@ def unshared(docs: DataFrame, total: int, text: str = "text") -> DataFrame:
             first = np.flatnonzero(np.diff(v.astype(np.int64), prepend=-1))
             low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
             of, u = np.unique(low[low == high], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(u)], names=["s1", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(u)], names=["id", "u"])
 
-    return packed.mapInArrow(count, "s1 long, u long").groupBy("s1").agg(F.sum("u").alias("u"))
+    dealt = packed.select(*PACKED).repartition(buckets, "bucket")
+    return dealt.mapInArrow(count, "id long, u long").groupBy("id").agg(F.sum("u").alias("u"))
 
 
 def band_of(n: int) -> int:
@@ -198,18 +203,18 @@ def _subsets(n: int, size: int) -> np.ndarray:
     return pick
 
 
-def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, mode: str) -> DataFrame:
-    """Pairs a < b of cid that share a signature and have different labels.
+def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, mode: str, heavy_from: int) -> DataFrame:
+    """Pairs a, b of cid that share a signature, could be linked by their sizes, and have different labels.
 
-    sets: cid, n, set, label. mode 'best': for each set the hub that it meets most often; 'star': one set of each
-    label with that of the smallest label; 'all': every pair.
+    sets: cid, n, u, set, label. Of n shingles u are in no other set, so that two sets have at most
+    m = min(n - u) in common. mode 'best': for each set the hub, the smallest set of a signature, that it
+    meets most often; 'star' and a number: one set of each label with a hub chosen by hash; 'all': every pair.
     """
     buckets = _buckets(sets.sparkSession, total)
+    names = ("bucket", "ids", "labels", "sizes", "common", "n", "values")
 
-    names = ("bucket", "ids", "labels", "sizes", "n", "values")
-
-    def emit(ids: list, sizes: list, stored: list, labels: list):
-        ids, labels, sizes = np.array(ids, np.int64), np.array(labels, np.int64), np.array(sizes, np.int64)
+    def emit(ids: list, sizes: list, alone: list, stored: list, labels: list):
+        ids, labels, sizes, alone = (np.array(x, np.int64) for x in (ids, labels, sizes, alone))
         values, owner, held = [], [], 0
         for i, raw in enumerate(stored):
             s = np.frombuffer(raw, "<u8")
@@ -224,11 +229,12 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
                 rows = []
                 for bucket, v, o in _deal(np.concatenate(values), np.concatenate(owner), buckets):
                     of, n = np.unique(o, return_counts=True)
-                    rows.append((bucket, ids[of].tobytes(), labels[of].tobytes(), sizes[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u8").tobytes()))
+                    rows.append((bucket, ids[of].tobytes(), labels[of].tobytes(), sizes[of].tobytes(), (sizes - alone)[of].tobytes(), n.astype("<u4").tobytes(), v.astype("<u8").tobytes()))
                 yield columns(names, rows)
                 values, owner, held = [], [], 0
 
-    packed = map_columns(sets, [F.col(c) for c in ("cid", "n", "set", "label")], emit, "bucket int, ids binary, labels binary, sizes binary, n binary, values binary").repartition(buckets, "bucket")
+    schema = "bucket int, ids binary, labels binary, sizes binary, common binary, n binary, values binary"
+    packed = map_columns(sets, [F.col(c) for c in ("cid", "n", "u", "set", "label")], emit, schema).repartition(buckets, "bucket")
 
     def meet(batches):
         held: dict[int, list] = {}
@@ -237,60 +243,127 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
                 held.setdefault(b, []).append(row)
         for b in list(held):
             rows = held.pop(b)
-            n = [np.frombuffer(r[3], "<u4") for r in rows]
-            ids, labels, sizes = (np.concatenate([np.repeat(np.frombuffer(r[j], "<i8"), c) for r, c in zip(rows, n, strict=True)]) for j in range(3))
-            v = np.concatenate([np.frombuffer(r[4], "<u8") for r in rows])
+            n = [np.frombuffer(r[4], "<u4") for r in rows]
+            ids, labels, sizes, common = (np.concatenate([np.repeat(np.frombuffer(r[j], "<i8"), c) for r, c in zip(rows, n, strict=True)]) for j in range(4))
+            v = np.concatenate([np.frombuffer(r[5], "<u8") for r in rows])
             del rows
-            for x, y in _pairs(v, ids, labels, sizes, mode):
-                pairs, count = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count)], names=["a", "b", "c"])
+            for x, y, heavy in _pairs(v, ids, labels, sizes, common, mode, heavy_from):
+                pairs, count = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count), pa.array(np.full(len(count), heavy))], names=["a", "b", "c", "heavy"])
 
-    found = packed.mapInArrow(meet, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    found = packed.mapInArrow(meet, "a long, b long, c long, heavy boolean").groupBy("a", "b", "heavy").agg(F.sum("c").alias("c"))
     if mode == "best":
-        return found.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b")
-    return found.select("a", "b")
+        return found.groupBy("b").agg(F.max_by("a", F.struct("c", -F.col("a"))).alias("a")).select("a", "b", F.lit(False).alias("heavy"))
+    return found.select("a", "b", "heavy")
+
 
+def could_link(n1, m1, n2, m2):
+    """Whether sets of n shingles, of which others have m, can have a similarity of 3/4."""
+    inter = np.minimum(m1, m2)
+    return 100 * inter >= 75 * (n1 + n2 - inter)
 
-def _pairs(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, mode: str):
-    """Arrays of pairs from a bucket's signatures, in batches."""
+
+def _pairs(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, common: np.ndarray, mode: str, heavy_from: int):
+    """Arrays of pairs (hub or smaller, other) from a bucket's signatures, in batches."""
     sig = v >> np.uint64(1)
-    order = np.lexsort((ids, labels, sig))
-    sig, v, ids, labels, sizes = sig[order], v[order], ids[order], labels[order], sizes[order]
+    if mode == "all":
+        order = np.lexsort((ids, labels, sig))
+    elif mode == "best":  # the smallest set of a signature is its hub: it is the likeliest to be contained in the others
+        order = np.lexsort((ids, sizes, sig))
+    else:  # another hub each time: that of the smallest hash
+        order = np.lexsort((mix(ids.view(np.uint64) + np.uint64(int(_CH) * (int(mode[4:]) + 1) % (1 << 64))), sig))
+    sig, v, ids, labels, sizes, common = (x[order] for x in (sig, v, ids, labels, sizes, common))
     native = (v & np.uint64(1)).astype(bool)
     first = np.flatnonzero(np.diff(sig.view(np.int64), prepend=sig.view(np.int64)[:1] - 1)) if len(sig) else np.empty(0, np.int64)
     size = np.diff(np.append(first, len(sig)))
-    several = labels[first] != labels[first + size - 1]
-    first, size = first[several], size[several]
+    first, size = first[size > 1], size[size > 1]
     if mode != "all":
         hub = np.repeat(first, size)
-        at = np.concatenate([np.arange(f, f + s) for f, s in zip(first, size, strict=True)]) if len(first) else np.empty(0, np.int64)
-        ok = labels[at] != labels[hub]
-        ok[1:] &= (labels[at[1:]] != labels[at[:-1]]) | (hub[1:] != hub[:-1])  # the first of each label
-        ok &= (native[at] | native[hub]) & (4 * np.minimum(sizes[at], sizes[hub]) >= 3 * np.maximum(sizes[at], sizes[hub]))
-        if ok.any():
-            yield ids[hub[ok]], ids[at[ok]]
+        at = np.concatenate([np.arange(f, f + s) for f, s in zip(first.tolist(), size.tolist(), strict=True)]) if len(first) else np.empty(0, np.int64)
+        ok = (labels[at] != labels[hub]) & (native[at] | native[hub]) & could_link(sizes[at], common[at], sizes[hub], common[hub])
+        at, hub = at[ok], hub[ok]
+        if mode != "best" and len(at):  # one set of each label meets the hub
+            order = np.lexsort((labels[at], hub))
+            at, hub = at[order], hub[order]
+            new = np.append(True, (hub[1:] != hub[:-1]) | (labels[at[1:]] != labels[at[:-1]]))
+            at, hub = at[new], hub[new]
+        if len(at):
+            yield ids[hub], ids[at], False
         return
+    several = labels[first] != labels[first + size - 1]
+    first, size = first[several], size[several]
     seen: set[bytes] = set()
     xs, ys, held = [], [], 0
+    hubs, members = [], []
+    rank = mix(ids.view(np.uint64) + _CH)
     for f, s in zip(first.tolist(), size.tolist(), strict=True):
         span = slice(f, f + s)
-        mark = ids[span].tobytes() + native[span].tobytes()
+        mark = hashlib.blake2b(ids[span].tobytes() + native[span].tobytes(), digest_size=16).digest()
         if mark in seen:  # another signature of the same sets
             continue
         seen.add(mark)
-        i, l, z, nat = ids[span], labels[span], sizes[span], native[span]
+        i, l, z, m, nat = ids[span], labels[span], sizes[span], common[span], native[span]
+        if s > heavy_from:
+            hubs.append(np.full(s, i[rank[span].argmin()]))
+            members.append(i)
+            continue
         for j in range(s - 1):
-            ok = (l[j + 1 :] != l[j]) & (nat[j + 1 :] | nat[j]) & (4 * np.minimum(z[j + 1 :], z[j]) >= 3 * np.maximum(z[j + 1 :], z[j]))
+            ok = (l[j + 1 :] != l[j]) & (nat[j + 1 :] | nat[j]) & could_link(z[j + 1 :], m[j + 1 :], z[j], m[j])
             y = i[j + 1 :][ok]
             if len(y):
-                xs.append(np.full(len(y), i[j]))
-                ys.append(y)
+                xs.append(np.minimum(i[j], y))
+                ys.append(np.maximum(i[j], y))
                 held += len(y)
         if held > 500_000:
-            yield np.concatenate(xs), np.concatenate(ys)
+            yield np.concatenate(xs), np.concatenate(ys), False
             xs, ys, held = [], [], 0
     if held:
-        yield np.concatenate(xs), np.concatenate(ys)
+        yield np.concatenate(xs), np.concatenate(ys), False
+    if hubs:
+        x, y = np.concatenate(hubs), np.concatenate(members)
+        yield x[x != y], y[x != y], True
+
+
+def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
+    """Links a, b between sets of different labels within groups that are too large for single pairs.
+
+    groups: node, label of groups of sets. A group's sets are dealt into blocks of bounded size, and each
+    pair of blocks is one task's work, which counts common shingles by their postings and gives only links.
+    """
+    of = sets.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
+    size = of.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / tile), F.lit(1)).cast("int").alias("blocks"))
+    held = of.join(size, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    held = held.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cid", "label", "n", "u", "set")
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf["i"].iloc[0])
+        left = np.flatnonzero(pdf["own"].to_numpy() == first)
+        right = np.flatnonzero(pdf["own"].to_numpy() == int(pdf["j"].iloc[0]))
+        cid, label, n = (pdf[c].to_numpy() for c in ("cid", "label", "n"))
+        m = n - pdf["u"].to_numpy()
+        stored = [np.frombuffer(x, "<u8") for x in pdf["set"]]
+        out: list[np.ndarray] = []
+        values = np.concatenate([stored[k] for k in right])
+        owner = np.repeat(np.arange(len(right)), n[right])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        for k in left.tolist():
+            ok = (label[right] != label[k]) & could_link(n[right], m[right], n[k], m[k])
+            if not ok.any():
+                continue
+            a, b = np.searchsorted(values, stored[k], "left"), np.searchsorted(values, stored[k], "right")
+            size = b - a
+            places = np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())
+            inter = np.bincount(owner[places], minlength=len(right))
+            ok &= 100 * inter >= 75 * (n[right] + n[k] - inter)
+            hit = cid[right[ok]]
+            if len(hit):
+                out.append(np.stack([np.minimum(cid[k], hit), np.maximum(cid[k], hit)], 1))
+        got = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1]})
+
+    return held.groupBy("g", "i", "j").applyInPandas(work, "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -328,57 +401,68 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = HEAVY, tile: int = TILE) -> DataFrame:
     """key, n_shingles and component_id for every row of docs."""
     spark = docs.sparkSession
-    ids = staged(set_ids(docs, key, text), "ids")
+    chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = _buckets(spark, chars // 6 * SAMPLED // 16)
+    scan = staged(scanned(docs, buckets, key, text), "scan")
+    ids = scan.where("bucket < 0").select(F.col("key").alias(key), "n_shingles", "s1", "s2")
     classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"))
-    total = ids.agg(F.sum("n_shingles")).first()[0] or 0
-    alone = unshared(docs, total, text)
+    alone = unshared(scan.where("bucket >= 0"), buckets).withColumnRenamed("id", "s1")
     survivors = staged(classes.where("n >= 3").join(alone, "s1", "left").where("rep IS NOT NULL AND 4 * coalesce(u, 0) <= n").select("s1", "s2", "n", "rep"), "survivors")
     of = survivors.select(F.col("rep").alias("k"), "s1", "s2", "n")
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(of, "k")
 
     @starting
     def fetch():
-        import xxhash
-
         words = WordHash()
 
-        def run(s1: list, ts: list) -> dict:
-            out, got = [], []
-            for one, t in zip(s1, ts, strict=True):
-                s = shingle_set(t, words, WIDTH)
-                if int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == one:
-                    out.append(one)
-                    got.append(s)
-            return {"cid": out, "n": [len(s) for s in got], "set": [s.astype("<u8").tobytes() for s in got]}
+        def run(s1: list, s2: list, ts: list) -> dict:
+            rows = [(i, len(s), s.astype("<u8").tobytes()) for i, j, s in zip(s1, s2, shingle_sets(ts, words, WIDTH), strict=True) if _identity(s) == (i, j)]
+            return columns(("cid", "n", "set"), rows)
 
         return run
 
-    sets = staged(map_columns(texts, [F.col("s1"), F.col("t")], fetch, "cid long, n long, set binary").dropDuplicates(["cid"]), "sets")
-    sizes = sets.groupBy("n").agg(F.count("*").alias("c"))
-    per: dict[int, int] = {}
+    fetched = staged(map_columns(texts, [F.col("s1"), F.col("s2"), F.col("t")], fetch, "cid long, n long, set binary").dropDuplicates(["cid"]), "sets")
+    held = fetched.agg(F.sum("n")).first()[0] or 0
+    if not held:
+        return _labelled(ids, classes, survivors, None, key)
+
+    def whole(cids: list, stored: list) -> dict:
+        return columns(PACKED, _pack(cids, [np.frombuffer(s, "<u8") for s in stored], _buckets_of_sets))
+
+    _buckets_of_sets = _buckets(spark, held)
+    exact = unshared(map_columns(fetched, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary"), _buckets_of_sets)
+    sets = staged(fetched.join(exact.withColumnRenamed("id", "cid"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
     edges = [int(x) for x in _BANDS[:-1] if x < 1 << 31]
-    bucketed = sizes.groupBy(F.expr("size(filter(array(" + ",".join(map(str, edges)) + "), e -> e < n))").alias("band")).agg(F.sum("c").alias("c"))
-    for r in bucketed.collect():  # one row a band
-        per[r["band"]] = r["c"]
-    shapes = {b: choose(per.get(b, 0) + per.get(b - 1, 0)) for b in {x for y in per for x in (y, y + 1)} if per.get(b, 0)}
+    band = F.expr("size(filter(array(" + ",".join(map(str, edges)) + "), e -> e < n))")
+    per = {r["band"]: r["c"] for r in sets.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()}  # one row a band
+    shapes = {b: choose(c + per.get(b - 1, 0)) for b, c in per.items()}
     weight = sum(c * 2.5 * int(_BANDS[b]) * 2 / 7 * math.comb(shapes[b][1], shapes[b][0]) / (shapes[b][0] + 1) for b, c in per.items())
     links, labels, tested = None, None, None
-    for mode in ("best", "star", "all") if per else ():
-        marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", "set", F.coalesce("label", "cid").alias("label"))
-        pairs = _meetings(marked, shapes, int(weight), mode)
+    for mode in ("best", *(f"star{i}" for i in range(STARS)), "all"):
+        marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label"))
+        met = staged(_meetings(marked, shapes, int(weight), mode, heavy), "met")
+        pairs = met.where("NOT heavy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = staged(linked(pairs, sets), "links")
+        found = linked(pairs, sets)
+        large = met.where("heavy").select("a", "b")
+        if mode == "all" and not large.isEmpty():
+            found = found.unionByName(tiled(marked, components(large), tile))
+        new = staged(found, "links")
         if new.isEmpty():
             continue
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    whole = classes
+    return _labelled(ids, classes, survivors, labels, key)
+
+
+def _labelled(ids: DataFrame, classes: DataFrame, survivors: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
+    """Components' smallest keys, from labels of classes to rows."""
     if labels is not None:
         reps = labels.join(survivors.select(F.col("s1").alias("node"), "rep"), "node")
         least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))

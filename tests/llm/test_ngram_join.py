@@ -53,11 +53,11 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(docs, seed):
+@pytest.mark.parametrize(("seed", "heavy", "tile"), [(1, 128, 200_000), (2, 1, 300), (3, 2, 10**6)])
+def test_against_brute_force(docs, seed, heavy, tile):
     rows = corpus(seed)
     df = docs(rows).withColumnRenamed("n_chars", "component_id").repartition(5)
-    got = sorted((tuple(r) for r in nj.join(df).collect()), key=repr)
+    got = sorted((tuple(r) for r in nj.join(df, heavy=heavy, tile=tile).collect()), key=repr)
     assert got == brute(rows)
     assert len({r[2] for r in got}) < len(rows) - 15
 
