@@ -159,11 +159,13 @@ def load_trees(newicks: dict[str, str]) -> Node:
     for k, t in trees.items():
         if sorted(n.name for n in t.leaves()) != leaves:
             raise TableError(f"{k}: the trees have different leaves")
+    rooted_keys = {s for s, _ in splits(base)}
     for k, t in trees.items():
+        same = {s for s, _ in splits(t)} == rooted_keys  # rooted alike: the root's two sides are two nodes
         value = (lambda n: n.support) if k in ("anc_pp", "bs_support") else (lambda n: n.name or (None if n.support is None else f"{n.support:g}"))
         found: dict[str, tuple[int, object]] = {}
         spare = None
-        for s, n in splits(t, rooted=False):
+        for s, n in splits(t, rooted=same):
             if not n.children:
                 continue
             if s == "ROOT":
@@ -171,7 +173,7 @@ def load_trees(newicks: dict[str, str]) -> Node:
             elif value(n) is not None and (s not in found or len(n.children) > found[s][0]):
                 found[s] = (len(n.children), value(n))
         lacking = []
-        for s, n in splits(base, rooted=False):
+        for s, n in splits(base, rooted=same):
             if n.children and s in found:
                 n.props[k] = found[s][1]
             elif n.children:

@@ -55,21 +55,25 @@ def read_table(spark: SparkSession, path: str, remove_extra_index: bool = True,
 def write_table(df: DataFrame, path: str, overwrite: bool = False, single: bool = True, validate: bool = True) -> None:
     """Delimited text by extension, text in quotes; an existing path is an error unless overwrite."""
     out = check_table(df) if validate else df
-    if ROW in out.columns:
-        out = out.orderBy(ROW).drop(ROW) if single else out.drop(ROW)
+    order = F.col(ROW) if ROW in out.columns else F.monotonically_increasing_id()
+    ranked = out.withColumn("_order", order.cast("long")).drop(ROW)
+    out = out.drop(ROW)
     low = path.lower()
     if low.endswith(SHEETS):
         try:
             import openpyxl  # noqa: F401
         except ImportError as e:
             raise TableError("spreadsheets need openpyxl") from e
-        out.toPandas().to_excel(path, index=False)  # a spreadsheet holds about a million rows at most
+        ranked.orderBy("_order").drop("_order").toPandas().to_excel(path, index=False)  # a spreadsheet holds about a million rows at most
         return
     text = [c for c, kind in out.dtypes if kind == "string"]
     sep = "\t" if low.endswith(".tsv") else ","
     quoted = lambda c: F.when(F.col(f"`{c}`").isNotNull(), F.concat(F.lit('"'), F.replace(F.col(f"`{c}`"), F.lit('"'), F.lit('""')), F.lit('"')))
     cells = [F.coalesce(quoted(c) if c in text else F.col(f"`{c}`").cast("string"), F.lit("")) for c in out.columns]
-    lines = out.select(F.concat_ws(sep, *cells).alias("value"))
-    header = df.sparkSession.createDataFrame([(sep.join('"' + c.replace('"', '""') + '"' for c in out.columns),)], "value string")
-    lines = header.unionByName(lines)
-    (lines.coalesce(1) if single else lines).write.mode("overwrite" if overwrite else "error").text(path)
+    mode = "overwrite" if overwrite else "error"
+    if not single:
+        out.write.mode(mode).option("sep", sep).option("header", True).option("escape", '"').csv(path)
+        return
+    lines = ranked.select("_order", F.concat_ws(sep, *cells).alias("value"))
+    header = df.sparkSession.createDataFrame([(-(1 << 62), sep.join('"' + c.replace('"', '""') + '"' for c in out.columns))], "_order long, value string")
+    header.unionByName(lines).repartition(1).sortWithinPartitions("_order").select("value").write.mode(mode).text(path)

@@ -40,7 +40,7 @@ def running_support(trees: DataFrame, newick: str = "value") -> DataFrame:
 class Halves:
     """Counts of splits in two halves of the replicates, kept between micro-batches in a table.
 
-    Each micro-batch adds its trees to one half or the other by a hash of the tree; the weighted distance of
+    Each micro-batch adds its trees to one half or the other by a hash of its place; the weighted distance of
     the halves tells whether more replicates would still change the support. Stops its query at cutoff.
     """
 
@@ -52,7 +52,7 @@ class Halves:
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         if self.done:
             return
-        half = F.pmod(F.xxhash64("value"), F.lit(2)).cast("int")
+        half = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(epoch)), F.lit(2)).cast("int")
         rows = batch.withColumn("half", half)
         for h in (0, 1):
             # one row a split of the trees, whose number the number of taxa bounds
