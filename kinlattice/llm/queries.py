@@ -24,7 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
-    "op1_lm_scoring": lm_scoring.query,
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
 }
