@@ -15,8 +15,8 @@ Documents with equal sets form a class, and only one set of a class goes on. For
    compared with one of them (a star), so that a group of copies needs as many comparisons as it has
    sets; then one set of each component found so far with another hub, STARS times; at last all pairs
    that share a signature and still lie in different components, unless their sizes and unshared shingles
-   exclude a link. Where more than HEAVY sets share a signature, these pairs never become rows: the sets of
-   their labels are dealt into blocks, and a task counts the common shingles of two blocks. No pair is left out that
+   exclude a link. Where more than HEAVY sets share a signature, these pairs never become rows: the sets
+   are dealt into blocks, and a task counts the common shingles of two blocks. No pair is left out that
    could join two components.
 4. Components of the links, by smallest label, in joins that stay on the executors.
 
@@ -50,8 +50,8 @@ BUCKET = 1_000_000  # sampled shingles, or signatures, that one task holds at a
 LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
 SLACK = 5  # quarters
 ROUGH = 8  # the stars look at one in so many signatures, the last round at all
-HEAVY = 32  # sets that share a signature, above which pairs are looked for in tiles
-TILE = 100_000  # shingles of a block of sets
+HEAVY = 128  # sets that share a signature, above which pairs are looked for in tiles
+TILE = 150_000  # shingles of a block of sets
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -210,7 +210,7 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
     sets: cid, n, u, set, label. Of n shingles u are in no other set, so that two sets have at most
     m = min(n - u) in common. mode 'best': for each set the hub, the smallest set of a signature, that it
     meets most often; 'star' and a number: one set of each label with a hub chosen by hash; 'all': every pair.
-    heavy rows are pairs of labels: where more than heavy_from sets share a signature, a forest over their labels.
+    Where more than heavy_from sets share a signature, the rows are heavy and only a forest over these sets.
     """
     part = 1 if mode == "all" else ROUGH
     buckets = _buckets(sets.sparkSession, total // part)
@@ -315,7 +315,7 @@ def _pairs(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray
         seen.add(mark)
         i, l, z, m, nat = ids[span], labels[span], sizes[span], common[span], native[span]
         if s > heavy_from:
-            different = np.unique(l).tolist()
+            different = i.tolist()
             for other in different[1:]:
                 x, y = root(different[0]), root(other)
                 if x != y:
@@ -342,10 +342,10 @@ def _pairs(v: np.ndarray, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray
 def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     """Links a, b between sets of different labels within groups that are too large for single pairs.
 
-    groups: node, label of groups of labels. A group's sets are dealt into blocks of bounded size, and each
+    groups: node, label of groups of sets. A group's sets are dealt into blocks of bounded size, and each
     pair of blocks is one task's work, which counts common shingles by their postings and gives only links.
     """
-    of = sets.join(groups.select(F.col("node").alias("label"), F.col("label").alias("g")), "label")
+    of = sets.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
     size = of.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / tile), F.lit(1)).cast("int").alias("blocks"))
     held = of.join(size, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
