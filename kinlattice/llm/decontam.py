@@ -162,3 +162,37 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = matches(docs, table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start_word", "window_words", "n_windows")
+
+
+# every window by brute force; items of five words or more, which all items of the driver's tables have
+ORACLE = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), ds AS (
+  SELECT doc_id, text, list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) AS s FROM d WHERE len(w) >= 5
+), its AS (
+  SELECT item_id, list_transform(range(1, len(w) - 3), lambda j: array_to_string(w[j:j + 4], ' ')) AS s FROM i WHERE len(w) >= 5
+), du AS (
+  SELECT doc_id, text, unnest(s) AS g FROM ds
+), iu AS (
+  SELECT item_id, unnest(s) AS g FROM its
+), c AS (
+  SELECT DISTINCT du.doc_id, du.text, iu.item_id FROM du JOIN iu ON du.g = iu.g
+), win AS (
+  SELECT c.doc_id, c.text, c.item_id, least(len(its.s), len(ds.s)) AS size, len(its.s) AS want, ds.s, unnest(range(0, len(ds.s) - least(len(its.s), len(ds.s)) + 1)) AS start
+  FROM c JOIN ds ON c.doc_id = ds.doc_id AND c.text = ds.text JOIN its ON c.item_id = its.item_id
+), wu AS (
+  SELECT doc_id, text, item_id, start, size, want, unnest(s[start + 1:start + size]) AS g FROM win
+), wc AS (
+  SELECT doc_id, text, item_id, start, size, want, g, count(*) AS n FROM wu GROUP BY ALL
+), ic AS (
+  SELECT item_id, g, count(*) AS n FROM iu GROUP BY ALL
+), sim AS (
+  SELECT doc_id, text, wc.item_id, start, size, sum(least(wc.n, ic.n)) / (size + want - sum(least(wc.n, ic.n))) AS sim
+  FROM wc JOIN ic ON wc.item_id = ic.item_id AND wc.g = ic.g GROUP BY doc_id, text, wc.item_id, start, size, want
+)
+SELECT doc_id, item_id, round(max(sim), 6) AS similarity, arg_min(start, (-sim, start))::BIGINT AS start_word, (any_value(size) + 4)::BIGINT AS window_words, count(*)::BIGINT AS n_windows
+FROM sim WHERE sim >= 0.75 GROUP BY doc_id, text, item_id
+"""

@@ -26,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
+    "op5_decontam": decontam.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
 }
