@@ -28,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat_format.ORACLE,
     "op5_decontam": decontam.ORACLE,
     "op7_ngram_join": ngram_join.ORACLE,
+    "op10_suffix_dedup": suffix_dedup.ORACLE,
 }

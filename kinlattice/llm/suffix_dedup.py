@@ -357,3 +357,30 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 def query(spark, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
+# every window's hash by brute force, over hexadecimal digits
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), s AS (
+  SELECT rid, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200
+), k AS (
+  SELECT rid, i, hash(substr(h, 2 * i + 1, 400)) AS g FROM s
+), r AS (
+  SELECT rid, i FROM k WHERE g IN (SELECT g FROM k GROUP BY g HAVING count(*) > 1)
+), p AS (
+  SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM r
+), q AS (
+  SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM p
+), sp AS (
+  SELECT rid, min(i) AS a, max(i) + 200 AS b FROM q GROUP BY rid, run
+), sq AS (
+  SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS pb FROM sp
+), g AS (
+  SELECT d.rid, count(*) AS spans, sum(b - a) AS gone, string_agg(substr(h, 2 * pb + 1, 2 * (a - pb)), '' ORDER BY a) AS head, max(b) AS last FROM sq JOIN d ON sq.rid = d.rid GROUP BY d.rid
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN g.rid IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN g ON d.rid = g.rid
+"""
