@@ -46,17 +46,19 @@ from .common import WordHash, columns, map_columns, mix, shingle_sets, staged, s
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
 STARS = 3
-BUCKET = 1_000_000  # sampled shingles, or signatures, that one task holds at a time
+BROADCAST_ROWS = 500_000
+COUNTED = 4_000_000  # values of shingles that one task holds at a time to count unshared ones
+BUCKET = 1_000_000  # signatures that one task holds at a time
 LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
 SLACK = 5  # quarters
 ROUGH = 8  # the stars look at one in so many signatures, the last round at all
-HEAVY = 128  # sets that share a signature, above which pairs are looked for in tiles
+HEAVY = 64  # sets that share a signature, above which pairs are looked for in tiles
 TILE = 150_000  # shingles of a block of sets
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _buckets(spark, total: int) -> int:
-    return max(2 * spark.sparkContext.defaultParallelism, -(-total // BUCKET), 1)
+def _buckets(spark, total: int, each: int = BUCKET) -> int:
+    return max(2 * spark.sparkContext.defaultParallelism, -(-total // each), 1)
 
 
 def _identity(s: np.ndarray) -> tuple[int, int]:
@@ -345,7 +347,7 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     groups: node, label of groups of sets. A group's sets are dealt into blocks of bounded size, and each
     pair of blocks is one task's work, which counts common shingles by their postings and gives only links.
     """
-    of = sets.join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
+    of = sets.join(_small(groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))), "cid")
     size = of.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / tile), F.lit(1)).cast("int").alias("blocks"))
     held = of.join(size, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -381,10 +383,17 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     return held.groupBy("g", "i", "j").applyInPandas(work, "a long, b long")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows of a few numbers; it is counted first."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose sets have a similarity of 3/4 or more."""
-    left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a")
-    both = left.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b")
+    """Those of the pairs a, b whose sets have a similarity of 3/4 or more. pairs: a table that can be read twice."""
+    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")).join(_small(pairs), "b")
+    hubs = staged(pairs.select("a").distinct(), "hubs")
+    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")).join(_small(hubs), "a", "left_semi")
+    both = right.join(left, "a")
 
     def verify(a: list, b: list, sa: list, sb: list) -> dict:
         keep = []
@@ -420,7 +429,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     """key, n_shingles and component_id for every row of docs."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = _buckets(spark, chars // 6 * SAMPLED // 16)
+    buckets = _buckets(spark, chars // 6 * SAMPLED // 16, COUNTED)
     scan = staged(scanned(docs, buckets, key, text), "scan")
     ids = scan.where("bucket < 0").select(F.col("key").alias(key), "n_shingles", "s1", "s2")
     classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"))
@@ -447,7 +456,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     def whole(cids: list, stored: list) -> dict:
         return columns(PACKED, _pack(cids, [np.frombuffer(s, "<u8") for s in stored], _buckets_of_sets))
 
-    _buckets_of_sets = _buckets(spark, held)
+    _buckets_of_sets = _buckets(spark, held, COUNTED)
     exact = unshared(map_columns(fetched, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary"), _buckets_of_sets)
     sets = staged(fetched.join(exact.withColumnRenamed("id", "cid"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
     edges = [int(x) for x in _BANDS[:-1] if x < 1 << 31]
@@ -457,7 +466,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     weight = sum(c * 2.5 * int(_BANDS[b]) * 2 / 7 * math.comb(shapes[b][1], shapes[b][0]) / (shapes[b][0] + 1) for b, c in per.items())
     links, labels, tested = None, None, None
     for mode in ("best", *(f"star{i}" for i in range(STARS)), "all"):
-        marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(labels, sets["cid"] == labels["node"], "left").select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label"))
+        marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(_small(labels), sets["cid"] == labels["node"], "left").select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label"))
         met = staged(_meetings(marked, shapes, int(weight), mode, heavy), "met")
         pairs = met.where("NOT heavy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
