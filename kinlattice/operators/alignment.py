@@ -69,8 +69,10 @@ def run_lengths(df: DataFrame, by: list[str], order: list[str], value: str) -> D
 def polish_rule(scores: DataFrame, partial: str = "partial", fx_sparse: float = 0.9, run: float = 0.9, fx_missing: float = 0.9) -> DataFrame:
     """Add drop: rows at or over both sparse cutoffs, or partial rows at or over the missing cutoff.
 
-    The cutoffs are order statistics of the scores; a run cutoff of 0 means none.
+    The cutoffs are order statistics of the scores, which are kept for the four uses that are made of them;
+    a run cutoff of 0 means none.
     """
+    scores = scores.persist()
     c = rank_cutoff(scores, "fx_in_sparse", fx_sparse).select(F.col("cutoff").alias("_c1"))
     c = c.crossJoin(rank_cutoff(scores, "sparse_run_length", run).select(F.col("cutoff").cast("double").alias("_c2")))
     c = c.crossJoin(rank_cutoff(scores, "fx_missing_dense", fx_missing).select(F.col("cutoff").alias("_c3")))

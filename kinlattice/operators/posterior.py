@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import Pattern
 from ..schema import ROW
 
-DOUBLINGS = 12
+DOUBLINGS = 7  # enough for bit scores up to 65 000 times the temperature
 
 
 def shares(hits: DataFrame, query: str, bits: str, marks: dict[str, Column], temperature: float = 1.0) -> DataFrame:

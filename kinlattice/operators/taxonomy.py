@@ -93,8 +93,9 @@ def tree_paths(edges: DataFrame, node: str = "node", parent: str = "parent", lim
     reach = 1
     while reach < limit:
         a, b = closure.alias("a"), closure.where("distance > 0").alias("b")
-        more = a.join(b, F.col("a.ancestor") == F.col("b.node")).where(F.col("a.distance") == reach).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        more = a.join(b, F.col("a.ancestor") == F.col("b.node")).where(F.col("a.distance") == reach).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")).persist()  # read by each later round
         if more.isEmpty():
+            more.unpersist()
             return closure
         closure = closure.unionByName(more)
         reach *= 2
