@@ -86,3 +86,36 @@ def test_linked_sets_share_a_signature():
             assert abs(int(nj.band_of(len(a))) - int(nj.band_of(len(b)))) <= 1
             for shape in nj.LADDER:
                 assert set(nj.signatures(a, int(band), shape).tolist()) & set(nj.signatures(b, int(band), shape).tolist())
+
+
+@pytest.mark.parametrize("tile", [40, 10**6])
+def test_tiles_find_all_links(spark, tile):
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64))
+    sets = []
+    for _ in range(50):
+        keep = base[rng.random(len(base)) < 0.9]
+        own = rng.integers(0, 1 << 63, int(rng.integers(0, 9))).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([keep, own])))
+    rows = [(i, len(s), 0, bytearray(s.astype("<u8").tobytes()), i // 2) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "cid long, n long, u long, set binary, label long")
+    groups = spark.createDataFrame([(i, 0) for i in range(50)], "node long, label long")
+    want = set()
+    for i in range(50):
+        for j in range(i):
+            inter = len(np.intersect1d(sets[i], sets[j]))
+            if i // 2 != j // 2 and 4 * inter >= 3 * (len(sets[i]) + len(sets[j]) - inter):
+                want.add((j, i))
+    assert {(r.a, r.b) for r in nj.tiled(df, groups, tile).collect()} == want and len(want) > 50
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)]
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    label = {x: x for p in links for x in p}
+    for _ in range(200):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in nj.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == label
