@@ -359,6 +359,8 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
         right = np.flatnonzero(pdf["own"].to_numpy() == int(pdf["j"].iloc[0]))
         cid, label, n = (pdf[c].to_numpy() for c in ("cid", "label", "n"))
         m = n - pdf["u"].to_numpy()
+        if not len(left) or not len(right):  # a block without sets
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
         stored = [np.frombuffer(x, "<u8") for x in pdf["set"]]
         out: list[np.ndarray] = []
         values = np.concatenate([stored[k] for k in right])
