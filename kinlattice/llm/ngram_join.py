@@ -53,7 +53,7 @@ LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by risin
 SLACK = 5  # quarters
 ROUGH = 8  # the stars look at one in so many signatures, the last round at all
 HEAVY = 64  # sets that share a signature, above which pairs are looked for in tiles
-TILE = 150_000  # shingles of a block of sets
+TILE = 800_000  # shingles of a block of sets
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
