@@ -438,7 +438,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     alone = unshared(scan.where("bucket >= 0"), buckets).withColumnRenamed("id", "s1")
     survivors = staged(classes.where("n >= 3").join(alone, "s1", "left").where("rep IS NOT NULL AND 4 * coalesce(u, 0) <= n").select("s1", "s2", "n", "rep"), "survivors")
     of = survivors.select(F.col("rep").alias("k"), "s1", "s2", "n")
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(of, "k")
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(_small(of), "k")
 
     @starting
     def fetch():
