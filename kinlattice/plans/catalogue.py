@@ -249,8 +249,8 @@ def greedy_dedup(spark, d):
 
 @query()
 def in_group_dedup(spark, d):
-    docs = table(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 80).alias("head"), F.col("n_chars").alias("rank"))
-    return dedup.greedy_blocks(docs, ["source"], "head", ["rank", "doc_id"], ["doc_id"], 0.9).select("doc_id", "stays")
+    docs = table(spark, d, "documents").select("source", "doc_id", "text", F.col("n_chars").alias("rank"))
+    return dedup.greedy_blocks(docs, ["source"], "text", ["rank", "doc_id"], ["doc_id"], 0.9).select("doc_id", "stays")
 
 
 @query("""
