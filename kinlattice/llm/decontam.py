@@ -4,14 +4,15 @@ Words are runs of letters and digits in lower case; shingles are WIDTH consecuti
 an item that has fewer). For an item of w words a window is w consecutive words of a document, or the
 whole document where it is shorter.
 
-1. A window that shares no shingle with any item has similarity 0, so only windows that hold at least
-   one item shingle go on: documents' shingles meet the items' shingles by hash.
+1. Documents' shingles meet the items' shingles by hash. A pair of that similarity has a least number of
+   shingles in common, so only windows with as many places of item shingles go on; none of the others
+   can match.
 2. Each such window gets a SimHash of 64 bits in which every shingle votes by its frequency.
 3. Multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and an item and a window meet in the
    first block on which they agree; by the pigeonhole principle no pair within RADIUS is missed.
-   At similarity 0.75 two fingerprints differ by 11 bits with a deviation of 3, so that a radius of 23
-   misses about one pair in thirty thousand, and far fewer above.
-4. Pairs within the radius are verified: the sum of the smaller frequencies over the sum of the larger
+   Repeated shingles vote as often as they stand, so that like texts can differ by more bits: pairs
+   beyond RADIUS meet in the first shingle that they have in common.
+4. All these pairs are verified: the sum of the smaller frequencies over the sum of the larger
    ones, over all shingles of both, must be SIMILARITY or more.
 
 DataFrame functions only. The items' shingles are broadcast only up to BROADCAST_ROWS of them, beyond
@@ -122,20 +123,28 @@ def _of_width(held: DataFrame, items: DataFrame, k: int, hint, similarity: float
     hit = hit.select("_r1", "_r2", "doc_id", shingles(words_of(F.col("t")), k).alias("hs"), F.explode("by_size").alias("s"))
     span = F.least(F.col("s.n_words") - (k - 1), F.size("hs"))  # shingles in a window
     hit = hit.select("_r1", "_r2", "doc_id", "hs", F.col("s.n_words").alias("n_words"), F.col("s.seeds").alias("seeds"), span.alias("span"))
-    starts = F.expr("array_distinct(flatten(transform(seeds, p -> sequence(greatest(0, p - span + 1), least(p, size(hs) - span)))))")
+    # shingles in common that this similarity takes, of span and n_words - (k - 1); starts whose window has as many seeds
+    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.col("span") + F.col("n_words") - (k - 1)) - 1e-6).cast("int"))
+    hit = hit.withColumns({"need": need, "seeds": F.array_sort("seeds")})
+    runs = "filter(transform(seeds, (p, i) -> struct(greatest(0, get(seeds, i + need - 1) - span + 1) AS a, least(p, size(hs) - span) AS b, i + need <= size(seeds) AS has)), r -> r.has AND r.a <= r.b)"
+    starts = F.expr(f"array_distinct(flatten(transform({runs}, r -> sequence(r.a, r.b))))")
     wins = hit.withColumn("start", F.explode(starts)).select("_r1", "_r2", "doc_id", "n_words", "start", F.expr("slice(hs, start + 1, span)").alias("win"))
     masks = F.array(*[F.lit(m) for m in block_masks(radius)])
 
-    def blocks(df: DataFrame) -> DataFrame:
-        cut = F.transform(F.col("_masks"), lambda m: F.col("fp").bitwiseAND(m))
-        return df.withColumn("_masks", masks).select(*df.columns, F.posexplode(cut).alias("block", "value"))
+    def keyed(df: DataFrame, hashes: str) -> DataFrame:
+        """A row for each block of the fingerprint, and one of block -1 for each distinct shingle."""
+        cut = F.transform(F.col("_masks"), lambda m, i: F.struct(i.alias("block"), F.col("fp").bitwiseAND(m).alias("value")))
+        own = F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(-1).alias("block"), h.alias("value")))
+        return df.withColumn("_masks", masks).select(*df.columns, F.inline(F.concat(cut, own)))
 
-    left = blocks(wins.withColumn("fp", simhash("win")))
-    right = blocks(items.select("item_id", "n_words", "item_hashes").withColumn("fp", simhash("item_hashes")))
+    left = keyed(wins.withColumn("fp", simhash("win")), "win")
+    right = keyed(items.select("item_id", "n_words", "item_hashes").withColumn("fp", simhash("item_hashes")), "item_hashes")
     right = right.select(F.col("n_words"), "block", "value", F.col("fp").alias("item_fp"), "item_id", "item_hashes")
-    pairs = left.join(hint(right), ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
+    pairs = left.join(hint(right), ["n_words", "block", "value"]).where(near == (F.col("block") >= 0))
     first = F.array_position(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(F.col("item_fp")).bitwiseAND(m) == 0), F.lit(True))
-    pairs = pairs.where(first == F.col("block") + 1)
+    shared = F.get(F.array_intersect("win", "item_hashes"), F.lit(0))
+    pairs = pairs.where(F.when(F.col("block") >= 0, first == F.col("block") + 1).otherwise(shared == F.col("value")))
     scored = pairs.withColumn("similarity", weighted_similarity("win", "item_hashes")).where(F.col("similarity") >= similarity)
     best = F.max_by(F.struct("similarity", "start", F.size("win").alias("size")), F.struct("similarity", -F.col("start"))).alias("b")
     out = scored.groupBy("_r1", "_r2", "doc_id", "item_id").agg(best, F.count("*").alias("n_windows"))

@@ -78,3 +78,17 @@ def test_fingerprints_and_blocks(spark):
     for _ in range(200):  # any 23 changed bits leave a block as it is
         x = sum(1 << b for b in rng.sample(range(64), 23))
         assert any(not x & m for m in masks)
+
+
+def test_repeated_shingles_beyond_the_radius(spark, docs):
+    items, rows = [], []
+    for i in range(8):
+        own = [f"a{i}x{j}" for j in range(104)]
+        items.append((i, " ".join(own + ["0"] * 14)))
+        rows += [(i, " ".join(own + ["9"] * 14)), (10 + i, "before " + " ".join(own + ["0"] * 14) + " after"), (20 + i, " ".join(own[:60] + ["9"] * 58))]
+    rows += [(30, "0 " * 300), (31, items[0][1] + " " + "0 " * 200)]
+    bench = spark.createDataFrame(items, ITEM)
+    got = dc.matches(docs(rows), bench).collect()
+    want = brute(rows, items)
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start_word, r.window_words, r.n_windows) for r in got} == want and len(got) == len(want)
+    assert {(i, i) for i in range(8)} <= {r[:2] for r in want}
