@@ -35,20 +35,18 @@ def kmer_index(db: DataFrame, k: int = 4, key: str = "accession", sequence: str
     return rows.select(key, "length", F.explode(F.array_distinct(F.transform(at, lambda i: F.substr(F.col(sequence), i, F.lit(k))))).alias("kmer"))
 
 
-def search(queries: DataFrame, db: DataFrame, hitlist: int = 100, cutoff: float = 0.001, k: int = 4, least_shared: int = 2, candidates: int = 500) -> DataFrame:
+def search(queries: DataFrame, db: DataFrame, hitlist: int = 100, cutoff: float = 0.001, k: int = 4, least_shared: int = 2) -> DataFrame:
     """Hits of queries (query, sequence) in db (accession, hit_def, sequence): bits, e_value and places.
 
-    Candidates share at least least_shared k-mers; the best of them are scored by local alignment, and those
-    with an e-value up to cutoff stay, hitlist a query. Scores are of this engine's own rule, not those of
+    All pairs that share at least least_shared k-mers are scored by local alignment, and those with an e-value
+    up to cutoff stay, hitlist a query. Scores are of this engine's own rule, not those of
     a search program.
     """
     qi = kmer_index(queries.select(F.col("query").alias("accession"), "sequence"), k).select(F.col("accession").alias("query"), "kmer")
     di = kmer_index(db, k)
     counts = qi.join(di, "kmer").groupBy("query", "accession").agg(F.count("*").alias("shared")).where(F.col("shared") >= least_shared)
-    w = Window.partitionBy("query").orderBy(F.desc("shared"), "accession")
-    best = counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= candidates)
     letters = db.agg(F.coalesce(F.sum(F.length("sequence")), F.lit(0)).alias("n")).first()["n"]
-    rows = best.join(queries.select("query", F.col("sequence").alias("qs")), "query").join(db.select("accession", "hit_def", F.col("sequence").alias("hs")), "accession")
+    rows = counts.join(queries.select("query", F.col("sequence").alias("qs")), "query").join(db.select("accession", "hit_def", F.col("sequence").alias("hs")), "accession")
 
     @F.pandas_udf("raw int, query_end int, subject_end int")
     def scored(q: pd.Series, s: pd.Series) -> pd.DataFrame:

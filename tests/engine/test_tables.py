@@ -207,3 +207,14 @@ def test_search(spark):
     got = search.in_query_order(search.search(q, db)).collect()
     assert [(r.query, r.accession) for r in got] == [("count2", "acc7"), ("count10", "acc4")] and all(r.e_value < 1e-9 for r in got)
     assert search.search(q, db, cutoff=0.0).count() == 0
+
+
+def test_search_scores_every_candidate(spark):
+    rng = random.Random(6)
+    query = "".join(rng.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(60))
+    grams = [query[i : i + 4] for i in range(0, 60, 4)]
+    decoys = ["GP".join(rng.sample(grams, len(grams))) for _ in range(510)]  # more 4-mers in common than the relative has
+    relative = "".join(c if i % 5 else "GP"[c == "G"] for i, c in enumerate(query))
+    db = spark.createDataFrame([*[(f"acc{i:03d}", "", s) for i, s in enumerate(decoys)], ("relative", "", relative)], "accession string, hit_def string, sequence string")
+    got = search.search(spark.createDataFrame([("q1", query)], "query string, sequence string"), db).orderBy(ROW).collect()
+    assert got[0].accession == "relative"
