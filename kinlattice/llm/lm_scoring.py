@@ -11,9 +11,10 @@ the 2 * SIDE places, are added up, go through a ramp, and a softmax over OUT cla
 from counts of all ids of the whole corpus. Classes are ids of similar frequency: the most frequent
 ids have one of their own, the others share the rest by the square root of their counts.
 
-Training sees every document: each task takes every STRIDE-th place of all its documents, trains from
-the common weights, and the weights are averaged by the number of places seen; then a second round
-starts from the average at other places. What is gathered (id counts and weights, by task) grows with
+Training sees every token once: in each of STRIDE rounds a task takes one place of every STRIDE in all its
+documents, trains from the common weights, and the weights are averaged by the number of places seen;
+the next round starts from the average at other places. The place moves on by one from block to block,
+so that a round sees all fields of a text of regular form. What is gathered (id counts and weights, by task) grows with
 the input; what reaches the driver is one count for each id and one number for each weight.
 
 Defined cases: a null or empty text has no token, score 0 and a null mean; the ends of a text are seen
@@ -23,6 +24,8 @@ scores; an empty table gives no row.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +39,7 @@ INPUTS = 256
 OUTPUTS = 48
 DIM = 16
 STRIDE = 8
-ROUNDS = 2
+ROUNDS = STRIDE
 VOCABULARY = 50_257
 SHAPES = {"E": (2 * SIDE, INPUTS + 1, DIM), "b": (DIM,), "V": (DIM, OUTPUTS), "c": (OUTPUTS,)}
 
@@ -160,6 +163,12 @@ def gradients(p: dict[str, np.ndarray], row: np.ndarray, place: np.ndarray, targ
     return g, loss
 
 
+def phases(piece: np.ndarray, stride: int) -> np.ndarray:
+    """For each place of a document which of stride rounds trains on it; where they start depends on the document."""
+    at = np.arange(len(piece))
+    return (at + at // stride + zlib.crc32(piece.tobytes())) % stride
+
+
 def train(tokens: DataFrame, counts: np.ndarray, stride: int = STRIDE, rounds: int = ROUNDS, batch: int = 256, rate: float = 0.01) -> dict[str, np.ndarray]:
     """Weights after rounds of training in all tasks and averaging."""
     into, out = classes(counts, INPUTS), classes(counts, OUTPUTS)
@@ -179,8 +188,8 @@ def train(tokens: DataFrame, counts: np.ndarray, stride: int = STRIDE, rounds: i
                     continue
                 row, place = laid_out(pieces, into)
                 target = out[np.concatenate(pieces)]
-                inside = np.concatenate([np.arange(len(x)) for x in pieces])
-                keep = np.flatnonzero(inside % stride == first % stride)
+                phase = np.concatenate([phases(x, stride) for x in pieces])
+                keep = np.flatnonzero(phase == first % stride)
                 rng.shuffle(keep)
                 for i in range(0, len(keep), batch):
                     k = keep[i : i + batch]

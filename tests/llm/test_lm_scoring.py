@@ -73,3 +73,16 @@ def test_scores(spark, docs):
 
 def test_empty(docs):
     assert lm.scored(docs([])).count() == 0 and lm.scored(docs([(1, None)])).count() == 1
+
+
+def test_every_place_trains(spark):
+    assert lm.ROUNDS == lm.STRIDE
+    for n in (1, 4, 8, 100):
+        x = np.arange(n, dtype="<u2")
+        got = [np.flatnonzero(lm.phases(x, lm.STRIDE) == t) for t in range(lm.ROUNDS)]
+        assert sorted(np.concatenate(got).tolist()) == list(range(n)) and (n < 100 or min(map(len, got)) > 8)
+    # texts of period 8: all fields are learned, not those of a fixed grid alone
+    text = bytearray(np.tile(np.arange(10, 18), 60).astype("<u2").tobytes())
+    tokens = spark.createDataFrame([(i, text) for i in range(400)], "doc_id long, ids binary").repartition(2).cache()
+    counts = lm.id_counts(tokens)
+    assert lm.score(tokens, lm.train(tokens, counts), counts).first().mean_pll > math.log(0.5)
