@@ -6,8 +6,8 @@ aggregation, so that a line that stands in a third of all documents is one small
 Where the estimate lies within BAND of the threshold, the distinct sites of those lines are counted
 exactly. A line found on min_sites sites or more is taken out of every document,
 
-except from documents of which it would leave less than half: those aren't pages with boilerplate
-around their own text but copies of one another as a whole, a matter for document dedup.
+except from documents of which it would leave less than half. Many of those are copies of one another
+as a whole, a matter for document dedup, but short pages with much boilerplate keep theirs too.
 
 DataFrame functions only. Defined cases: null sites don't count; null text stays null; a text keeps
 its other lines, blank ones too, in order; repeated rows keep their number and get equal results;
