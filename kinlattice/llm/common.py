@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (local tests) a temporary folder is made, and removed at exit.
+    Where that setting is absent, a session that runs in one process (tests) gets a temporary folder,
+    which goes at exit; any other session is an error, as its executors could not see such a folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="kinlattice-")
@@ -35,11 +38,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def nested(df: DataFrame, **added: Column) -> DataFrame:
+    """A struct column row of all of df's columns beside the added ones, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in added.items()])
+
+
+def flattened(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    """The columns that nested() put into row."""
+    return df.select(*[F.col("row").getField(c).alias(c) for c in names], *more)
 
 
 def hash128(*parts: Column) -> tuple[Column, Column]:
@@ -47,6 +65,28 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
 
 
+class Slots:
+    """Which of a fixed number of slots some hashes fall in: one byte each, sent along with a plan.
+
+    A filter before a join: rows whose slot is empty can have no partner and need not be shuffled. Its
+    size doesn't follow the data; with more hashes than slots it lets more rows through, never fewer.
+    """
+
+    def __init__(self, hashes: DataFrame, name: str, slots: int = 1 << 20):
+        self.slots = slots
+        held = bytearray(slots)
+        at = hashes.select(self._slot(F.col(name)).alias("s")).distinct().toArrow().column("s")  # at most slots numbers
+        np.frombuffer(held, np.uint8)[at.to_numpy()] = 1
+        self.used = len(at)
+        self.held = F.lit(bytes(held))
+
+    def _slot(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.slots)).cast("int")
+
+    def has(self, h: Column) -> Column:
+        return F.substring(self.held, self._slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -6,13 +6,15 @@ corpus. Lengths are placed longest first, always into the shortest pack that sta
 is how often each pattern of lengths occurs. Patterns come back to the pieces by rank: among pieces
 of one length, the r-th takes the r-th place that the patterns have for that length.
 
-Defined cases: null text is empty, and a document without text is its end token alone; repeated rows
-are packed once each; ties in rank are broken by the document's key, a hash of its ids and the start.
+Defined cases: null text is empty, and a document without text is its end token alone; a null key is
+a document of its own; repeated rows are packed once each; ties in rank are broken by the document's
+key, a hash of its ids and the start; very long texts are cut into words a segment at a time, and no
+piece is longer than a sequence; an empty table gives no row; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
 import heapq
 import re
@@ -28,62 +30,99 @@ from .common import map_columns, staged, table
 
 LENGTH = 1024
 END = 0
-SPECIAL = "<|endoftext|>"
-_LONG_RUN = re.compile(r"\s{2000}|\S{20000}")
+REMEMBERED = 500_000  # words whose ids a worker keeps
+LONGEST = 48  # characters of a word that is kept
+SEGMENT = 1 << 20  # characters that are cut into words at a time
+_CUT = re.compile(r"(?= \S)")
+_ODD = re.compile(r" (?=\s|\Z)")
 
 
-@functools.lru_cache(maxsize=4)
-def encoder(vocabulary: str, ranks: str | None = None):
-    """A function from text to ids, by the tokenizers file vocabulary.
+class Encoder:
+    """Texts to ids by a tokenizers file, each distinct word once.
 
-    With ranks, the same vocabulary as a rank file, most texts take a faster library that gives the
-    same ids; texts that hold the special token, or runs that the faster one handles badly, don't.
+    Byte-level BPE first cuts a text into words that may begin with one space, so that a space before
+    another sign always begins a new word, and merges never cross. A text is cut there, the library
+    encodes the parts that are not remembered, and a text's ids are its parts' ids in a row.
     """
-    from tokenizers import Tokenizer
-
-    slow = Tokenizer.from_file(vocabulary)
-
-    def exact(text: str) -> list[int]:
-        return slow.encode(text, add_special_tokens=False).ids
 
-    if ranks is None:
-        return exact
-    import public_tokenizers
-    import tiktoken
-
-    with open(ranks, "rb") as f:
-        pairs = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pairs, special_tokens={})
+    def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.known: dict[str, bytes] = {}  # ids of a space and the word
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        cut = [[p[i > 0 :] for i, p in enumerate(_CUT.split(t))] if _ODD.search(t) else t.split(" ") for t in texts]
+        heads = self.ids([c[0] for c in cut])
+        tails = [c[1:] for c in cut]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(set().union(*tails).difference(self.known))
+        found = dict(zip(new, self.ids([" " + w for w in new]), strict=True))
+        self.known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
+        long = {w: i for w, i in found.items() if len(w) > LONGEST}
+        if long:
+            return [h + b"".join([long.get(w) or self.known[w] for w in t]) for h, t in zip(heads, tails, strict=True)]
+        return [h + b"".join(map(self.known.__getitem__, t)) for h, t in zip(heads, tails, strict=True)]
+
+    def __call__(self, texts: list) -> list[bytes]:
+        """For each text its ids as unsigned little-endian 32-bit numbers; a null text has none."""
+        out: list[bytes] = [b""] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def settle() -> None:
+            nonlocal held, size
+            for (i, _), ids in zip(held, self._encode([t for _, t in held]), strict=True):
+                out[i] += ids
+            held, size = [], 0
+
+        for i, t in enumerate(texts):
+            at = 0
+            while t and at < len(t):
+                end = len(t)
+                if end - at > SEGMENT:
+                    stop = _CUT.search(t, at + SEGMENT)
+                    end = stop.start() if stop else end
+                held.append((i, t[at:end]))
+                size += end - at
+                at = end
+                if size >= SEGMENT:
+                    settle()
+        if held:
+            settle()
+        return out
 
-    def encode(text: str) -> list[int]:
-        if SPECIAL in text or _LONG_RUN.search(text):
-            return exact(text)
-        return fast.encode_ordinary(text)
 
-    return encode
+@functools.lru_cache(maxsize=4)
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
-def default_vocabulary() -> tuple[str, str]:
+def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def cut(docs: DataFrame, vocabulary: str, ranks: str | None, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cut(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces: key, start, length, ids_crc32, doc_tokens and text_hash (one value for equal documents)."""
 
     names = ["start", "length", "ids_crc32", "doc_tokens", "text_hash"]
+    end = np.array([END], "<u4").tobytes()
 
     def pieces(keys: list, texts: list) -> dict:
-        encode = encoder(vocabulary, ranks)
         of, rows = [], []
-        for k, t in zip(keys, texts, strict=True):
-            ids = np.array(encode(t) + [END] if t else [END], "<u4")
-            whole = zlib.crc32(ids)
-            for s in range(0, len(ids), length):
-                part = ids[s : s + length]
+        for k, raw in zip(keys, encoder(vocabulary)(texts), strict=True):
+            raw += end
+            whole = zlib.crc32(raw)
+            for s in range(0, len(raw), 4 * length):
+                part = raw[s : s + 4 * length]
                 of.append(k)
-                rows.append((s, len(part), zlib.crc32(part), len(ids), whole))
+                rows.append((s // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, whole))
         return {key: of, **{n: [r[i] for r in rows] for i, n in enumerate(names)}}
 
     return map_columns(docs, [F.col(key).cast("long"), F.col(text)], pieces, f"`{key}` long, " + ", ".join(f"{n} long" for n in names))
@@ -185,10 +224,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, key: str = "doc_id", group_row
     )
 
 
-def packed(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, length: int = LENGTH) -> DataFrame:
-    if vocabulary is None:
-        vocabulary, ranks = default_vocabulary()
-    return pack(staged(cut(docs, vocabulary, ranks, length), "pieces"), length)
+def packed(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
+    return pack(staged(cut(docs, vocabulary or default_vocabulary(), length), "pieces"), length)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -48,16 +48,18 @@ def test_work_does_not_follow_counts():
     assert used > 0.97 * 1024 * sum(n for _, n in large)
 
 
-def test_fast_ids_equal_the_file_s():
-    vocabulary, ranks = packing.default_vocabulary()
-    exact, fast = packing.encoder(vocabulary), packing.encoder(vocabulary, ranks)
+def test_ids_are_the_file_s(spark):
+    """Of all texts of two tables, and of odd ones, against the library on the whole text."""
+    from tokenizers import Tokenizer
+
+    encode, whole = packing.Encoder(packing.default_vocabulary()), Tokenizer.from_file(packing.default_vocabulary())
+    texts = [r.text for d in ("sf0.001", "sf0.01") for r in spark.read.parquet(f"/root/testdata/{d}/documents.parquet").select("text").collect()]
     rng = random.Random(5)
-    alphabet = [*"ab  \n\t'1.é", "ß", "漢", "🙂", " ", " ", "'s", "<|endoftext|>", "\x00", "\r\n", "Ω"]
-    for _ in range(400):
-        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
-        assert exact(t) == fast(t), repr(t)
-    long = "x" * 50_000 + " " * 5_000
-    assert exact(long) == fast(long)
+    alphabet = [*"ab  \n\t'1.é", "ß", "漢", "🙂", " ", " ", "'s", "<|endoftext|>", "\x00", "\r\n", "Ω", "\xa0", "\x1c", "\u3000", "\x85"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["x" * 50_000 + " " * 5_000, "ab " * 700_000, "a  " * 400_000, None, "", " " + "y" * 60]
+    want = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encode(texts) == want == encode(texts)
 
 
 @pytest.mark.parametrize("group_rows", [7, 50_000])
@@ -65,18 +67,17 @@ def test_every_id_once_gapless(spark, docs, group_rows):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "a", "zebra", "Straße", "7"]) for _ in range(rng.choice([0, 1, 3, 40, 200, 900]))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (5, texts[5]), (None, "abc")]
-    vocabulary, ranks = packing.default_vocabulary()
+    vocabulary = packing.default_vocabulary()
     df = docs(rows).withColumnRenamed("n_chars", "length")
-    pieces = packing.cut(df, vocabulary, ranks, 64).cache()
+    pieces = packing.cut(df, vocabulary, 64).cache()
     got = packing.pack(pieces, 64, group_rows=group_rows).collect()
-    exact = packing.encoder(vocabulary)
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
     assert by_doc.keys() == {r[0] for r in rows}
     for k, t in rows:
-        ids = np.array([*exact(t or ""), 0], "<u4")
+        ids = np.append(np.frombuffer(packing.encoder(vocabulary)([t])[0], "<u4"), np.uint32(0))
         for r in by_doc[k]:
             assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length])
         assert sum(r.length for r in by_doc[k]) == len(ids) * sum(x[0] == k for x in rows)
