@@ -2,24 +2,30 @@
 
 Every token of a document is predicted from the SIDE tokens before and the SIDE tokens after it; the
 document's score is the sum of these conditional log-probabilities. Tokens are ids of a public
-tokenizer. The probability of an id has two factors, as in class-based language models:
+tokenizer, and the network gives the probability of the id itself, in three digits of its code:
 
-    P(id | both sides) = P(class(id) | both sides) * count(id) / count(class(id))
+    P(id | both sides) = P(d1 | sides) * P(d2 | sides, d1) * P(d3 | sides, d1, d2)
 
-The network gives the first factor: learned vectors of the neighbours' classes, one set for each of
-the 2 * SIDE places, are added up, go through a ramp, and a softmax over OUT classes. The second comes
-from counts of all ids of the whole corpus. Classes are ids of similar frequency: the most frequent
-ids have one of their own, the others share the rest by the square root of their counts.
+Each factor is a softmax over all values of the digit, so that the ids' probabilities add up to one. Codes go by falling
+frequency: d1 is one of OUTPUTS classes of equal shares of the square roots of the counts, the most
+frequent ids alone in theirs; d2 and d3 cut a class in groups of about the root of its size. A factor's
+logits are the logarithm of the digit's share in the whole corpus, given the digits before it, plus what
+the network adds: learned vectors of the 2 * SIDE neighbours (one of INPUTS rows for each, the most
+frequent ids with a row of their own) are added up and go through a ramp; for d2 and d3 a second ramp
+layer mixes them with a learned vector of the digits before.
 
-Training sees every token once: in each of STRIDE rounds a task takes one place of every STRIDE in all its
-documents, trains from the common weights, and the weights are averaged by the number of places seen;
-the next round starts from the average at other places. The place moves on by one from block to block,
-so that a round sees all fields of a text of regular form. What is gathered (id counts and weights, by task) grows with
-the input; what reaches the driver is one count for each id and one number for each weight.
+Training sees every token once. Documents are cut into segments and dealt by a hash over shards of
+about SHARD tokens; in each of ROUNDS rounds every shard trains from the common weights on its share of
+the places, and the weights are averaged by the places seen. Shards, their order and the sums (of
+whole numbers) don't depend on how rows lie in partitions, so the weights don't either. Id counts and shards'
+weights, which are gathered, grow with the input; the driver gets one count for each id and one
+number for each weight.
 
 Defined cases: a null or empty text has no token, score 0 and a null mean; the ends of a text are seen
-as a class of their own; ids that training never met count as met once; repeated rows get equal
-scores; an empty table gives no row.
+as a sign of their own; ids that training never met count as met once; ties in frequency go by id;
+repeated rows get equal scores; very long texts train in segments and are scored whole; a null key is
+scored like any; other columns are not read, whatever their names; an empty table gives no row. Scores
+are rounded to three digits, as sums of single-precision terms.
 """
 
 from __future__ import annotations
@@ -35,37 +41,48 @@ from .common import map_columns, staged, table
 from .packing import default_vocabulary, encoder
 
 SIDE = 2
-INPUTS = 256
+INPUTS = 768
 OUTPUTS = 48
 DIM = 16
-STRIDE = 8
-ROUNDS = STRIDE
-VOCABULARY = 50_257
-SHAPES = {"E": (2 * SIDE, INPUTS + 1, DIM), "b": (DIM,), "V": (DIM, OUTPUTS), "c": (OUTPUTS,)}
+HIDDEN = 16
+ROUNDS = 2
+SHARD = 4_000_000
+SEGMENT = 8192
+BATCH = 4096
+RATE = 0.02
+OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+GRID = 1 << 20  # weights are summed as whole multiples of 1 / GRID
+Weights = dict[str, np.ndarray]
+
+
+def vocabulary_size(vocabulary: str) -> int:
+    return encoder(vocabulary).tokenizer.get_vocab_size()
 
 
-def tokenized(docs: DataFrame, vocabulary: str, ranks: str | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and the ids of each text, as 16-bit numbers."""
+def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The key and the ids of each text, as 32-bit numbers."""
 
     def ids(keys: list, texts: list) -> dict:
-        encode = encoder(vocabulary, ranks)
-        return {key: keys, "ids": [np.array(encode(t), "<u2").tobytes() if t else b"" for t in texts]}
+        return {key: keys, "ids": encoder(vocabulary)(texts)}
 
     return map_columns(docs, [F.col(key).cast("long"), F.col(text)], ids, f"`{key}` long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id stands in the whole corpus, plus one."""
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each of size ids stands in the whole corpus, plus one."""
 
     def count(batches):
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            for x in b.column(0):
+                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=size) if x.is_valid and len(x.as_buffer()) > 4 * size else 0
+            small = [x for x in b.column(0).to_pylist() if x and len(x) <= 4 * size]
+            total += np.bincount(np.frombuffer(b"".join(small), "<u4"), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
     got = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most one row for each id
-    out = np.ones(VOCABULARY, np.int64)
+    out = np.ones(size, np.int64)
     for r in got:
         out[r["id"]] += r["n"]
     return out
@@ -79,163 +96,335 @@ def classes(counts: np.ndarray, number: int) -> np.ndarray:
     rest = np.cumsum(weight[own:])
     out = np.empty(len(counts), np.int16)
     out[order[:own]] = np.arange(min(own, len(counts)))
-    out[order[own:]] = own + np.minimum((rest - weight[own:]) / max(rest[-1], 1e-9) * (number - own), number - own - 1).astype(np.int16)
+    if len(rest):
+        out[order[own:]] = own + np.minimum((rest - weight[own:]) / rest[-1] * (number - own), number - own - 1).astype(np.int16)
     return out
 
 
-def fresh(seed: int = 3) -> dict[str, np.ndarray]:
+class Codes:
+    """Three digits for each id, and the logarithms of their shares of the counts.
+
+    d1: class; group: number of (d1, d2) in a row over all classes; d2: group within the class; d3: place
+    within the group. base1, base2[d1], base3[group]: log shares, -1e9 where there is no such value.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        order = np.argsort(-counts, kind="stable")
+        d1 = classes(counts, OUTPUTS)[order].astype(np.int64)
+        sizes = np.bincount(d1, minlength=OUTPUTS)
+        place = np.arange(len(order)) - (np.cumsum(sizes) - sizes)[d1]
+        wide = np.ceil(np.sqrt(np.maximum(sizes, 1))).astype(np.int64)
+        groups = -(-np.maximum(sizes, 1) // wide)
+        self.values = int(max(wide.max(), groups.max()))
+        d2, d3 = place // wide[d1], place % wide[d1]
+        group = (np.cumsum(groups) - groups)[d1] + d2
+        self.groups = int(groups.sum())
+        n = counts[order].astype(np.float64)
+
+        def shares(of: np.ndarray, value: np.ndarray, rows: int, columns: int) -> np.ndarray:
+            total = np.zeros((rows, columns))
+            np.add.at(total, (of, value), n)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = np.log(total / total.sum(axis=1, keepdims=True))
+            return np.where(total > 0, out, -1e9).astype(np.float32)
+
+        self.base1 = shares(np.zeros_like(d1), d1, 1, OUTPUTS)[0]
+        self.base2 = shares(d1, d2, OUTPUTS, self.values)
+        self.base3 = shares(group, d3, self.groups, self.values)
+        digits = np.empty((len(order), 4), np.uint16)
+        digits[order] = np.stack([d1, group, d2, d3], 1)
+        self.d1, self.group, self.d2, self.d3 = np.ascontiguousarray(digits.T)
+        self.more = (sizes > 1)[self.d1]  # whether the first digit doesn't say all
+        self.rows = classes(counts, INPUTS).astype(np.uint16)
+
+    def shapes(self) -> dict[str, tuple]:
+        return {
+            "E": (2 * SIDE, INPUTS + 1, DIM),
+            "b": (DIM,),
+            "V1": (DIM, OUTPUTS),
+            "W2": (DIM, HIDDEN),
+            "A2": (OUTPUTS, HIDDEN),
+            "V2": (HIDDEN, self.values),
+            "W3": (DIM, HIDDEN),
+            "A3": (self.groups, HIDDEN),
+            "V3": (HIDDEN, self.values),
+        }
+
+
+def fresh(codes: Codes, seed: int = 3) -> Weights:
+    """Vectors at random; the last layers are zero, so that training starts from the corpus's shares."""
     rng = np.random.default_rng(seed)
-    scale = {"E": 0.2, "b": 0.0, "V": 0.2, "c": 0.0}
-    return {k: (rng.normal(0, 1, s) * scale[k] + (0.1 if k == "b" else 0)).astype(np.float32) for k, s in SHAPES.items()}
+    scale = {"E": 0.2, "W2": 0.2, "A2": 0.3, "W3": 0.2, "A3": 0.3}
+    return {k: (rng.normal(0, 1, s) * scale.get(k, 0.0) + (0.1 if k == "b" else 0)).astype(np.float32) for k, s in codes.shapes().items()}
 
 
-def flat(p: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+def flat(p: Weights) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in p.values()])
 
 
-def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(x: np.ndarray, codes: Codes) -> Weights:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in codes.shapes().items():
         n = int(np.prod(s))
         out[k] = x[at : at + n].reshape(s).astype(np.float32)
         at += n
     return out
 
 
-def laid_out(pieces: list[np.ndarray], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Input classes of several documents in one row, SIDE end marks around each; and each token's place in it."""
+def laid_out(pieces: list[np.ndarray], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """Input rows of several documents in one line, SIDE end marks around each; and each token's place in it."""
     n = np.array([len(x) for x in pieces], np.int64)
-    ids = np.concatenate(pieces) if len(pieces) else np.empty(0, np.uint16)
+    ids = np.concatenate(pieces) if len(pieces) else np.empty(0, np.uint32)
     place = np.arange(len(ids)) + SIDE * (1 + np.repeat(np.arange(len(n)), n))
-    row = np.full(len(ids) + SIDE * (len(n) + 1), INPUTS, np.int16)
-    row[place] = kind[ids]
-    return row, place
+    line = np.full(len(ids) + SIDE * (len(n) + 1), INPUTS, np.uint16)
+    line[place] = codes.rows[ids]
+    return line, place
 
 
-OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+class Room:
+    """Arrays for one batch, made once and used again: fresh memory for each costs more than the arithmetic."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, rows: int, columns: int) -> np.ndarray:
+        a = self.held.get(name)
+        if a is None or len(a) < rows or a.shape[1] != columns:
+            a = self.held[name] = np.empty((max(rows, BATCH), columns), np.float32)
+        return a[:rows]
 
 
-def forward(p: dict[str, np.ndarray], row: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Neighbours' classes, hidden values and logits at each place."""
-    near = [row[place + o] for o in OFFSETS]
-    h = np.take(p["E"][0], near[0], axis=0)
+def hidden(p: Weights, line: np.ndarray, place: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of E for the neighbours of each place (a line for each side), and the first layer."""
+    near = np.stack([line[place + o] for o in OFFSETS])
+    n = len(place)
+    h, t = room("h", n, DIM), room("t", n, DIM)
+    np.take(p["E"][0], near[0], axis=0, out=h, mode="clip")
     for e, x in zip(p["E"][1:], near[1:], strict=True):
-        h += np.take(e, x, axis=0)
+        h += np.take(e, x, axis=0, out=t, mode="clip")
     h += p["b"]
     np.maximum(h, 0, out=h)
-    z = h @ p["V"]
-    z += p["c"]
-    np.clip(z, -40, 40, out=z)
-    return near, h, z
+    return near, h
+
+
+def _softmax(z: np.ndarray, digit: np.ndarray) -> np.ndarray:
+    """The log-probability of each row's digit; z becomes the probabilities."""
+    if len(z) and z.max() > 60:  # logits are log shares and what the network adds, which seldom needs this
+        z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), digit]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    z *= (1 / total)[:, None]
+    return own - np.log(total)
+
+
+def _first(p: Weights, codes: Codes, h: np.ndarray, room: Room) -> np.ndarray:
+    z = np.dot(h, p["V1"], out=room("z1", len(h), OUTPUTS))
+    z += codes.base1
+    return z
+
+
+def _deeper(p: Weights, h: np.ndarray, level: int, before: np.ndarray, base: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
+    n = len(h)
+    m = np.dot(h, p[f"W{level}"], out=room("m", n, HIDDEN))
+    m += np.take(p[f"A{level}"], before, axis=0, out=room("a", n, HIDDEN), mode="clip")
+    np.maximum(m, 0, out=m)
+    z = np.dot(m, p[f"V{level}"], out=room("z", n, base.shape[1]))
+    z += np.take(base, before, axis=0, out=room("base", n, base.shape[1]), mode="clip")
+    return m, z
+
+
+def log_probs(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids: np.ndarray, room: Room | None = None) -> np.ndarray:
+    """Log-probability of the id at each place, given its neighbours."""
+    room = room or Room()
+    _, h = hidden(p, line, place, room)
+    out = _softmax(_first(p, codes, h, room), codes.d1[ids])
+    on = np.flatnonzero(codes.more[ids])
+    if len(on):
+        h, ids = np.take(h, on, axis=0, out=room("some", len(on), DIM), mode="clip"), ids[on]
+        out[on] += _softmax(_deeper(p, h, 2, codes.d1[ids], codes.base2, room)[1], codes.d2[ids])
+        out[on] += _softmax(_deeper(p, h, 3, codes.group[ids], codes.base3, room)[1], codes.d3[ids])
+    return out
+
+
+def _summed(of: np.ndarray, rows: np.ndarray, shape: tuple, room: Room) -> np.ndarray:
+    """Rows added up by the row (of 16 bits) that they belong to."""
+    out = np.zeros(shape, np.float32)
+    if len(of):
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        out[of[first]] = np.add.reduceat(np.take(rows, order, axis=0, out=room("sorted", len(rows), rows.shape[1]), mode="clip"), first, axis=0)
+    return out
+
+
+def gradients(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids: np.ndarray, room: Room | None = None) -> tuple[Weights, float]:
+    """Of the mean negative log-probability, and that itself."""
+    room = room or Room()
+    n = len(place)
+    near, h = hidden(p, line, place, room)
+    z = _first(p, codes, h, room)
+    d1 = codes.d1[ids]
+    loss = -float(_softmax(z, d1).sum())
+    z[np.arange(n), d1] -= 1
+    z *= np.float32(1 / n)
+    g = {"V1": h.T @ z}
+    back = np.dot(z, p["V1"].T, out=room("back", n, DIM))
+    on = np.flatnonzero(codes.more[ids])
+    some, h2 = ids[on], np.take(h, on, axis=0, out=room("some", len(on), DIM), mode="clip")
+    for level, before, base, digit in ((2, codes.d1, codes.base2, codes.d2), (3, codes.group, codes.base3, codes.d3)):
+        of = before[some]
+        m, z = _deeper(p, h2, level, of, base, room)
+        loss -= float(_softmax(z, digit[some]).sum())
+        z[np.arange(len(some)), digit[some]] -= 1
+        z *= np.float32(1 / n)
+        g[f"V{level}"] = m.T @ z
+        d = np.dot(z, p[f"V{level}"].T, out=room("d", len(some), HIDDEN))
+        d *= m > 0
+        g[f"W{level}"] = h2.T @ d
+        g[f"A{level}"] = _summed(of, d, p[f"A{level}"].shape, room)
+        back[on] += np.dot(d, p[f"W{level}"].T, out=room("t", len(some), DIM))
+    back *= h > 0
+    g["b"] = back.sum(axis=0)
+    g["E"] = np.stack([_summed(x, back, p["E"].shape[1:], room) for x in near])
+    return {k: g[k] for k in p}, loss / n
 
 
 class Adam:
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: Weights):
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
         self.t = 0
 
-    def step(self, p: dict[str, np.ndarray], g: dict[str, np.ndarray], rate: float) -> None:
+    def step(self, p: Weights, g: Weights, rate: float) -> None:
         self.t += 1
+        a, b = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
         for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= (rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
-
+            m, v, d = self.m[k], self.v[k], g[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            v *= np.float32(0.99)
+            d *= d
+            d *= np.float32(0.01)
+            v += d
+            np.multiply(v, b, out=d)
+            np.sqrt(d, out=d)
+            d += np.float32(1e-6)
+            np.divide(m, d, out=d)
+            d *= a
+            p[k] -= d
+
+
+def segments(tokens: DataFrame, shards: int, key: str = "doc_id", length: int = SEGMENT) -> DataFrame:
+    """shard, place in its order (o, at), and ids of a segment with the SIDE neighbours that it has: lead before, trail after."""
+    names = ("shard", "o", "at", "lead", "trail", "ids")
+
+    def cut(keys: list, stored: list):
+        rows, held = [], 0
+        for k, raw in zip(keys, stored, strict=True):
+            n = len(raw) // 4
+            own = zlib.crc32(raw, zlib.crc32(str(k).encode()))
+            for s in range(0, n, length):
+                e = min(n, s + length)
+                lead, trail = min(SIDE, s), min(SIDE, n - e)
+                at = zlib.crc32(s.to_bytes(8, "little"), own)
+                rows.append((at % shards, own, s, lead, trail, raw[4 * (s - lead) : 4 * (e + trail)]))
+                held += e - s
+                if held > 1 << 20:
+                    yield {c: [r[i] for r in rows] for i, c in enumerate(names)}
+                    rows, held = [], 0
+        yield {c: [r[i] for r in rows] for i, c in enumerate(names)}
+
+    return map_columns(tokens, [F.col(key), F.col("ids")], cut, "shard int, o long, at long, lead int, trail int, ids binary")
+
+
+def phases(places: np.ndarray, own: int, rounds: int) -> np.ndarray:
+    """Which of the rounds trains on each place; it moves on by one from block to block, so that regular text has no field left out."""
+    return (places + places // rounds + own) % rounds
+
+
+def train_shard(p: Weights, codes: Codes, rows: list[tuple], turn: int, rounds: int, rate: float, batch: int = BATCH) -> int:
+    """Train p on a shard's segments (o, at, lead, trail, ids); the number of places seen."""
+    rows = sorted(rows)
+    adam, room, rng, seen = Adam(p), Room(), np.random.default_rng(7), 0
+    at = 0
+    while at < len(rows):
+        chosen, size = [], 0
+        while at < len(rows) and size < 1 << 18:
+            chosen.append(rows[at])
+            size += len(rows[at][4]) // 4
+            at += 1
+        pieces = [np.frombuffer(r[4], "<u4") for r in chosen]
+        line, place = laid_out(pieces, codes)
+        ids = np.concatenate(pieces)
+        keep = np.zeros(len(ids), bool)
+        start = 0
+        for (own, first, lead, trail, _), x in zip(chosen, pieces, strict=True):
+            inner = np.arange(lead, len(x) - trail)
+            keep[start + inner] = phases(first + inner - lead, own, rounds) == turn
+            start += len(x)
+        keep = rng.permutation(np.flatnonzero(keep))
+        for i in range(0, len(keep), batch):
+            k = keep[i : i + batch]
+            g, _ = gradients(p, codes, line, place[k], ids[k], room)
+            adam.step(p, g, rate * min(1.0, len(k) / batch * 2))
+        seen += len(keep)
+    return seen
+
+
+def train(tokens: DataFrame, codes: Codes, total: int, rounds: int = ROUNDS, shard: int = SHARD, rate: float = RATE, key: str = "doc_id") -> Weights:
+    """Weights after rounds of training in all shards and averaging."""
+    p = fresh(codes)
+    shards = max(1, -(-total // shard))
+    dealt = segments(tokens, shards, key)
+
+    def trained(start: np.ndarray, turn: int):
+        def work(t: pa.Table) -> pa.Table:
+            p = unflat(start, codes)
+            rows = list(zip(*(t.column(c).to_pylist() for c in ("o", "at", "lead", "trail", "ids")), strict=True))
+            seen = train_shard(p, codes, rows, turn, rounds, rate / (1 + turn))
+            w = np.rint(flat(p).astype(np.float64) * GRID).astype(np.int64)
+            share = -(-seen // 1024)
+            return pa.table({"k": np.arange(len(w), dtype=np.int64), "w": w * share, "n": np.full(len(w), share, np.int64)})
+
+        return work
 
-def gradients(p: dict[str, np.ndarray], row: np.ndarray, place: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Of the mean cross entropy, and that itself."""
-    n = len(place)
-    near, h, z = forward(p, row, place)
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    at = np.arange(n)
-    loss = -float(np.log(z[at, target] + 1e-30).mean())
-    z[at, target] -= 1
-    z /= n
-    d = (z @ p["V"].T) * (h > 0)
-    g = {"V": h.T @ z, "c": z.sum(axis=0), "b": d.sum(axis=0), "E": np.zeros_like(p["E"])}
-    for e, x in zip(g["E"], near, strict=True):
-        order = np.argsort(x, kind="stable")
-        first = np.flatnonzero(np.diff(x[order], prepend=-1))
-        e[x[order][first]] = np.add.reduceat(d[order], first, axis=0)
-    return g, loss
-
-
-def phases(piece: np.ndarray, stride: int) -> np.ndarray:
-    """For each place of a document which of stride rounds trains on it; where they start depends on the document."""
-    at = np.arange(len(piece))
-    return (at + at // stride + zlib.crc32(piece.tobytes())) % stride
-
-
-def train(tokens: DataFrame, counts: np.ndarray, stride: int = STRIDE, rounds: int = ROUNDS, batch: int = 256, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Weights after rounds of training in all tasks and averaging."""
-    into, out = classes(counts, INPUTS), classes(counts, OUTPUTS)
-    p = fresh()
-    p["c"] = np.log(np.bincount(out, weights=counts, minlength=OUTPUTS) / counts.sum()).astype(np.float32)  # starts as the classes' frequencies
     for turn in range(rounds):
         start = flat(p)
-        first = (stride // max(rounds, 1)) * turn
-
-        def work(batches, start=start, first=first, speed=rate / (1 + turn)):
-            p, seen, adam = unflat(start), 0, None
-            adam = Adam(p)
-            rng = np.random.default_rng(7)
-            for b in batches:
-                pieces = [np.frombuffer(x, "<u2") for x in b.column(0).to_pylist() if x]
-                if not pieces:
-                    continue
-                row, place = laid_out(pieces, into)
-                target = out[np.concatenate(pieces)]
-                phase = np.concatenate([phases(x, stride) for x in pieces])
-                keep = np.flatnonzero(phase == first % stride)
-                rng.shuffle(keep)
-                for i in range(0, len(keep), batch):
-                    k = keep[i : i + batch]
-                    g, _ = gradients(p, row, place[k], target[k])
-                    adam.step(p, g, speed * min(1.0, len(k) / batch * 2))
-                seen += len(keep)
-            if seen:
-                w = flat(p).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(w))), pa.array(w * seen), pa.array(np.full(len(w), seen))], names=["k", "w", "n"])
-
-        got = tokens.select("ids").mapInArrow(work, "k long, w double, n long").groupBy("k").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # one row for each weight
-        if not got:
+        moved = dealt.groupBy("shard").applyInArrow(trained(start, turn), "k long, w long, n long")
+        got = moved.groupBy("k").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).toArrow()  # one row for each weight
+        if not got.num_rows:
             break
         mean = start.astype(np.float64)
-        for r in got:
-            mean[r["k"]] = round(r["w"], 7)
-        p = unflat(mean)
+        k, w, n = (got.column(c).to_numpy() for c in ("k", "w", "n"))
+        mean[k] = np.where(n > 0, w / np.maximum(n, 1) / GRID, mean[k])
+        p = unflat(mean, codes)
     return p
 
 
-def score(tokens: DataFrame, p: dict[str, np.ndarray], counts: np.ndarray, key: str = "doc_id") -> DataFrame:
+def score(tokens: DataFrame, p: Weights, codes: Codes, key: str = "doc_id") -> DataFrame:
     """key, n_tokens, pll (sum of log-probabilities) and mean_pll."""
-    into, out = classes(counts, INPUTS), classes(counts, OUTPUTS)
-    inside = np.log(counts / np.bincount(out, weights=counts, minlength=OUTPUTS)[out]).astype(np.float32)
 
     def work():
+        room = Room()
+
         def run(keys: list, stored: list) -> dict:
-            n, total = [len(x) // 2 for x in stored], [0.0] * len(stored)
+            n, total = [len(x) // 4 for x in stored], [0.0] * len(stored)
             pending: list[int] = []
 
             def settle() -> None:
                 if not pending:
                     return
-                pieces = [np.frombuffer(stored[i], "<u2") for i in pending]
-                row, place = laid_out(pieces, into)
+                pieces = [np.frombuffer(stored[i], "<u4") for i in pending]
+                line, place = laid_out(pieces, codes)
                 ids = np.concatenate(pieces)
                 lp = np.empty(len(ids), np.float64)
-                for s in range(0, len(ids), 4096):
-                    part = slice(s, s + 4096)
-                    _, _, z = forward(p, row, place[part])
-                    target = out[ids[part]]
-                    own = z[np.arange(len(z)), target]
-                    lp[part] = own - np.log(np.exp(z, out=z).sum(axis=1)) + inside[ids[part]]
+                for s in range(0, len(ids), BATCH):
+                    part = slice(s, s + BATCH)
+                    lp[part] = log_probs(p, codes, line, place[part], ids[part], room)
                 sums = np.add.reduceat(lp, np.cumsum([0, *(len(x) for x in pieces)])[:-1])
                 for i, v in zip(pending, sums, strict=True):
-                    total[i] = round(float(v), 4)
+                    total[i] = round(float(v), 3)
                 pending.clear()
 
             held = 0
@@ -247,7 +436,7 @@ def score(tokens: DataFrame, p: dict[str, np.ndarray], counts: np.ndarray, key:
                     settle()
                     held = 0
             settle()
-            return {key: keys, "n_tokens": n, "pll": total, "mean_pll": [round(t / k, 6) if k else None for t, k in zip(total, n, strict=True)]}
+            return {key: keys, "n_tokens": n, "pll": total, "mean_pll": [round(t / k, 5) if k else None for t, k in zip(total, n, strict=True)]}
 
         return run
 
@@ -255,12 +444,12 @@ def score(tokens: DataFrame, p: dict[str, np.ndarray], counts: np.ndarray, key:
     return map_columns(tokens, [F.col(key), F.col("ids")], work, f"`{key}` long, n_tokens long, pll double, mean_pll double")
 
 
-def scored(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
-    if vocabulary is None:
-        vocabulary, ranks = default_vocabulary()
-    tokens = staged(tokenized(docs, vocabulary, ranks), "tokens")
-    counts = id_counts(tokens)
-    return score(tokens, train(tokens, counts), counts)
+def scored(docs: DataFrame, vocabulary: str | None = None, key: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
+    vocabulary = vocabulary or default_vocabulary()
+    tokens = staged(tokenized(docs, vocabulary, key, text), "tokens")
+    counts = id_counts(tokens, vocabulary_size(vocabulary))
+    codes = Codes(counts)
+    return score(tokens, train(tokens, codes, int(counts.sum()) - len(counts), key=key, shard=shard), codes, key)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
