@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sites share go; every document stays."""
-    return line_dedup.dedup(docs)
+    """Lines that many sites share go; every document stays, and whole where it has no other line: the next stage judges copies."""
+    return line_dedup.dedup(docs, spare_copies=True)
 
 
 def one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
