@@ -12,10 +12,18 @@ def sha(t):
     return hashlib.sha256(t.encode()).hexdigest()
 
 
+def marked(t):
+    """As the order of turns of one number and role sees a text, with the parts of sample_parts."""
+    for sign, code in cf.ESCAPES:
+        t = t.replace(sign, code)
+    return t
+
+
 def expected(rows):
     out = {}
     for c in {r[0] for r in rows}:
-        turns = sorted([(r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == c])
+        turns = sorted([(r[1] is not None, r[1] or 0, r[2] or "", marked(r[3] or ""), r[3] or "") for r in rows if r[0] == c])
+        turns = [(*t[:3], t[4]) for t in turns]
         loss = "".join(t[3] for t in turns if t[2] == "assistant")
         out[c] = (len(turns), sha("".join(f"{t[2]}\n{t[3]}\n" for t in turns)), len(loss), sha(loss))
     return out
@@ -30,6 +38,11 @@ def test_digests_and_round_trip(spark):
     done = cf.conversations(df).cache()
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cf.digest(done).collect()}
     assert got == expected(rows)
+    typed = cf.conversations(df.withColumn("parts", cf.sample_parts(F.col("text"), F.lit("r")))).cache()
+    again = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in cf.digest(typed).collect()}
+    assert {k: v for k, v in again.items() if k != 2} == {k: v for k, v in expected(rows).items() if k != 2}  # turns of one number go by their placeholders too
+    kinds = {a["type"] for r in typed.collect() for a in r.attachments if r.formatted[a["at"]] == "<"}
+    assert kinds == {"image", "audio", "document"}
     one = done.where("conv_id = 9").collect()[0]
     spans = "".join(one.formatted[s["at"] : s["at"] + s["chars"]] for s in one.loss_spans)
     assert spans == "".join(f"t{i}\\l" for i in range(700) if i % 3)
@@ -44,7 +57,7 @@ def test_attachments(spark):
     assert r.formatted == "<turn user>see \\l<image 1>and<audio 2><document 3><unknown 4><image 5></turn>\n<turn assistant>ok<image 1></turn>\n<turn assistant></turn>\n"
     assert [(a["type"], a["ref"], a["tokens"]) for a in r.attachments] == [("image", "a.png", 5), ("audio", "b.ogg", 3), ("document", None, 1001), ("video", "v", 0), ("image", None, 1), ("image", "c", 2)]
     assert all(r.formatted[a["at"]] == "<" for a in r.attachments) and r.expanded_tokens == 1012
-    assert [r.formatted[s["at"] : s["at"] + s["chars"]] for s in r.loss_spans] == ["ok<image 1>", ""]
+    assert [r.formatted[s["at"] : s["at"] + s["chars"]] for s in r.loss_spans] == ["ok"]
 
 
 def test_against_sql(spark):
