@@ -14,12 +14,15 @@ above the class's threshold are joined where they overlap.
     entropy_hex  hexadecimal digits of either case, 3.0 bits a character
     entropy_b64  letters, digits, + / = _ -, 3.75 bits a character
 
-The allow-list suppresses candidates that are no secrets: those without a digit or without a letter,
-UUIDs, runs that count up the alphabet or digits, and well-known placeholders. Base spans stay.
+The allow-list suppresses what is no secret: well-known placeholders and runs that count up the alphabet or
+digits are cut out of a candidate, so that no window touches one and what stands beside it is still
+searched; candidates without a digit or without a letter and UUIDs go. Base spans stay.
 
 DataFrame functions only. Spans are code points, end exclusive. Defined cases: null text is empty and
-has no span; the same string matched by several kinds gives a span of each; repeated rows give
-repeated results.
+has no span; the same string matched by several kinds gives a span of each, ties in start go by kind as
+listed; repeated rows give repeated results; very long texts are scanned whole, in time that grows with
+their length; an empty table gives no row; other columns pass through, but one named as the spans'
+column, which is replaced.
 """
 
 from __future__ import annotations
@@ -43,25 +46,41 @@ ALLOWED = [
     r"^[^0-9]*$",
     r"^[^A-Za-z]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)0123456789|abcdefghij|example|placeholder|changeme|xxxxxxxx|deadbeef",
 ]
+PLACEHOLDER = r"(?i:0123456789|abcdefghij|example|placeholder|changeme|xxxxxxxx|deadbeef)"
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
+BLOCK = 256
+
+
+def running(sizes: Column) -> Column:
+    """For each element the sum of those before it. An array grows within a block only, so that no long one is copied again and again."""
+
+    def sums(values: Column, first: Column) -> Column:
+        zero = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, zero, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda k: F.slice(sizes, k * BLOCK + 1, BLOCK))
+    whole = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, n: a + n))
+    return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.zip_with(blocks, sums(whole, F.lit(0)), sums)))
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """What a pattern's matches leave and the match after each: array<struct<start, gap, match>>, match null at the end."""
+    gaps = F.split(text, pattern, -1)
+    both = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    sizes = F.transform(both, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)))
+    return F.zip_with(both, running(sizes), lambda p, at: F.struct(at.alias("start"), p["gap"].alias("gap"), p["match"].alias("match")))
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
     """Array of spans of a pattern: what splitting leaves between the matches gives their places."""
-    none = F.array().cast(SPAN)
-    gaps = F.split(text, pattern, -1)
 
-    def step(a: Column, m: Column) -> Column:
-        start = a["at"] + F.length(F.get(a["gaps"], a["i"]))
-        end = start + F.length(m)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), m.alias("value"))
-        return F.struct(end.alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(span)).alias("out"), a["gaps"].alias("gaps"))
+    def span(p: Column) -> Column:
+        start = p["start"] + F.length(p["gap"])
+        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(p["match"])).alias("end"), p["match"].alias("value"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("out"), gaps.alias("gaps"))
-    walked = F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), zero, step, lambda a: a["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    found = F.transform(F.filter(pieces(text, pattern), lambda p: p["match"].isNotNull()), span)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def allowed(value: Column) -> Column:
@@ -79,17 +98,23 @@ def entropy_spans(value: Column, threshold: float, window: int = WINDOW) -> Colu
     chars = F.split(value, "")
     kinds = F.array_distinct(chars)
     ids = F.transform(chars, lambda c: F.array_position(kinds, c))
+    none = F.array().cast("array<struct<start:int,end:int>>")
     zero = F.struct(
         F.transform(kinds, lambda c: F.lit(0)).alias("n"),
         F.lit(0.0).alias("sum"),
         F.lit(0).alias("i"),
-        F.array().cast("array<struct<start:int,end:int>>").alias("out"),
+        none.alias("out"),
+        F.lit(-1).alias("start"),  # of the span that is still open, -1 if there is none
+        F.lit(-1).alias("end"),
         ids.alias("ids"),
     )
 
     def nlog(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(0.0)
 
+    def closed(a: Column) -> Column:
+        return F.concat(a["out"], F.array(F.struct(a["start"].alias("start"), a["end"].alias("end"))))
+
     def step(a: Column, new: Column) -> Column:
         old = F.when(a["i"] >= window, F.get(a["ids"], a["i"] - window)).otherwise(F.lit(0))
         before_new = F.get(a["n"], (new - 1).cast("int"))
@@ -101,19 +126,29 @@ def entropy_spans(value: Column, threshold: float, window: int = WINDOW) -> Colu
         n = F.transform(a["n"], lambda x, k: x + F.when(k + 1 == new, 1).otherwise(0) - F.when(k + 1 == old, 1).otherwise(0))
         i = a["i"] + 1
         high = (i >= window) & (math.log2(window) - total / window >= threshold - 1e-9)
-        start = i - window
-        last = F.try_element_at(a["out"], F.lit(-1))
-        joins = (F.size(a["out"]) > 0) & (start <= last["end"])
-        grown = F.concat(F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
-        fresh = F.concat(a["out"], F.array(F.struct(start.alias("start"), i.alias("end"))))
-        spans = F.when(~high, a["out"]).when(F.coalesce(joins, F.lit(False)), grown).otherwise(fresh)
-        return F.struct(n.alias("n"), total.alias("sum"), i.alias("i"), spans.alias("out"), a["ids"].alias("ids"))
+        joins = (a["end"] >= 0) & (i - window <= a["end"])
+        return F.struct(
+            n.alias("n"),
+            total.alias("sum"),
+            i.alias("i"),
+            F.when(high & ~joins & (a["end"] >= 0), closed(a)).otherwise(a["out"]).alias("out"),
+            F.when(high & ~joins, i - window).otherwise(a["start"]).alias("start"),
+            F.when(high, i).otherwise(a["end"]).alias("end"),
+            a["ids"].alias("ids"),
+        )
 
-    return F.aggregate(ids, zero, step, lambda a: a["out"])
+    return F.aggregate(ids, zero, step, lambda a: F.when(a["end"] >= 0, closed(a)).otherwise(a["out"]))
 
 
 def _windows(text: Column, kind: str, pattern: str, threshold: float) -> Column:
-    """Spans of one character class: the joined windows of its candidates that the allow-list leaves."""
+    """Spans of one character class: the joined windows of its candidates, without what the allow-list takes out."""
+
+    def searched(c: Column) -> Column:
+        """The parts of a candidate between placeholders, where they are long enough for a window."""
+        whole = F.array(F.struct(F.lit(0).alias("start"), c["value"].alias("gap"), F.lit(None).cast("string").alias("match")))
+        parts = F.when(c["value"].rlike(PLACEHOLDER), pieces(c["value"], PLACEHOLDER)).otherwise(whole)
+        kept = F.filter(parts, lambda p: (F.length(p["gap"]) >= WINDOW) & ~allowed(p["gap"]))
+        return F.transform(kept, lambda p: F.struct((c["start"] + p["start"]).alias("start"), p["gap"].alias("value")))
 
     def placed(s: Column) -> Column:
         def span(e: Column) -> Column:
@@ -122,7 +157,8 @@ def _windows(text: Column, kind: str, pattern: str, threshold: float) -> Column:
 
         return F.transform(entropy_spans(s["value"], threshold), span)
 
-    return F.flatten(F.transform(F.filter(matches(text, pattern, kind), lambda s: ~allowed(s["value"])), placed))
+    candidates = F.filter(matches(text, pattern, kind), lambda s: ~allowed(s["value"]))
+    return F.flatten(F.transform(F.flatten(F.transform(candidates, searched)), placed))
 
 
 def scan(docs: DataFrame, text: str = "text", into: str = "secret_spans") -> DataFrame:
