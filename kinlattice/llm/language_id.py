@@ -1,17 +1,19 @@
 """Language ID: a byte convolutional network in numpy.
 
-Bytes go to 64 symbols (letters without case, digits, marks, UTF-8 lead and continuation bytes; the
-continuation bytes modulo 32, which folds the case of accented Latin letters). Filters of widths 2, 3
-and 4 over learned symbol vectors, a maximum over each fixed-length window, and a softmax. A text's
-scores are the mean log-probabilities of all its windows, weighted by their letters.
+Every byte of the UTF-8 text has a learned vector of its own; filters of widths 2, 3 and 4 run over them, a maximum over each
+fixed-length window of the text is taken, and a softmax. A text's scores are the mean log-probabilities of all its
+windows, weighted by their bytes of letters.
 
-Training takes a bounded sample of labelled rows, about sample_rows for each language, chosen by a
-hash of the key among all training rows, and at most windows_per_text windows of each, spread evenly.
-The language, the source and the key never enter a prediction, which reads every byte of a text.
+Training takes a bounded sample of labelled rows, about sample_rows for each language and most_rows in
+all, chosen by a hash of the key among all training rows, and at most windows_per_text windows of each,
+spread evenly; every language with a row in the sample is learned. The language, the source and the key
+never enter a prediction, which reads every byte of a text.
 
 Defined cases: a text that is null or has no letter is 'und' with score 1; a row without label never
 trains; with no labelled row at all every text is 'und' with score 0; ties go to the language first
-in alphabetical order; repeated rows and equal texts get equal results.
+in alphabetical order; repeated rows and equal texts get equal results; very long texts go through in
+steps of a bounded number of windows; an empty table gives no row; other columns are not read (predict)
+or pass through (accepted), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,45 +34,27 @@ DIM = 12
 UNKNOWN = "und"
 
 
-def _symbols() -> np.ndarray:
-    out = np.zeros(256, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if b < 128 and c.isalpha():
-            out[b] = 1 + (b | 32) - 97
-        elif b < 128 and c.isdigit():
-            out[b] = 27
-        elif b in (32, 9, 10, 11, 12, 13):
-            out[b] = 28
-        elif b < 128:
-            out[b] = 29
-        elif b < 192:
-            out[b] = 32 + b % 32
-        else:
-            out[b] = 30 if b in (0xC2, 0xC3) else 31
-    return out
-
-
-SYMBOL = _symbols()
+PAD = 32  # a space
+STEP = 16  # windows that go through the filters at a time
 
 
 def windows(raw: bytes, size: int = WINDOW) -> np.ndarray:
-    """Symbols of a text in rows of one window; neighbours share as many bytes as a filter is wide, less one."""
-    x = SYMBOL[np.frombuffer(raw, np.uint8)]
+    """Bytes of a text in rows of one window; neighbours share as many bytes as a filter is wide, less one."""
+    x = np.frombuffer(raw, np.uint8)
     step = size - max(WIDTHS) + 1
     n = max(1, -(-(len(x) - (max(WIDTHS) - 1)) // step))
-    full = np.full((n - 1) * step + size, 28, np.uint8)
+    full = np.full((n - 1) * step + size, PAD, np.uint8)
     full[: len(x)] = x
     return np.lib.stride_tricks.sliding_window_view(full, size)[::step]
 
 
 class Network:
-    """Weights: E[symbol, dim], W[width][width, dim, filter], b[width], V[filters, labels], c."""
+    """Weights: E[byte, dim], W[width][width, dim, filter], b[width], V[filters, labels], c."""
 
     def __init__(self, labels: list[str], seed: int = 11):
         rng = np.random.default_rng(seed)
         self.labels = labels
-        self.p = {"E": rng.normal(0, 0.3, (64, DIM))}
+        self.p = {"E": rng.normal(0, 0.3, (256, DIM))}
         for w in WIDTHS:
             self.p[f"W{w}"] = rng.normal(0, (1 / (w * DIM)) ** 0.5, (w, DIM, FILTERS))
             self.p[f"b{w}"] = np.zeros(FILTERS)
@@ -78,34 +62,35 @@ class Network:
         self.p["c"] = np.zeros(len(labels))
 
     def tables(self, dtype=np.float32) -> dict[int, list[np.ndarray]]:
-        """For each width, what each symbol, or pair of symbols, adds to each filter."""
-        e, out = self.p["E"], {}
+        """For each width and place in the filter, what each byte adds to each filter."""
+        out = {w: [(self.p["E"] @ self.p[f"W{w}"][j]).astype(dtype) for j in range(w)] for w in WIDTHS}
         for w in WIDTHS:
-            one = [(e @ self.p[f"W{w}"][j]).astype(dtype) for j in range(w)]
-            two = [(one[j][:, None] + one[j + 1][None]).reshape(4096, -1) for j in range(0, w - 1, 2)]
-            out[w] = two + ([one[-1]] if w % 2 else [])
             out[w][0] = out[w][0] + self.p[f"b{w}"].astype(dtype)
         return out
 
+    def sums(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Every filter of one width at every place of each row of x: rows, places, filters. The result is overwritten by the next call."""
+        n, span = len(x), x.shape[1] - len(tables) + 1
+        held = self.__dict__.get("room")
+        if held is None or held[0].dtype != tables[0].dtype or held[0].size < n * x.shape[1] * FILTERS:
+            held = self.room = [np.empty(max(n, STEP) * x.shape[1] * FILTERS, tables[0].dtype) for _ in range(2)]
+        total, more = (r[: n * span * FILTERS].reshape(n, span, FILTERS) for r in held)
+        np.take(tables[0], x[:, :span], axis=0, out=total, mode="clip")
+        for j, t in enumerate(tables[1:], 1):
+            total += np.take(t, x[:, j : j + span], axis=0, out=more, mode="clip")
+        return total
+
     def pooled(self, x: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
         """Maxima over each row of x of every filter, after the ramp function."""
-        n, size = x.shape
-        pairs = (x[:, :-1].astype(np.int32) << 6) | x[:, 1:]
-        out = []
-        for w in WIDTHS:
-            span = size - w + 1
-            sums = np.take(tables[w][0], pairs[:, :span], axis=0)
-            for j, t in enumerate(tables[w][1:], 1):
-                sums += np.take(t, (x if len(t) == 64 else pairs)[:, 2 * j : 2 * j + span], axis=0)
-            out.append(sums.max(axis=1))
-        return np.maximum(np.concatenate(out, axis=1), 0)
+        return np.maximum(np.concatenate([self.sums(x, tables[w]).max(axis=1) for w in WIDTHS], axis=1), 0)
 
     def log_probs(self, x: np.ndarray, tables: dict[int, list[np.ndarray]]) -> np.ndarray:
-        z = self.pooled(x, tables) @ self.p["V"] + self.p["c"]
+        pooled = np.concatenate([self.pooled(x[i : i + STEP], tables) for i in range(0, len(x), STEP)])
+        z = pooled @ self.p["V"] + self.p["c"]
         z -= z.max(axis=1, keepdims=True)
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 0.01, batch: int = 64, seed: int = 5) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, batch: int = 64, seed: int = 5) -> None:
         """Adam on the cross entropy; gradients go through the maximum to the place that gave it."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -123,17 +108,13 @@ class Network:
                     p -= lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        n, size = x.shape
+        n = len(x)
         tables, rows = self.tables(), np.arange(n)
-        pairs = (x[:, :-1].astype(np.int32) << 6) | x[:, 1:]
         h, where = [], []
         for w in WIDTHS:
-            span = size - w + 1
-            sums = np.take(tables[w][0], pairs[:, :span], axis=0)
-            for j, t in enumerate(tables[w][1:], 1):
-                sums += np.take(t, (x if len(t) == 64 else pairs)[:, 2 * j : 2 * j + span], axis=0)
+            sums = self.sums(x, tables[w])
             where.append(sums.argmax(axis=1))
-            h.append(np.take_along_axis(sums, where[-1][:, None, :], axis=1)[:, 0])
+            h.append(np.take_along_axis(sums, where[-1][:, None, :], axis=1)[:, 0].copy())
         h = np.concatenate(h, axis=1).astype(np.float64)
         on = h > 0
         h = h * on
@@ -149,18 +130,19 @@ class Network:
             d = back[:, i * FILTERS : (i + 1) * FILTERS]
             g[f"b{w}"] = d.sum(axis=0)
             for j in range(w):
-                s = np.take_along_axis(x, where[i] + j, axis=1)  # symbol under the filter's j-th place
-                hot = np.zeros((64, FILTERS))
+                s = np.take_along_axis(x, where[i] + j, axis=1)  # byte under the filter's j-th place
+                hot = np.zeros((256, FILTERS))
                 np.add.at(hot, (s, np.arange(FILTERS)[None, :].repeat(n, 0)), d)
                 g[f"W{w}"][j] = self.p["E"].T @ hot
                 g["E"] += hot @ self.p[f"W{w}"][j].T
         return g
 
 
-def fit(docs: DataFrame, sample_rows: int = 600, windows_per_text: int = 4, key: str = "doc_id", text: str = "text", label: str = "lang") -> Network | None:
-    """Train on a bounded sample of the labelled rows of docs: about sample_rows for each label."""
+def fit(docs: DataFrame, sample_rows: int = 600, most_rows: int = 60_000, windows_per_text: int = 4, key: str = "doc_id", text: str = "text", label: str = "lang") -> Network | None:
+    """Train on a bounded sample of the labelled rows of docs: about sample_rows for each label, and most_rows in all."""
     rows = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("y"), F.col(key).alias("k"), F.col(text).alias("t"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").limit(500).collect()}
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    sample_rows = min(sample_rows, most_rows / max(1, len(counts)))
     if not counts:
         return None
     share = F.create_map(*[F.lit(z) for y, n in counts.items() for z in (y, min(1.0, sample_rows / n))])
@@ -185,8 +167,8 @@ def fit(docs: DataFrame, sample_rows: int = 600, windows_per_text: int = 4, key:
     # a window is seen whole and cut short, so that short texts look familiar
     rng = np.random.default_rng(9)
     short = x.copy()
-    for row, n in zip(short, rng.integers(16, WINDOW, len(short)), strict=True):
-        row[n:] = 28
+    for row, n in zip(short, np.exp(rng.uniform(np.log(8), np.log(WINDOW), len(short))).astype(int), strict=True):
+        row[n:] = PAD
     net.train(np.concatenate([x, short]), np.concatenate([y, y]))
     return net
 
@@ -203,8 +185,8 @@ def classifier(net: Network | None):
             if not pending:
                 return
             x = np.concatenate([w for _, w in pending])
-            lp = np.concatenate([net.log_probs(x[i : i + 64], tables) for i in range(0, len(x), 64)])
-            letters = ((x >= 1) & (x <= 26) | (x >= 32)).sum(axis=1) + 1e-9
+            lp = net.log_probs(x, tables)
+            letters = (((x | 32) >= 97) & ((x | 32) <= 122) | (x >= 128)).sum(axis=1) + 1e-9
             at = np.cumsum([0, *(len(w) for _, w in pending)])[:-1]
             mean = np.add.reduceat(lp * letters[:, None], at) / np.add.reduceat(letters, at)[:, None]
             p = np.exp(mean - mean.max(axis=1, keepdims=True))
@@ -251,15 +233,14 @@ def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str
 def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, text: str = "text") -> DataFrame:
     """docs without the rows that have no letters, or a score under least; the same columns."""
 
-    @F.pandas_udf("lang string, score double")
-    def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = classifier(net)
         for texts in batches:
             lang, score = run([t if isinstance(t, str) else None for t in texts])
-            yield pd.DataFrame({"lang": lang, "score": score})
+            yield pd.Series([a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)])
 
-    held = docs.withColumn("_guess", guess(F.col(text)))
-    return held.where((F.col("_guess.lang") != UNKNOWN) & (F.col("_guess.score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.where(known(F.col(text)))
 
 
 def held_out(key: str = "doc_id"):
