@@ -4,32 +4,39 @@ Words are runs of letters and digits in lower case; shingles are WIDTH consecuti
 an item that has fewer). For an item of w words a window is w consecutive words of a document, or the
 whole document where it is shorter.
 
-1. Documents' shingles meet the items' shingles by hash. A pair of that similarity has a least number of
-   shingles in common, so only windows with as many places of item shingles go on; none of the others
-   can match.
-2. Each such window gets a SimHash of 64 bits in which every shingle votes by its frequency.
-3. Multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and an item and a window meet in the
+1. Slots: a map of fixed size tells which hashes can be an item's shingle. Documents without one can hold
+   no match and go no further; texts are never shuffled, only the shingle hashes of the others.
+2. Seeds: places of a document's shingles that are an item's, with that item. A pair of that similarity
+   has a least number of shingles in common, so only windows with as many seeds of one item go on; a
+   window meets only items that it can match.
+3. Each such window gets a SimHash of 64 bits in which every shingle votes by its frequency. Votes roll
+   from window to window: the shingle that comes adds its votes, the one that goes takes them back.
+4. Multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and a window and its item meet in the
    first block on which they agree; by the pigeonhole principle no pair within RADIUS is missed.
-   Repeated shingles vote as often as they stand, so that like texts can differ by more bits: pairs
-   beyond RADIUS meet in the first shingle that they have in common.
-4. All these pairs are verified: the sum of the smaller frequencies over the sum of the larger
-   ones, over all shingles of both, must be SIMILARITY or more.
-
-DataFrame functions only. The items' shingles are broadcast only up to BROADCAST_ROWS of them, beyond
-that they are joined by a shuffle. Defined cases: null or empty texts and items match nothing; repeated
-rows of a document count once; equal items are reported each; ties take the first window.
+   Fingerprints are estimates, so like texts can differ by more bits, above all where repeated shingles
+   vote often: what lies beyond RADIUS goes to the same verification as an exact way for the rest.
+5. Verification: the sum of the smaller frequencies over the sum of the larger ones, over all shingles
+   of both, must be SIMILARITY or more. The sum of the smaller ones is a running count: the place of a
+   shingle that the item has c times counts for the windows that hold it, but not the c-th such place before it.
+
+DataFrame functions only. The items' shingles are broadcast only up to BROADCAST_ROWS counted rows, beyond
+that they are joined by a shuffle. All steps take time in proportion to seeds and windows. Defined cases:
+null or empty texts and items match nothing; repeated rows of a document count once; equal items are
+reported each; ties take the first window; very long texts and items are like any; empty tables give no
+match; other columns pass through (clean), whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import hash128, table
+from .common import Slots, flattened, hash128, nested, staged, table
 
 WIDTH = 5
 SIMILARITY = 0.75
-RADIUS = 23
+RADIUS = 15
 BROADCAST_ROWS = 500_000
 
 
@@ -53,16 +60,26 @@ def shingles(words: Column, width: int) -> Column:
     return let(words, made)
 
 
+LANES = "4294967297L"  # bits 0 and 32: each of 32 longs counts the votes of bits k and k + 32
+_FINGERPRINT = """aggregate(sequence(0, 31), 0L, (r, k) -> r
+    | if(2 * ({v}[k] & 4294967295L) > {n}, shiftleft(1L, k), 0L)
+    | if(2 * shiftrightunsigned({v}[k], 32) > {n}, shiftleft(1L, k + 32), 0L))"""
+_VOTES = "aggregate({hs}, array_repeat(0L, 32), (a, h) -> transform(a, (x, k) -> x + (shiftrightunsigned(h, k) & " + LANES + ")))"
+
+
 def simhash(hashes: str) -> Column:
-    """64-bit SimHash of an array of hashes: every element votes once for each bit.
+    """64-bit SimHash of an array of hashes: every element votes once for each bit; lanes hold 2^31 votes."""
+    return F.expr(f"aggregate(array({_VOTES.format(hs=hashes)}), 0L, (z, v) -> {_FINGERPRINT.format(v='v', n=f'size({hashes})')})")
 
-    Votes are held in 16 longs of four 16-bit lanes; lane l of long k counts bit k + 16 l.
-    """
-    return F.expr(
-        f"""aggregate({hashes}, array_repeat(0L, 16),
-              (a, h) -> transform(a, (x, k) -> x + (shiftrightunsigned(h, k) & 281479271743489L)),
-              a -> aggregate(sequence(0, 63), 0L, (r, b) -> r | if(2 * (shiftrightunsigned(a[b % 16], 16 * (b div 16)) & 65535L) > size({hashes}), shiftleft(1L, b), 0L)))"""
-    )
+
+def rolling(hashes: str, span: str) -> Column:
+    """SimHashes of all windows of span elements of an array of at least as many, in order."""
+    move = f"transform(s.v, (x, k) -> x + (shiftrightunsigned({hashes}[i + {span}], k) & {LANES}) - (shiftrightunsigned({hashes}[i], k) & {LANES}))"
+    first = _VOTES.format(hs=f"slice({hashes}, 1, {span})")
+    steps = f"if(size({hashes}) > {span}, sequence(0, size({hashes}) - {span} - 1), array())"
+    step = f"aggregate(array({move}), s, (z, v) -> named_struct('v', v, 'out', concat(s.out, array({_FINGERPRINT.format(v='v', n=span)}))))"
+    zero = f"aggregate(array({first}), named_struct('v', array_repeat(0L, 32), 'out', array(0L)), (z, v) -> named_struct('v', v, 'out', array({_FINGERPRINT.format(v='v', n=span)})))"
+    return F.expr(f"aggregate({steps}, {zero}, (s, i) -> {step}, s -> s.out)")
 
 
 def block_masks(radius: int = RADIUS) -> list[int]:
@@ -73,15 +90,6 @@ def block_masks(radius: int = RADIUS) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def weighted_similarity(a: str, b: str) -> Column:
-    """Sum of smaller over sum of larger frequencies of two arrays of hashes."""
-    return F.expr(
-        f"""aggregate(array_intersect({a}, {b}), 0,
-              (s, x) -> s + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))),
-              s -> s / (size({a}) + size({b}) - s))"""
-    )
-
-
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """item, n_words, k (shingle width) and item_hashes; items without words are left out."""
     w = benchmark.select(F.col(item).alias("item_id"), words_of(F.col(text)).alias("w")).where(F.size("w") > 0)
@@ -91,80 +99,109 @@ def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") ->
     return w.select("item_id", F.size("w").alias("n_words"), F.least(F.size("w"), F.lit(WIDTH)).alias("k"), own.alias("item_hashes"))
 
 
+PAIR = ["r1", "r2", "item_id"]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and item with a window of that similarity: the best window.
 
-    Columns: the key, _r1 and _r2 (the document's row hashes), item_id, similarity, start_word,
+    Columns: the key, r1 and r2 (the document's row hashes), item_id, similarity, start_word,
     window_words and n_windows. A benchmark is a stated query set; its rows are counted first.
     """
-    items = items_of(benchmark)
+    items = staged(items_of(benchmark), "items")
     sizes = items.groupBy("k").agg(F.sum(F.size("item_hashes")).alias("n")).collect()  # at most WIDTH rows
     small = sum(r["n"] for r in sizes) <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
     r1, r2 = hash128(F.col(key), F.col(text))
-    held = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("t"), r1.alias("_r1"), r2.alias("_r2"))
-    found = None
-    for k in sorted(r["k"] for r in sizes):
-        of = items.where(F.col("k") == k)
-        part = _of_width(held, of, k, hint, similarity, radius)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        empty = "doc_id long, _r1 long, _r2 long, item_id long, similarity double, start_word long, window_words long, n_windows long"
-        return docs.sparkSession.createDataFrame([], empty).withColumnRenamed("doc_id", key)
-    return found.withColumnRenamed("doc_id", key)
+    held = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("t"), r1.alias("r1"), r2.alias("r2"))
+    parts = [_of_width(held, items.where(F.col("k") == k), k, hint, similarity, radius) for k in sorted(r["k"] for r in sizes)]
+    if not parts:
+        columns = "r1 long, r2 long, item_id long, similarity double, start_word long, window_words long, n_windows long"
+        return docs.sparkSession.createDataFrame([], columns).withColumn(key, F.lit(None).cast("long")).select(key, *[c.split()[0] for c in columns.split(", ")])
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.withColumnRenamed("key", key)
+
+
+def seeds(hits: DataFrame, items: DataFrame, slots: Slots, hint) -> DataFrame:
+    """r1, r2, item_id, pos, h: places of items' shingles; with n and m, the shingles of document and item, and c, h's in the item."""
+    of = items.select("item_id", F.size("item_hashes").alias("m"), F.explode("item_hashes").alias("h")).groupBy("item_id", "m", "h").agg(F.count("*").alias("c"))
+    at = hits.select("r1", "r2", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
+    return at.where(slots.has(F.col("h"))).join(hint(of), "h")
+
+
+def common(found: DataFrame, span: Column) -> DataFrame:
+    """r1, r2, item_id, start, end (exclusive), inter: windows that start there have that sum of smaller frequencies (where it is over 0)."""
+    places = found.groupBy(*PAIR, "h").agg(F.sort_array(F.collect_list("pos")).alias("ps"), F.first("c").cast("int").alias("c"), F.first("n").alias("n"), F.first("m").alias("m"))
+    places = places.withColumn("span", span)
+    spans = F.expr("transform(ps, (p, i) -> struct(greatest(if(i >= c, ps[greatest(i - c, 0)] + 1, 0), p - span + 1, 0) AS a, least(p, n - span) + 1 AS b))")
+    steps = places.select(*PAIR, F.explode(F.filter(spans, lambda x: x["a"] < x["b"])).alias("x"))
+    events = steps.select(*PAIR, F.inline(F.expr("array(struct(x.a AS start, 1 AS d), struct(x.b AS start, -1 AS d))"))).groupBy(*PAIR, "start").agg(F.sum("d").alias("d"))
+    by = Window.partitionBy(*PAIR).orderBy("start")
+    runs = events.select(*PAIR, "start", F.lead("start").over(by).alias("end"), F.sum("d").over(by).alias("inter"))
+    return runs.where((F.col("inter") > 0) & F.col("end").isNotNull())
 
 
 def _of_width(held: DataFrame, items: DataFrame, k: int, hint, similarity: float, radius: int) -> DataFrame:
-    at = held.select("_r1", "_r2", F.posexplode(shingles(words_of(F.col("t")), k)).alias("pos", "h"))
-    of = items.select("n_words", F.explode(F.array_distinct("item_hashes")).alias("h")).distinct()
-    seeds = at.join(hint(of), "h").groupBy("_r1", "_r2", "n_words").agg(F.collect_set("pos").alias("seeds"))
-    seeds = seeds.groupBy("_r1", "_r2").agg(F.collect_list(F.struct("n_words", "seeds")).alias("by_size"))
-    hit = held.join(seeds, ["_r1", "_r2"]).groupBy("_r1", "_r2").agg(F.first("doc_id").alias("doc_id"), F.first("t").alias("t"), F.first("by_size").alias("by_size"))
-    hit = hit.select("_r1", "_r2", "doc_id", shingles(words_of(F.col("t")), k).alias("hs"), F.explode("by_size").alias("s"))
-    span = F.least(F.col("s.n_words") - (k - 1), F.size("hs"))  # shingles in a window
-    hit = hit.select("_r1", "_r2", "doc_id", "hs", F.col("s.n_words").alias("n_words"), F.col("s.seeds").alias("seeds"), span.alias("span"))
-    # shingles in common that this similarity takes, of span and n_words - (k - 1); starts whose window has as many seeds
-    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.col("span") + F.col("n_words") - (k - 1)) - 1e-6).cast("int"))
-    hit = hit.withColumns({"need": need, "seeds": F.array_sort("seeds")})
-    runs = "filter(transform(seeds, (p, i) -> struct(greatest(0, get(seeds, i + need - 1) - span + 1) AS a, least(p, size(hs) - span) AS b, i + need <= size(seeds) AS has)), r -> r.has AND r.a <= r.b)"
-    starts = F.expr(f"array_distinct(flatten(transform({runs}, r -> sequence(r.a, r.b))))")
-    wins = hit.withColumn("start", F.explode(starts)).select("_r1", "_r2", "doc_id", "n_words", "start", F.expr("slice(hs, start + 1, span)").alias("win"))
+    slots = Slots(items.select(F.explode("item_hashes").alias("h")), "h")
+    own = held.select("key", "r1", "r2", shingles(words_of(F.col("t")), k).alias("hs")).where(F.exists("hs", slots.has))
+    hits = staged(own.groupBy("r1", "r2").agg(F.first("key").alias("key"), F.first("hs").alias("hs")), "hits")
+    span = F.least("n", "m")  # shingles in a window
+    # shingles in common that this similarity takes, of span and m
+    need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.least("n", "m") + F.col("m")) - 1e-6).cast("int"))
+    found = staged(seeds(hits, items, slots, hint).repartition(*PAIR), "seeds")
+
+    # starts whose window holds as many seeds, in runs and these in blocks, each with the shingles of its windows
+    pairs = found.groupBy(*PAIR, "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("ps")).withColumns({"need": need, "span": span})
+    runs = "filter(transform(ps, (p, i) -> struct(greatest(0, get(ps, i + need - 1) - span + 1) AS a, least(p, n - span) AS b, i + need <= size(ps) AS has)), r -> r.has AND r.a <= r.b)"
+    one = pairs.where("size(ps) >= need").select(*PAIR, "m", "span", F.inline(F.expr(runs))).drop("has")
+    by = Window.partitionBy(*PAIR).orderBy("a", "b")
+    before = F.coalesce(F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    # runs of neighbouring seeds overlap: they become one, so that a shingle's votes are counted for few blocks
+    one = one.withColumn("new", (F.col("a") > before + 1).cast("int")).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    one = one.groupBy(*PAIR, "m", "span", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    cut = one.withColumn("a", F.explode(F.expr("sequence(a, b, greatest(64, span))"))).withColumn("b", F.least(F.col("b"), F.col("a") + F.greatest(F.lit(64), "span") - 1))
+    block = cut.join(hits.select("r1", "r2", "hs"), ["r1", "r2"]).withColumn("hs", F.expr("slice(hs, a + 1, b - a + span)"))
+    wins = block.select(*PAIR, "a", F.posexplode(rolling("hs", "span")).alias("i", "fp")).select(*PAIR, (F.col("a") + F.col("i")).alias("start"), "fp")
+
     masks = F.array(*[F.lit(m) for m in block_masks(radius)])
 
-    def keyed(df: DataFrame, hashes: str) -> DataFrame:
-        """A row for each block of the fingerprint, and one of block -1 for each distinct shingle."""
-        cut = F.transform(F.col("_masks"), lambda m, i: F.struct(i.alias("block"), F.col("fp").bitwiseAND(m).alias("value")))
-        own = F.transform(F.array_distinct(hashes), lambda h: F.struct(F.lit(-1).alias("block"), h.alias("value")))
-        return df.withColumn("_masks", masks).select(*df.columns, F.inline(F.concat(cut, own)))
-
-    left = keyed(wins.withColumn("fp", simhash("win")), "win")
-    right = keyed(items.select("item_id", "n_words", "item_hashes").withColumn("fp", simhash("item_hashes")), "item_hashes")
-    right = right.select(F.col("n_words"), "block", "value", F.col("fp").alias("item_fp"), "item_id", "item_hashes")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-    pairs = left.join(hint(right), ["n_words", "block", "value"]).where(near == (F.col("block") >= 0))
-    first = F.array_position(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(F.col("item_fp")).bitwiseAND(m) == 0), F.lit(True))
-    shared = F.get(F.array_intersect("win", "item_hashes"), F.lit(0))
-    pairs = pairs.where(F.when(F.col("block") >= 0, first == F.col("block") + 1).otherwise(shared == F.col("value")))
-    scored = pairs.withColumn("similarity", weighted_similarity("win", "item_hashes")).where(F.col("similarity") >= similarity)
-    best = F.max_by(F.struct("similarity", "start", F.size("win").alias("size")), F.struct("similarity", -F.col("start"))).alias("b")
-    out = scored.groupBy("_r1", "_r2", "doc_id", "item_id").agg(best, F.count("*").alias("n_windows"))
+    def keyed(df: DataFrame) -> DataFrame:
+        """A row for each block of the fingerprint, and one of block -1 for the way beyond the radius."""
+        cut = F.transform(masks, lambda m, i: F.struct(i.alias("block"), F.col("fp").bitwiseAND(m).alias("value")))
+        return df.select(*df.columns, F.inline(F.concat(cut, F.array(F.struct(F.lit(-1).alias("block"), F.lit(0).cast("long").alias("value"))))))
+
+    prints = keyed(items.select("item_id", simhash("item_hashes").alias("fp"))).withColumnRenamed("fp", "item_fp")
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    met = keyed(wins).join(hint(prints), ["item_id", "block", "value"])
+    first = F.array_position(F.transform(masks, lambda m: differ.bitwiseAND(m) == 0), F.lit(True)) - 1
+    met = met.where(F.when(F.col("block") >= 0, (F.bit_count(differ) <= radius) & (first == F.col("block"))).otherwise(F.bit_count(differ) > radius))
+
+    exact = common(found, span).withColumn("start", F.explode(F.expr("sequence(start, end - 1)"))).select(*PAIR, "start", "inter")
+    size = pairs.select(*PAIR, "n", "m", "span")
+    inter = F.col("inter")
+    scored = met.join(exact, [*PAIR, "start"]).join(size, PAIR).withColumn("similarity", inter / (F.col("span") + F.col("m") - inter)).where(F.col("similarity") >= similarity)
+    best = F.max_by(F.struct("similarity", "start", "span"), F.struct("similarity", -F.col("start"))).alias("b")
+    out = scored.groupBy(*PAIR).agg(best, F.count("*").alias("n_windows")).join(hits.select("r1", "r2", "key"), ["r1", "r2"])
     return out.select(
-        "doc_id",
-        "_r1",
-        "_r2",
-        "item_id",
+        "key",
+        *PAIR,
         F.col("b.similarity").alias("similarity"),
         F.col("b.start").cast("long").alias("start_word"),
-        (F.col("b.size") + (k - 1)).cast("long").alias("window_words"),
+        (F.col("b.span") + (k - 1)).cast("long").alias("window_words"),
         "n_windows",
     )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that hold a window like an item; the same columns."""
+    """docs without the rows that hold a window like an item; the same columns. Only rows whose slot is that of such a row are shuffled."""
     r1, r2 = hash128(F.col(key), F.col(text))
-    bad = matches(docs, benchmark, key=key, text=text).select("_r1", "_r2").distinct()
-    return docs.withColumns({"_r1": r1, "_r2": r2}).join(bad, ["_r1", "_r2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = staged(matches(docs, benchmark, key=key, text=text).select("r1", "r2").distinct(), "matched")
+    slots = Slots(bad, "r1")
+    held = nested(docs, r1=r1, r2=r2)
+    maybe = held.where(slots.has(F.col("r1"))).join(bad, ["r1", "r2"], "left_anti")
+    return flattened(held.where(~slots.has(F.col("r1"))).unionByName(maybe), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -60,9 +60,11 @@ def test_against_brute_force(spark, docs):
     want = brute(sorted(set(rows), key=repr), items)
     assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start_word, r.window_words, r.n_windows) for r in got} == want and len(got) == len(want) > 15
     bad = {r[0] for r in want}
-    left = dc.clean(docs(rows), bench)
+    names = ["row", "r1", "r2", "_r1", "_r2", "hs", "key"]
+    left = dc.clean(docs(rows).withColumns({n: dc.F.lit(n) for n in names}), bench)
+    assert all(r[n] == n for r in left.collect() for n in names)
     assert sorted((r.doc_id for r in left.collect()), key=repr) == sorted((i for i, _ in rows if i not in bad), key=repr)
-    assert left.columns == docs(rows).columns
+    assert left.columns == [*docs(rows).columns, *names]
     assert dc.matches(docs([]), bench).count() == 0 and dc.clean(docs(rows), bench.limit(0)).count() == len(rows)
 
 
@@ -73,10 +75,15 @@ def test_fingerprints_and_blocks(spark):
     for a, r in zip(arrays, df.select(dc.simhash("hs").alias("f")).collect(), strict=True):
         want = sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in a) > len(a))
         assert r.f & (1 << 64) - 1 == want
+    for span in (1, 3, 17):
+        df = spark.createDataFrame([(a,) for a in arrays if len(a) >= span], "hs array<bigint>")
+        for r in df.select("hs", dc.rolling("hs", str(span)).alias("f")).collect():
+            want = [sum(1 << b for b in range(64) if 2 * sum((x >> b) & 1 for x in r.hs[i : i + span]) > span) for i in range(len(r.hs) - span + 1)]
+            assert [f & (1 << 64) - 1 for f in r.f] == want
     masks = [m & (1 << 64) - 1 for m in dc.block_masks()]
-    assert sum(masks) == (1 << 64) - 1 and len(masks) == 24
-    for _ in range(200):  # any 23 changed bits leave a block as it is
-        x = sum(1 << b for b in rng.sample(range(64), 23))
+    assert sum(masks) == (1 << 64) - 1 and len(masks) == dc.RADIUS + 1
+    for _ in range(200):  # any RADIUS changed bits leave a block as it is
+        x = sum(1 << b for b in rng.sample(range(64), dc.RADIUS))
         assert any(not x & m for m in masks)
 
 
@@ -92,3 +99,25 @@ def test_repeated_shingles_beyond_the_radius(spark, docs):
     want = brute(rows, items)
     assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start_word, r.window_words, r.n_windows) for r in got} == want and len(got) == len(want)
     assert {(i, i) for i in range(8)} <= {r[:2] for r in want}
+
+
+def test_very_long_items_and_texts(spark, docs):
+    """33 000 equal words and 70 000 different ones: no lane overflows, and nothing is quadratic."""
+    long = " ".join(f"u{i}" for i in range(70_000))
+    items = [(1, "la " * 33_000), (2, long), (3, "short item of just some words here")]
+    rows = [(1, "la " * 40_000), (2, "x " + long + " y"), (3, "la " * 20_000), (4, "nothing like any of these at all"), (5, "la " * 33_000)]
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 6), r.start_word, r.window_words, r.n_windows) for r in dc.matches(docs(rows), spark.createDataFrame(items, ITEM)).collect()}
+    assert got[1, 1] == (1.0, 0, 33_000, 7_001) and got[5, 1] == (1.0, 0, 33_000, 1)
+    assert got[2, 2][:3] == (1.0, 1, 70_000) and got[2, 2][3] == 3 and set(got) == {(1, 1), (5, 1), (2, 2)}
+
+
+def test_pairs_that_are_compared_follow_the_seeds(spark, docs):
+    """Items that share nothing with a window aren't met, however many there are."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(300)]
+    rows = [(i, "before " + items[i][1] + " after") for i in range(50)]
+    df, bench = docs(rows), spark.createDataFrame(items, ITEM)
+    of = dc.items_of(bench)
+    slots = dc.Slots(of.select(dc.F.explode("item_hashes").alias("h")), "h")
+    hits = df.select(dc.F.col("doc_id").alias("r1"), dc.F.lit(0).alias("r2"), dc.shingles(dc.words_of(dc.F.col("text")), 5).alias("hs"))
+    assert dc.seeds(hits, of, slots, lambda x: x).select("r1", "item_id").distinct().count() == 50
+    assert dc.matches(df, bench).count() == 50
