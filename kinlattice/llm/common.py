@@ -66,7 +66,7 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
 
 
 class Slots:
-    """Which of a fixed number of slots some hashes fall in: one byte each, sent along with a plan.
+    """Which of a fixed number of slots some hashes fall in: one byte each, handed to a plan as the only value of a subquery.
 
     A filter before a join: rows whose slot is empty can have no partner and need not be shuffled. Its
     size doesn't follow the data; with more hashes than slots it lets more rows through, never fewer.
@@ -78,13 +78,32 @@ class Slots:
         at = hashes.select(self._slot(F.col(name)).alias("s")).distinct().toArrow().column("s")  # at most slots numbers
         np.frombuffer(held, np.uint8)[at.to_numpy()] = 1
         self.used = len(at)
-        self.held = F.lit(bytes(held))
+        self.table = hashes.sparkSession.createDataFrame([(held,)], "held binary")
 
     def _slot(self, h: Column) -> Column:
         return F.pmod(h, F.lit(self.slots)).cast("int")
 
     def has(self, h: Column) -> Column:
-        return F.substring(self.held, self._slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+        return F.substring(self.table.scalar(), self._slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+
+
+def salted(counts: DataFrame, name: str, count: str, least: int, slots: int = 1 << 20):
+    """A function from a key to its number of salts: 1, or 8, 64, ... for keys of more than least, 8 * least, ... rows.
+
+    Both sides of a join use it: the one with the rows deals them over the salts, the other repeats its row for each.
+    """
+    most = counts.agg(F.max(count)).first()[0] or 0
+    tiers = []
+    while most > least * 8 ** len(tiers):
+        tiers.append(Slots(counts.where(F.col(count) > least * 8 ** len(tiers)), name, slots))
+
+    def of(key: Column) -> Column:
+        out = F.lit(1)
+        for i, t in enumerate(tiers, 1):
+            out = F.when(t.has(key), 8**i).otherwise(out)
+        return out
+
+    return of
 
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

@@ -4,11 +4,11 @@ Words are runs of letters and digits in lower case; shingles are WIDTH consecuti
 an item that has fewer). For an item of w words a window is w consecutive words of a document, or the
 whole document where it is shorter.
 
-1. Slots: a map of fixed size tells which hashes can be an item's shingle. Documents without one can hold
-   no match and go no further; texts are never shuffled, only the shingle hashes of the others.
-2. Seeds: places of a document's shingles that are an item's, with that item. A pair of that similarity
-   has a least number of shingles in common, so only windows with as many seeds of one item go on; a
-   window meets only items that it can match.
+1. Seeds: places of a document's shingles that are an item's, with that item. A map of fixed size tells
+   which hashes can be an item's, so that the others end in the task that read the text. A pair of that
+   similarity has a least number of shingles in common, so only windows with as many seeds of one item
+   go on; a window meets only items that it can match.
+2. Of documents with such windows the shingle hashes are fetched; texts are never shuffled.
 3. Each such window gets a SimHash of 64 bits in which every shingle votes by its frequency. Votes roll
    from window to window: the shingle that comes adds its votes, the one that goes takes them back.
 4. Multi-index blocks: 64 bits are cut into RADIUS + 1 blocks, and a window and its item meet in the
@@ -124,11 +124,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     return found.withColumnRenamed("key", key)
 
 
-def seeds(hits: DataFrame, items: DataFrame, slots: Slots, hint) -> DataFrame:
+def seeds(held: DataFrame, items: DataFrame, k: int, hint) -> DataFrame:
     """r1, r2, item_id, pos, h: places of items' shingles; with n and m, the shingles of document and item, and c, h's in the item."""
     of = items.select("item_id", F.size("item_hashes").alias("m"), F.explode("item_hashes").alias("h")).groupBy("item_id", "m", "h").agg(F.count("*").alias("c"))
-    at = hits.select("r1", "r2", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
-    return at.where(slots.has(F.col("h"))).join(hint(of), "h")
+    own = held.select("r1", "r2", shingles(words_of(F.col("t")), k).alias("hs"))
+    at = own.select("r1", "r2", F.size("hs").alias("n"), F.posexplode("hs").alias("pos", "h"))
+    return at.where(Slots(of, "h").has(F.col("h"))).join(hint(of), "h")
 
 
 def common(found: DataFrame, span: Column) -> DataFrame:
@@ -144,18 +145,18 @@ def common(found: DataFrame, span: Column) -> DataFrame:
 
 
 def _of_width(held: DataFrame, items: DataFrame, k: int, hint, similarity: float, radius: int) -> DataFrame:
-    slots = Slots(items.select(F.explode("item_hashes").alias("h")), "h")
-    own = held.select("key", "r1", "r2", shingles(words_of(F.col("t")), k).alias("hs")).where(F.exists("hs", slots.has))
-    hits = staged(own.groupBy("r1", "r2").agg(F.first("key").alias("key"), F.first("hs").alias("hs")), "hits")
     span = F.least("n", "m")  # shingles in a window
     # shingles in common that this similarity takes, of span and m
     need = F.greatest(F.lit(1), F.ceil(similarity / (1 + similarity) * (F.least("n", "m") + F.col("m")) - 1e-6).cast("int"))
-    found = staged(seeds(hits, items, slots, hint).repartition(*PAIR), "seeds")
+    found = staged(seeds(held, items, k, hint).repartition(*PAIR).dropDuplicates([*PAIR, "pos"]), "seeds")
 
     # starts whose window holds as many seeds, in runs and these in blocks, each with the shingles of its windows
-    pairs = found.groupBy(*PAIR, "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("ps")).withColumns({"need": need, "span": span})
+    pairs = found.groupBy(*PAIR, "n", "m").agg(F.sort_array(F.collect_list("pos")).alias("ps")).withColumns({"need": need, "span": span}).where("size(ps) >= need")
+    pairs = staged(pairs, "pairs")
+    own = held.where(Slots(pairs, "r1").has(F.col("r1"))).select("key", "r1", "r2", shingles(words_of(F.col("t")), k).alias("hs"))
+    hits = staged(own.groupBy("r1", "r2").agg(F.first("key").alias("key"), F.first("hs").alias("hs")), "hits")
     runs = "filter(transform(ps, (p, i) -> struct(greatest(0, get(ps, i + need - 1) - span + 1) AS a, least(p, n - span) AS b, i + need <= size(ps) AS has)), r -> r.has AND r.a <= r.b)"
-    one = pairs.where("size(ps) >= need").select(*PAIR, "m", "span", F.inline(F.expr(runs))).drop("has")
+    one = pairs.select(*PAIR, "m", "span", F.inline(F.expr(runs))).drop("has")
     by = Window.partitionBy(*PAIR).orderBy("a", "b")
     before = F.coalesce(F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
     # runs of neighbouring seeds overlap: they become one, so that a shingle's votes are counted for few blocks

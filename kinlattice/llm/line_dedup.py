@@ -23,13 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, hash128, nested, staged, table
+from .common import Slots, hash128, nested, salted, staged, table
 
 MIN_SITES = 10
 BAND = 0.25
 LG_K = 12
 SALTED = 2_000
-MOST_SALTS = 256
 
 
 def lines_of(text: Column) -> Column:
@@ -61,9 +60,7 @@ def mark(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text:
     held = nested(docs, r1=r1, r2=r2)
     body = F.col("row").getField(text)
     wanted = staged(boilerplate(docs, min_sites, text, site), "boilerplate")
-    hot = Slots(wanted.where(F.col("places") > SALTED), "h1")
-    most = wanted.agg(F.max("places")).first()[0] or 0
-    salts = F.when(hot.has(F.col("h1")), min(MOST_SALTS, -(-most // SALTED))).otherwise(1)
+    salts = salted(wanted, "h1", "places", SALTED)(F.col("h1"))
     own = _exploded(held, body, F.col("r1"), F.col("r2")).where(Slots(wanted, "h1").has(F.col("h1")))
     own = own.withColumn("salt", F.pmod(F.xxhash64("r1", "pos"), salts).cast("int"))
     copies = wanted.select("h1", "h2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))

@@ -20,12 +20,15 @@ Documents with equal sets form a class, and only one set of a class goes on. For
    could join two components.
 4. Components of the links, by smallest label, in joins that stay on the executors.
 
-All shuffles carry fixed-size records, or packed arrays whose buckets are made as small as a parameter
+The plan is the same at every size: texts and sets are shuffled only where their slot in a map of fixed
+size has a partner, and no side is broadcast. All shuffles carry fixed-size records, or packed arrays whose buckets are made as small as a parameter
 says; a shingle or signature that a third of all documents have is one entry of each of them.
 
 Defined cases: null or empty texts have no shingle, no link and themselves as component; a text of
-fewer than five words has one shingle; repeated rows are a class of their own; a null key never becomes
-a component's number unless no other is there.
+fewer than five words has one shingle; repeated rows are a class of their own; a row with a null key links
+like any, but a null never becomes a component's number unless no key is there; ties between hubs go by
+size and number; very long texts are one set; an empty table gives no row; other columns are not read
+(join) or pass through (one_of_each), whatever their names.
 """
 
 from __future__ import annotations
@@ -41,12 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, columns, map_columns, mix, shingle_sets, staged, starting, table
+from .common import Slots, WordHash, columns, flattened, hash128, map_columns, mix, nested, salted, shingle_sets, staged, starting, table
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
 STARS = 3
-BROADCAST_ROWS = 500_000
+SLOTS = 1 << 22  # of the maps that tell which rows have a partner
+MEMBERS = 256  # pairs of one hub that may meet one copy of its set
 COUNTED = 4_000_000  # values of shingles that one task holds at a time to count unshared ones
 BUCKET = 1_000_000  # signatures that one task holds at a time
 LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
@@ -92,14 +96,14 @@ def _pack(ids: list, sets: list[np.ndarray], buckets: int) -> list[tuple]:
 
 
 def scanned(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One pass over the texts. Rows with bucket -1 hold keys, sizes and 128-bit identities of sets; the
+    """One pass over the texts. Rows with bucket -1 hold keys, the rows' own hashes, sizes and 128-bit identities of sets; the
     others what a bucket gets of the sampled shingles of each different set in a batch."""
 
     @starting
     def work():
         words = WordHash()
 
-        def run(keys: list, texts: list) -> dict:
+        def run(keys: list, r1: list, r2: list, texts: list) -> dict:
             sets = shingle_sets(texts, words, WIDTH)
             own = [_identity(s) for s in sets]
             some = {i[0]: s for i, s in zip(own, sets, strict=True) if len(s) >= 3}
@@ -109,6 +113,8 @@ def scanned(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "tex
             out = columns(PACKED, packed)
             return {
                 "key": keys + none,
+                "r1": r1 + none,
+                "r2": r2 + none,
                 "n_shingles": [len(s) for s in sets] + none,
                 "s1": [i[0] for i in own] + none,
                 "s2": [i[1] for i in own] + none,
@@ -118,7 +124,8 @@ def scanned(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "tex
 
         return run
 
-    return map_columns(docs, [F.col(key).cast("long"), F.col(text)], work, "key long, n_shingles long, s1 long, s2 long, bucket int, ids binary, n binary, values binary")
+    inputs = [F.col(key).cast("long"), *hash128(F.col(key), F.col(text)), F.col(text)]
+    return map_columns(docs, inputs, work, "key long, r1 long, r2 long, n_shingles long, s1 long, s2 long, bucket int, ids binary, n binary, values binary")
 
 
 def unshared(packed: DataFrame, buckets: int) -> DataFrame:
@@ -347,7 +354,7 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     groups: node, label of groups of sets. A group's sets are dealt into blocks of bounded size, and each
     pair of blocks is one task's work, which counts common shingles by their postings and gives only links.
     """
-    of = sets.join(_small(groups.select(F.col("node").alias("cid"), F.col("label").alias("g"))), "cid")
+    of = sets.where(Slots(groups, "node", SLOTS).has(F.col("cid"))).join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")).hint("merge"), "cid")
     size = of.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / tile), F.lit(1)).cast("int").alias("blocks"))
     held = of.join(size, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -385,17 +392,27 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     return held.groupBy("g", "i", "j").applyInPandas(work, "a long, b long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has at most BROADCAST_ROWS rows of a few numbers; it is counted first."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def labelled(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sets with the label of their component; a set without links is its own, and isn't shuffled."""
+    alone = sets.select("cid", "n", "u", "set", F.col("cid").alias("label"))
+    if labels is None:
+        return alone
+    slots = Slots(labels, "node", SLOTS)
+    some = sets.where(slots.has(F.col("cid"))).join(labels.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
+    return alone.where(~slots.has(F.col("cid"))).unionByName(some.select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label")))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs a, b whose sets have a similarity of 3/4 or more. pairs: a table that can be read twice."""
-    right = sets.select(F.col("cid").alias("b"), F.col("set").alias("sb")).join(_small(pairs), "b")
-    hubs = staged(pairs.select("a").distinct(), "hubs")
-    left = sets.select(F.col("cid").alias("a"), F.col("set").alias("sa")).join(_small(hubs), "a", "left_semi")
-    both = right.join(left, "a")
+    """Those of the pairs a, b whose sets have a similarity of 3/4 or more. pairs: a table that can be read twice.
+
+    A set that has more than MEMBERS pairs as a is sent several times, and these pairs are dealt over the copies.
+    """
+    some = sets.where(Slots(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", SLOTS).has(F.col("cid"))).select("cid", "set")
+    salts = salted(staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs"), "a", "n", MEMBERS)
+    hubs = Slots(pairs, "a", SLOTS)
+    left = some.where(hubs.has(F.col("cid"))).select(F.col("cid").alias("a"), F.explode(F.sequence(F.lit(0), salts(F.col("cid")) - 1)).alias("salt"), F.col("set").alias("sa"))
+    right = some.withColumnRenamed("cid", "b").withColumnRenamed("set", "sb").join(pairs.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("b"), salts(F.col("a"))).cast("int"))
+    both = right.join(left.hint("merge"), ["a", "salt"])
 
     def verify(a: list, b: list, sa: list, sb: list) -> dict:
         keep = []
@@ -427,40 +444,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = HEAVY, tile: int = TILE) -> DataFrame:
-    """key, n_shingles and component_id for every row of docs."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int = HEAVY, tile: int = TILE, rows: bool = False) -> DataFrame:
+    """key, n_shingles and component_id for every row of docs; with rows also r1, r2, the row's hashes, and component, a number that no other has."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = _buckets(spark, chars // 6 * SAMPLED // 16, COUNTED)
     scan = staged(scanned(docs, buckets, key, text), "scan")
-    ids = scan.where("bucket < 0").select(F.col("key").alias(key), "n_shingles", "s1", "s2")
-    classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"))
+    ids = scan.where("bucket < 0").select(F.col("key").alias(key), "r1", "r2", "n_shingles", "s1", "s2")
+    classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"), F.min(F.struct("r1", "r2")).alias("r"))
     alone = unshared(scan.where("bucket >= 0"), buckets).withColumnRenamed("id", "s1")
-    survivors = staged(classes.where("n >= 3").join(alone, "s1", "left").where("rep IS NOT NULL AND 4 * coalesce(u, 0) <= n").select("s1", "s2", "n", "rep"), "survivors")
-    of = survivors.select(F.col("rep").alias("k"), "s1", "s2", "n")
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(_small(of), "k")
+    survivors = classes.where("n >= 3").join(alone.hint("merge"), "s1", "left").where("4 * coalesce(u, 0) <= n")
+    survivors = staged(survivors.select("s1", "s2", "n", "rep", "r.r1", "r.r2"), "survivors")
+    # one row of each class brings the text, found by its own hash, whatever its key; rows without a slot stay where they are
+    r1, r2 = hash128(F.col(key), F.col(text))
+    wanted = Slots(survivors, "r1", SLOTS)
+    texts = docs.select(r1.alias("r1"), r2.alias("r2"), F.col(text).alias("t")).where(wanted.has(F.col("r1")))
+    texts = texts.join(survivors.select("s1", "s2", "r1", "r2").hint("merge"), ["r1", "r2"])
 
     @starting
     def fetch():
         words = WordHash()
 
-        def run(s1: list, s2: list, ts: list) -> dict:
-            rows = [(i, len(s), s.astype("<u8").tobytes()) for i, j, s in zip(s1, s2, shingle_sets(ts, words, WIDTH), strict=True) if _identity(s) == (i, j)]
-            return columns(("cid", "n", "set"), rows)
+        def run(s1: list, ts: list) -> dict:
+            return columns(("cid", "n", "set"), [(i, len(s), s.astype("<u8").tobytes()) for i, s in zip(s1, shingle_sets(ts, words, WIDTH), strict=True)])
 
         return run
 
-    fetched = staged(map_columns(texts, [F.col("s1"), F.col("s2"), F.col("t")], fetch, "cid long, n long, set binary").dropDuplicates(["cid"]), "sets")
+    fetched = staged(map_columns(texts, [F.col("s1"), F.col("t")], fetch, "cid long, n long, set binary").dropDuplicates(["cid"]), "sets")
     held = fetched.agg(F.sum("n")).first()[0] or 0
     if not held:
-        return _labelled(ids, classes, survivors, None, key)
+        return _labelled(ids, classes, survivors, None, key, rows)
 
     def whole(cids: list, stored: list) -> dict:
         return columns(PACKED, _pack(cids, [np.frombuffer(s, "<u8") for s in stored], _buckets_of_sets))
 
     _buckets_of_sets = _buckets(spark, held, COUNTED)
     exact = unshared(map_columns(fetched, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary"), _buckets_of_sets)
-    sets = staged(fetched.join(exact.withColumnRenamed("id", "cid"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
+    sets = staged(fetched.join(exact.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
     edges = [int(x) for x in _BANDS[:-1] if x < 1 << 31]
     band = F.expr("size(filter(array(" + ",".join(map(str, edges)) + "), e -> e < n))")
     per = {r["band"]: r["c"] for r in sets.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()}  # one row a band
@@ -468,7 +488,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     weight = sum(c * 2.5 * int(_BANDS[b]) * 2 / 7 * math.comb(shapes[b][1], shapes[b][0]) / (shapes[b][0] + 1) for b, c in per.items())
     links, labels, tested = None, None, None
     for mode in ("best", *(f"star{i}" for i in range(STARS)), "all"):
-        marked = sets.withColumn("label", F.col("cid")) if labels is None else sets.join(_small(labels), sets["cid"] == labels["node"], "left").select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label"))
+        marked = labelled(sets, labels)
         met = staged(_meetings(marked, shapes, int(weight), mode, heavy), "met")
         pairs = met.where("NOT heavy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -484,30 +504,38 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
             continue
         links = new if links is None else links.unionByName(new)
         labels = components(links)
-    return _labelled(ids, classes, survivors, labels, key)
+    return _labelled(ids, classes, survivors, labels, key, rows)
 
 
-def _labelled(ids: DataFrame, classes: DataFrame, survivors: DataFrame, labels: DataFrame | None, key: str) -> DataFrame:
+def _labelled(ids: DataFrame, classes: DataFrame, survivors: DataFrame, labels: DataFrame | None, key: str, rows: bool) -> DataFrame:
     """Components' smallest keys, from labels of classes to rows."""
     if labels is not None:
-        reps = labels.join(survivors.select(F.col("s1").alias("node"), "rep"), "node")
+        reps = labels.join(survivors.select(F.col("s1").alias("node"), "rep").hint("merge"), "node")
         least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-        joined = labels.join(least, "label").select(F.col("node").alias("s1"), "component_id")
-        whole = classes.join(joined, "s1", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
+        joined = labels.join(least.hint("merge"), "label").select(F.col("node").alias("s1"), "component_id", F.col("label").alias("component"))
+        whole = classes.join(joined.hint("merge"), "s1", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "s1").alias("component"))
     else:
-        whole = classes.select("s1", "s2", F.col("rep").alias("component_id"))
-    return ids.join(whole, ["s1", "s2"], "left").select(key, "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", key)).otherwise(F.col(key)).alias("component_id"))
+        whole = classes.select("s1", "s2", F.col("rep").alias("component_id"), F.col("s1").alias("component"))
+    out = ids.join(whole.hint("merge"), ["s1", "s2"], "left")
+    least = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", key)).otherwise(F.col(key)).alias("component_id")
+    return out.select(key, "n_shingles", least, *(["r1", "r2", "component"] if rows else []))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: that with the smallest key.
 
-    Rows without shingles all stay; rows with one key and text are one document and stay together.
+    Rows without shingles all stay; rows with one key and text are one document and stay together; of a
+    component without any key the rows with the smallest hash stay. Other columns pass through, whatever their names.
     """
-    found = join(docs, key, text).select(F.col(key).alias("_k"), "component_id", "n_shingles").distinct()
-    stay = found.where(F.col("_k").isNull() | (F.col("_k") == F.col("component_id"))).select("_k").distinct()
-    first = docs.join(stay, docs[key].eqNullSafe(stay["_k"]), "left_semi")
-    return first
+    found = join(docs, key, text, rows=True)
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(key).isNull(), key, "r1", "r2")).alias("f"))
+    kept = first.select("f.r1", "f.r2").unionByName(found.where("n_shingles = 0").select("r1", "r2"))
+    gone = staged(found.select("r1", "r2").distinct().join(kept.hint("merge"), ["r1", "r2"], "left_anti"), "gone")
+    slots = Slots(gone, "r1", SLOTS)
+    r1, r2 = hash128(F.col(key), F.col(text))
+    held = nested(docs, r1=r1, r2=r2)
+    maybe = held.where(slots.has(F.col("r1"))).join(gone.hint("merge"), ["r1", "r2"], "left_anti")
+    return flattened(held.where(~slots.has(F.col("r1"))).unionByName(maybe), docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

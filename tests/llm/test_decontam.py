@@ -116,8 +116,6 @@ def test_pairs_that_are_compared_follow_the_seeds(spark, docs):
     items = [(i, " ".join(f"i{i}w{j}" for j in range(20))) for i in range(300)]
     rows = [(i, "before " + items[i][1] + " after") for i in range(50)]
     df, bench = docs(rows), spark.createDataFrame(items, ITEM)
-    of = dc.items_of(bench)
-    slots = dc.Slots(of.select(dc.F.explode("item_hashes").alias("h")), "h")
-    hits = df.select(dc.F.col("doc_id").alias("r1"), dc.F.lit(0).alias("r2"), dc.shingles(dc.words_of(dc.F.col("text")), 5).alias("hs"))
-    assert dc.seeds(hits, of, slots, lambda x: x).select("r1", "item_id").distinct().count() == 50
+    held = df.select(dc.F.col("doc_id").alias("r1"), dc.F.lit(0).alias("r2"), dc.F.col("text").alias("t"))
+    assert dc.seeds(held, dc.items_of(bench), 5, lambda x: x).select("r1", "item_id").distinct().count() == 50
     assert dc.matches(df, bench).count() == 50

@@ -68,9 +68,39 @@ def test_repeated_rows_and_stage(docs):
     got = sorted(((r.doc_id, r.component_id) for r in nj.join(docs(rows)).collect()), key=repr)
     assert got == sorted([(4, 3), (4, 3), (3, 3), (7, 3), (8, 8), (9, 9), (None, None), (10, 10)], key=repr)
     assert sorted((r.doc_id for r in nj.one_of_each(docs(rows)).collect()), key=repr) == sorted([3, 8, 9, None, 10], key=repr)
+    names = ["row", "r1", "r2", "key", "component", "component_id", "n_shingles"]
+    clash = nj.one_of_each(docs(rows).withColumns({n: nj.F.lit(n) for n in names}))
+    assert clash.columns[-len(names) :] == names and all(r[n] == n for r in clash.collect() for n in names) and clash.count() == 5
     assert nj.join(docs([])).count() == 0 and nj.one_of_each(docs([])).count() == 0
 
 
+def near(i, edits, n=120):
+    w = [f"t{i}w{j}" for j in range(n)]
+    for e in edits:
+        w[e] = "edit"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("slots", [8, 1 << 20])
+def test_null_keys_link_and_bridge(docs, monkeypatch, slots):
+    """Near copies without a key, a bridge without a key, and a group without any key; maps that are too small lose nothing."""
+    monkeypatch.setattr(nj, "SLOTS", slots)
+    rows = [(5, near(1, [])), (None, near(1, [50])), (None, near(2, [1])), (8, near(2, [1, 4, 7]))]
+    rows += [(20, near(3, [10, 11])), (None, near(3, [10, 11, 90])), (21, near(3, [10, 11, 90, 60])), (None, near(4, [])), (None, near(4, [7])), (30, near(5, []))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(docs(rows)).collect()), key=repr)
+    assert got == brute(rows) and (None, 116, 5) in got
+    left = [(r.doc_id, r.text) for r in nj.one_of_each(docs(rows)).collect()]
+    assert sorted((k for k, _ in left), key=repr) == sorted([5, 8, 20, None, 30], key=repr)
+    assert nj.one_of_each(docs([(None, near(1, [])), (None, near(1, []))])).count() == 2  # one row twice is one document
+
+
+def test_a_hub_with_many_members(docs, monkeypatch):
+    monkeypatch.setattr(nj, "MEMBERS", 4)
+    rows = [(i, near(1, [i])) for i in range(119)] + [(500 + i, near(9 + i % 3, [i])) for i in range(40)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(docs(rows)).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(4)
     for size in [3, 4, 5, 6, 7, 10, 31, 100, 400]:
