@@ -59,11 +59,17 @@ def vocabulary_size(vocabulary: str) -> int:
     return encoder(vocabulary).tokenizer.get_vocab_size()
 
 
+def kind(size: int) -> str:
+    """The smallest unsigned little-endian type that holds ids under size."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key and the ids of each text, as 32-bit numbers."""
+    """The key and the ids of each text, as numbers of the vocabulary's kind."""
+    narrow = kind(vocabulary_size(vocabulary))
 
     def ids(keys: list, texts: list) -> dict:
-        return {key: keys, "ids": encoder(vocabulary)(texts)}
+        return {key: keys, "ids": [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in encoder(vocabulary)(texts)]}
 
     return map_columns(docs, [F.col(key).cast("long"), F.col(text)], ids, f"`{key}` long, ids binary")
 
@@ -74,10 +80,7 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u4"), minlength=size) if x.is_valid and len(x.as_buffer()) > 4 * size else 0
-            small = [x for x in b.column(0).to_pylist() if x and len(x) <= 4 * size]
-            total += np.bincount(np.frombuffer(b"".join(small), "<u4"), minlength=size)
+            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind(size)), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -109,6 +112,7 @@ class Codes:
     """
 
     def __init__(self, counts: np.ndarray):
+        self.kind = kind(len(counts))
         order = np.argsort(-counts, kind="stable")
         d1 = classes(counts, OUTPUTS)[order].astype(np.int64)
         sizes = np.bincount(d1, minlength=OUTPUTS)
@@ -315,20 +319,21 @@ class Adam:
             p[k] -= d
 
 
-def segments(tokens: DataFrame, shards: int, key: str = "doc_id", length: int = SEGMENT) -> DataFrame:
+def segments(tokens: DataFrame, shards: int, size: int, key: str = "doc_id", length: int = SEGMENT) -> DataFrame:
     """shard, place in its order (o, at), and ids of a segment with the SIDE neighbours that it has: lead before, trail after."""
     names = ("shard", "o", "at", "lead", "trail", "ids")
+    wide = np.dtype(kind(size)).itemsize
 
     def cut(keys: list, stored: list):
         rows, held = [], 0
         for k, raw in zip(keys, stored, strict=True):
-            n = len(raw) // 4
+            n = len(raw) // wide
             own = zlib.crc32(raw, zlib.crc32(str(k).encode()))
             for s in range(0, n, length):
                 e = min(n, s + length)
                 lead, trail = min(SIDE, s), min(SIDE, n - e)
                 at = zlib.crc32(s.to_bytes(8, "little"), own)
-                rows.append((at % shards, own, s, lead, trail, raw[4 * (s - lead) : 4 * (e + trail)]))
+                rows.append((at % shards, own, s, lead, trail, raw[wide * (s - lead) : wide * (e + trail)]))
                 held += e - s
                 if held > 1 << 20:
                     yield {c: [r[i] for r in rows] for i, c in enumerate(names)}
@@ -352,9 +357,9 @@ def train_shard(p: Weights, codes: Codes, rows: list[tuple], turn: int, rounds:
         chosen, size = [], 0
         while at < len(rows) and size < 1 << 18:
             chosen.append(rows[at])
-            size += len(rows[at][4]) // 4
+            size += len(rows[at][4]) // 2
             at += 1
-        pieces = [np.frombuffer(r[4], "<u4") for r in chosen]
+        pieces = [np.frombuffer(r[4], codes.kind) for r in chosen]
         line, place = laid_out(pieces, codes)
         ids = np.concatenate(pieces)
         keep = np.zeros(len(ids), bool)
@@ -376,7 +381,7 @@ def train(tokens: DataFrame, codes: Codes, total: int, rounds: int = ROUNDS, sha
     """Weights after rounds of training in all shards and averaging."""
     p = fresh(codes)
     shards = max(1, -(-total // shard))
-    dealt = segments(tokens, shards, key)
+    dealt = segments(tokens, shards, len(codes.d1), key)
 
     def trained(start: np.ndarray, turn: int):
         def work(t: pa.Table) -> pa.Table:
@@ -409,13 +414,14 @@ def score(tokens: DataFrame, p: Weights, codes: Codes, key: str = "doc_id") -> D
         room = Room()
 
         def run(keys: list, stored: list) -> dict:
-            n, total = [len(x) // 4 for x in stored], [0.0] * len(stored)
+            wide = np.dtype(codes.kind).itemsize
+            n, total = [len(x) // wide for x in stored], [0.0] * len(stored)
             pending: list[int] = []
 
             def settle() -> None:
                 if not pending:
                     return
-                pieces = [np.frombuffer(stored[i], "<u4") for i in pending]
+                pieces = [np.frombuffer(stored[i], codes.kind) for i in pending]
                 line, place = laid_out(pieces, codes)
                 ids = np.concatenate(pieces)
                 lp = np.empty(len(ids), np.float64)

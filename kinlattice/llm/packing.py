@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from .common import map_columns, staged, table
 
 LENGTH = 1024
 END = 0
-REMEMBERED = 500_000  # words whose ids a worker keeps
+REMEMBERED = 800_000  # words whose ids a worker keeps
 LONGEST = 48  # characters of a word that is kept
 SEGMENT = 1 << 20  # characters that are cut into words at a time
 _CUT = re.compile(r"(?= \S)")
@@ -46,27 +48,29 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.known: dict[str, bytes] = {}  # ids of a space and the word
+        self.known: dict[str, bytes] = {}  # ids of a space and the word, for the words that came first: mostly the frequent ones
 
     def ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [[p[i > 0 :] for i, p in enumerate(_CUT.split(t))] if _ODD.search(t) else t.split(" ") for t in texts]
         heads = self.ids([c[0] for c in cut])
         tails = [c[1:] for c in cut]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*tails).difference(self.known))
-        found = dict(zip(new, self.ids([" " + w for w in new]), strict=True))
-        self.known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        long = {w: i for w, i in found.items() if len(w) > LONGEST}
-        if long:
-            return [h + b"".join([long.get(w) or self.known[w] for w in t]) for h, t in zip(heads, tails, strict=True)]
-        return [h + b"".join(map(self.known.__getitem__, t)) for h, t in zip(heads, tails, strict=True)]
+        got = [list(map(self.known.get, t)) for t in tails]
+        new = list({w for t, g in zip(tails, got, strict=True) if None in g for w, i in zip(t, g, strict=True) if i is None})
+        if new:
+            found = dict(zip(new, self.ids([" " + w for w in new]), strict=True))
+            for t, g in zip(tails, got, strict=True):
+                if None in g:
+                    g[:] = [found[w] if i is None else i for w, i in zip(t, g, strict=True)]
+            room = max(0, REMEMBERED - len(self.known))
+            self.known.update([(w, i) for w, i in found.items() if len(w) <= LONGEST][:room])
+        return [h + b"".join(g) for h, g in zip(heads, got, strict=True)]
 
     def __call__(self, texts: list) -> list[bytes]:
         """For each text its ids as unsigned little-endian 32-bit numbers; a null text has none."""

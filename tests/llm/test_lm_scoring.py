@@ -95,12 +95,12 @@ def naive_train(pieces, codes, rounds):
 
 
 def table_of(spark, pieces):
-    return spark.createDataFrame([(k, bytearray(x.astype("<u4").tobytes())) for k, x in pieces], "doc_id long, ids binary")
+    return spark.createDataFrame([(k, bytearray(x.astype("<u2").tobytes())) for k, x in pieces], "doc_id long, ids binary")
 
 
 def test_training_against_the_plain_way(spark):
     rng = np.random.default_rng(5)
-    pieces = [(k, rng.integers(0, SIZE, int(rng.integers(1, 400))).astype("<u4")) for k in range(40)]
+    pieces = [(k, rng.integers(0, SIZE, int(rng.integers(1, 400))).astype("<u2")) for k in range(40)]
     tokens = table_of(spark, pieces).cache()
     counts = lm.id_counts(tokens, SIZE)
     assert (counts - 1 == np.bincount(np.concatenate([x for _, x in pieces]), minlength=SIZE)).all()
@@ -159,11 +159,11 @@ def test_empty(docs):
 
 
 def test_every_place_trains_once(spark):
-    tokens = table_of(spark, [(k, np.arange(n, dtype="<u4")) for k, n in enumerate((1, 4, 8, 100, 1000))])
-    rows = lm.segments(tokens, 3, length=64).collect()
+    tokens = table_of(spark, [(k, np.arange(n)) for k, n in enumerate((1, 4, 8, 100, 1000))])
+    rows = lm.segments(tokens, 3, SIZE, length=64).collect()
     seen = []
     for r in rows:
-        x = np.frombuffer(r.ids, "<u4")
+        x = np.frombuffer(r.ids, "<u2")
         inner = np.arange(r.lead, len(x) - r.trail)
         turn = lm.phases(r.at + inner - r.lead, r.o, lm.ROUNDS)
         assert set(turn.tolist()) <= set(range(lm.ROUNDS)) and (x[inner] == r.at + inner - r.lead).all()
