@@ -77,7 +77,7 @@ class Slots:
         held = bytearray(slots)
         at = hashes.select(self._slot(F.col(name)).alias("s")).distinct().toArrow().column("s")  # at most slots numbers
         np.frombuffer(held, np.uint8)[at.to_numpy()] = 1
-        self.used = len(at)
+        self.used, self.held = len(at), bytes(held)
         self.table = hashes.sparkSession.createDataFrame([(held,)], "held binary")
 
     def _slot(self, h: Column) -> Column:

@@ -8,14 +8,23 @@ one with the smallest hash of 8 bytes (the first of equals), with the KEY bytes
 strings of DEPTH bytes have equal anchors at equal distances, and neighbouring suffixes mostly share
 one, so a run of suffixes with one anchor travels as one record. Anchors that stand only once end here.
 
-Later passes, within an anchor's group. A run brings its bytes; its suffixes are refined by four digits
-of 50 bytes each, and a suffix that is alone after a pass leaves. Digits are compared by 64-bit hashes.
+A key that stands at more than HEAVY anchors would bring all its runs to one task. Its runs are cut where they
+travel, in blocks of BLOCK distances from the anchor, and a block's next digit goes into the key: all the
+bytes that every suffix of the block holds, DEPTH - BLOCK + 1 of them. So a passage of many texts in different
+surroundings is dealt over tasks, and its equal blocks are one record of a batch.
+
+Later passes, within an anchor's group. A run brings its bytes; its suffixes are ordered by four digits
+of 50 bytes each, the most significant first, and a suffix that is alone after a pass leaves. A pass gathers like digits
+by hash, compares their bytes, and ranks the different digits of each group by their bytes, so that the
+groups stand in the order of the suffixes; those left after the last pass are equal through DEPTH bytes.
 
 Equal texts are one text with several copies: it goes through once, and all of it is repeated if it has
 DEPTH bytes. Matches never cross documents. Within a batch, equal runs travel as one with a count.
 
 Defined cases: null is empty; texts under DEPTH bytes lose nothing; a string may repeat within its own
-text, also overlapping itself; repeated rows are copies; a null key is a key of its own text.
+text, also overlapping itself; repeated rows are copies; a null key is a key of its own text; ties between
+anchors go to the first; very long texts go through in segments; an empty table gives no row; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_columns, mix, staged, table
+from .common import Slots, columns, map_columns, mix, staged, table
 
 DEPTH = 200
 STRETCH = 150
 KEY = 50
 DIGITS = 4
 SEGMENT = 1 << 20
+HEAVY = 2_000
+BLOCK = 15
 CHUNK = 3 << 20  # bytes of runs that one step of the later passes holds
 _M = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -117,8 +128,11 @@ def _spread(rows: list, values: np.ndarray, buckets: int) -> list[tuple[int, np.
 
 
 def repeated_anchors(docs: DataFrame, buckets: int, text: str = "text") -> DataFrame:
-    """a and packed places: the anchors of that text whose key stands somewhere else too (or in its batch)."""
-    names = ("bucket", "ids", "n", "keys", "places", "known")
+    """a and packed places: the anchors of that text whose key stands somewhere else too (or in its batch).
+
+    Rows without places: a is a key of more than HEAVY anchors.
+    """
+    names = ("bucket", "ids", "n", "keys", "places", "known", "many")
 
     def emit(texts: list) -> dict:
         ids, keys, owner, place = [], [], [], []
@@ -141,14 +155,14 @@ def repeated_anchors(docs: DataFrame, buckets: int, text: str = "text") -> DataF
         for b, at in _spread(rows, keys[sent], buckets):
             at = np.sort(sent[at])
             of, n = np.unique(owner[at], return_counts=True)
-            rows.append((b, ids[of].tobytes(), n.astype("<u4").tobytes(), keys[at].tobytes(), place[at].astype("<u4").tobytes(), several[at].astype(np.uint8).tobytes()))
+            rows.append((b, ids[of].tobytes(), n.astype("<u4").tobytes(), keys[at].tobytes(), place[at].astype("<u4").tobytes(), several[at].astype(np.uint8).tobytes(), count[back[at]].astype("<u4").tobytes()))
         known = np.flatnonzero(several)
         if len(known):
             of, n = np.unique(owner[known], return_counts=True)
-            rows.append((int(keys[known[0]] % np.uint64(buckets)), ids[of].tobytes(), n.astype("<u4").tobytes(), b"", place[known].astype("<u4").tobytes(), b""))
+            rows.append((int(keys[known[0]] % np.uint64(buckets)), ids[of].tobytes(), n.astype("<u4").tobytes(), b"", place[known].astype("<u4").tobytes(), b"", b""))
         return columns(names, rows)
 
-    schema = "bucket int, ids binary, n binary, keys binary, places binary, known binary"
+    schema = "bucket int, ids binary, n binary, keys binary, places binary, known binary, many binary"
     packed = map_columns(docs, [F.col(text)], emit, schema).repartition(buckets, "bucket")
 
     def meet(batches):
@@ -162,12 +176,15 @@ def repeated_anchors(docs: DataFrame, buckets: int, text: str = "text") -> DataF
         for b in list(held):
             rows = held.pop(b)
             ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), np.frombuffer(r[1], "<u4")) for r in rows])
-            keys, place, known = (np.concatenate([np.frombuffer(r[j], kind) for r in rows]) for j, kind in ((2, "<u8"), (3, "<u4"), (4, "u1")))
+            keys, place, known, times = (np.concatenate([np.frombuffer(r[j], kind) for r in rows]) for j, kind in ((2, "<u8"), (3, "<u4"), (4, "u1"), (5, "<u4")))
             order = np.argsort(keys)
-            keys, ids, place, known = keys[order], ids[order], place[order], known[order]
+            keys, ids, place, known, times = keys[order], ids[order], place[order], known[order], times[order]
             first = np.flatnonzero(np.diff(keys.view(np.int64), prepend=keys.view(np.int64)[:1] - 1))
             tag = mix(ids.view(np.uint64) + mix(place.astype(np.uint64) + _M))
             many = (np.minimum.reduceat(tag, first) != np.maximum.reduceat(tag, first)) | (np.maximum.reduceat(known, first) > 0)
+            heavy = keys[first[np.add.reduceat(times.astype(np.int64), first) > HEAVY]]
+            if len(heavy):
+                yield pa.RecordBatch.from_arrays([pa.array(heavy.view(np.int64)), pa.nulls(len(heavy), pa.binary())], names=["a", "places"])
             keep = np.repeat(many, np.diff(np.append(first, len(keys))))
             ids, place = ids[keep], place[keep]
             if len(ids):
@@ -183,10 +200,25 @@ def repeated_anchors(docs: DataFrame, buckets: int, text: str = "text") -> DataF
     return packed.mapInArrow(meet, "a long, places binary")
 
 
-def repeated_starts(held: DataFrame, buckets: int) -> DataFrame:
+def blocks(raw: bytes, key: int, at: int, first: int, last: int) -> list[tuple[int, int, int]]:
+    """A heavy key's run in parts of at most BLOCK distances from the anchor: key with the next digit, first and last start.
+
+    Parts begin at distances that are multiples of BLOCK, so that equal strings lie in parts of equal distances.
+    """
+    import xxhash
+
+    out = []
+    for far in range((at - last) // BLOCK, (at - first) // BLOCK + 1):
+        low, high = far * BLOCK, far * BLOCK + BLOCK - 1  # distances of this part
+        digit = raw[max(0, at - low) : at - high + DEPTH]
+        out.append((xxhash.xxh64_intdigest(digit, (key ^ far) & 0xFFFFFFFFFFFFFFFF), max(first, at - high), min(last, at - low)))
+    return out
+
+
+def repeated_starts(held: DataFrame, buckets: int, heavy: bytes = b"\0") -> DataFrame:
     """a, first, last: within a run of text a, the first and the last start of a repeated string.
 
-    held: a, t (text) and places (repeated anchors) of each different text.
+    held: a, t (text) and places (repeated anchors) of each different text. heavy: a map of slots of heavy keys.
     """
     names = ("bucket", "ids", "keys", "shift", "starts", "sizes", "count", "bytes")
 
@@ -198,7 +230,9 @@ def repeated_starts(held: DataFrame, buckets: int) -> DataFrame:
             keep = np.flatnonzero(np.isin(anchor, np.frombuffer(b"".join(p), "<u4")))
             keys = keys_of(raw, anchor[keep])
             for k, at, f, e in zip(keys.tolist(), anchor[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                found.setdefault((k, at - f, raw[f : e + DEPTH]), []).append((i, f))
+                cut = blocks(raw, k, at, f, e) if heavy[k % len(heavy)] else [(k, f, e)]
+                for own, b, c in cut:
+                    found.setdefault((own, at - b, raw[b : c + DEPTH]), []).append((i, b))
         if not found:
             return {n: [] for n in names}
         entries = list(found.items())
@@ -257,6 +291,28 @@ def _within(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _together(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal values are neighbours, and where a new one begins."""
+    order = np.argsort(values, kind="stable")
+    return order, np.append(True, values[order[1:]] != values[order[:-1]])[: len(order)]
+
+
+def _words(digits: np.ndarray, wide: int) -> list[np.ndarray]:
+    """Rows of bytes as big-endian numbers whose order is that of the bytes; the last one overlaps the one before."""
+    return [np.ascontiguousarray(digits[:, at : at + 8]).view(">u8")[:, 0].astype(np.uint64) for at in (*range(0, wide - 7, 8), wide - 8)]
+
+
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks of rows of whole numbers, the first the most significant."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def later_passes(text: bytes, at: np.ndarray, sizes: np.ndarray, keys: np.ndarray, shift: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each run, its first and last suffix (from the run's start) that has company through DEPTH bytes; -1 if none.
 
@@ -275,19 +331,35 @@ def later_passes(text: bytes, at: np.ndarray, sizes: np.ndarray, keys: np.ndarra
     run = np.repeat(np.arange(len(n)), n)
     inside = _within(n)
     place = np.repeat(np.cumsum(sizes) - sizes, n) + inside
-    group = mix(keys[run] + mix((shift[run] - inside).astype(np.uint64) + _M))  # anchor and its distance
+    group = _ranks(keys[run], (shift[run] - inside).astype(np.uint64))  # anchor and its distance
     alone = count[run] < 2
     wide = DEPTH // DIGITS
+    rows = np.lib.stride_tricks.sliding_window_view(flat, wide)
     for digit in range(DIGITS):
         i = place + digit * wide
-        group = mix(group ^ ((sums[i + wide] - sums[i]) * power[i]))
-        order = np.argsort(group)
-        same = group[order[1:]] == group[order[:-1]]
-        company = np.zeros(len(order), bool)
-        company[order[1:]] |= same
-        company[order[:-1]] |= same
+        like = mix(mix(group.astype(np.uint64) + _M) ^ ((sums[i + wide] - sums[i]) * power[i]))
+        order, new = _together(like)
+        one = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))  # the first of like ones, which the others must equal
+        other = np.flatnonzero(~new)
+        for s in range(0, len(other), 1 << 16):
+            x, y = order[other[s : s + (1 << 16)]], one[other[s : s + (1 << 16)]]
+            if (group[x] != group[y]).any() or (rows[i[x]] != rows[i[y]]).any():  # different digits of one hash: by their bytes, then
+                order, new = _together(_ranks(group, *_words(rows[i], wide)))
+                break
+        size = np.diff(np.append(np.flatnonzero(new), len(order)))
+        company = np.empty(len(order), bool)
+        company[order] = np.repeat(size > 1, size)
         keep = company | ~alone
-        run, inside, place, group, alone = run[keep], inside[keep], place[keep], group[keep], alone[keep]
+        # ranks of the digits that stay, by the group before and then by their bytes
+        part = np.empty(len(order), np.int64)
+        part[order] = np.cumsum(new) - 1
+        first_of = order[new]
+        stay = np.flatnonzero((size > 1) | ~alone[first_of])
+        reps = first_of[stay]
+        by = np.lexsort((*_words(rows[i[reps]], wide)[::-1], group[reps]))
+        rank = np.zeros(len(size), np.int64)
+        rank[stay[by]] = np.arange(len(by))
+        run, inside, place, group, alone = run[keep], inside[keep], place[keep], rank[part[keep]], alone[keep]
     first, last = np.full(len(n), -1, np.int64), np.full(len(n), -1, np.int64)
     if len(run):
         new = np.flatnonzero(np.diff(run, prepend=-1))
@@ -311,8 +383,9 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     total = ids.agg(F.sum("n_bytes")).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = ids.groupBy("a", "b").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.max(F.col(key).isNull().cast("int")).alias("some_null"))
-    anchors = repeated_anchors(docs, max(least, total // (128 << 20)), text).dropDuplicates(["a", "places"])
-    places = anchors.groupBy("a").agg(F.collect_list("places").alias("places"))
+    anchors = staged(repeated_anchors(docs, max(least, total // (128 << 20)), text), "anchors")
+    heavy = Slots(anchors.where("places IS NULL"), "a")
+    places = anchors.where("places IS NOT NULL").dropDuplicates(["a", "places"]).groupBy("a").agg(F.collect_list("places").alias("places"))
     of = classes.join(places, "a").select("a", "b", F.col("rep").alias("k"), "places")
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
 
@@ -322,7 +395,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     joined = texts.join(of, texts["k"].eqNullSafe(of["k"])).drop(of["k"])
     held = staged(map_columns(joined, [F.col(c) for c in ("a", "b", "t", "places")], own, "a long, b long, t string, places array<binary>"), "held")
-    starts = repeated_starts(held, max(least, total // (64 << 20)))
+    starts = repeated_starts(held, max(least, total // (64 << 20)), heavy.held if heavy.used else b"\0")
     spans = starts.groupBy("a").agg(F.collect_list(F.struct("first", "last")).alias("s"))
 
     def result(a: list, b: list, ts: list, ss: list) -> dict:
