@@ -72,7 +72,7 @@ def polish_rule(scores: DataFrame, partial: str = "partial", fx_sparse: float =
     The cutoffs are order statistics of the scores, which are kept for the four uses that are made of them;
     a run cutoff of 0 means none.
     """
-    scores = scores.persist()
+    scores = scores.persist()  # until the session drops it: the result reads it when it is computed
     c = rank_cutoff(scores, "fx_in_sparse", fx_sparse).select(F.col("cutoff").alias("_c1"))
     c = c.crossJoin(rank_cutoff(scores, "sparse_run_length", run).select(F.col("cutoff").cast("double").alias("_c2")))
     c = c.crossJoin(rank_cutoff(scores, "fx_missing_dense", fx_missing).select(F.col("cutoff").alias("_c3")))

@@ -56,15 +56,19 @@ def best_models(df: DataFrame, n: int = 10) -> DataFrame:
     return df.orderBy(F.desc("p"), "model").limit(n)
 
 
-def resampled(df: DataFrame, replicates: int, key: str = "uid", column: str = "alignment", seed: int = 1) -> DataFrame:
+def resampled(df: DataFrame, replicates: int, key: str = "uid", column: str = "alignment", seed: int = 1, draw=None) -> DataFrame:
     """replicate, key and alignment: for each replicate, columns drawn with replacement by a seeded hash.
 
+    draw(i, replicate, n) may give another rule: the place from 0 of the i-th column (from 1) of n.
+
     All rows of a replicate draw the same columns, so no table of draws is needed.
     """
     reps = df.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
     held = df.crossJoin(F.broadcast(reps))
     n = F.length(column)
-    drawn = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substr(F.col(column), (F.pmod(F.xxhash64(i, F.col("replicate"), F.lit(seed)), n) + 1).cast("int"), F.lit(1)))
+    place = draw or (lambda i, r, n: F.pmod(F.xxhash64(i, r, F.lit(seed)), n))
+    letters = F.split(F.col(column), "")
+    drawn = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.get(letters, place(i, F.col("replicate"), n).cast("int")))
     return held.select("replicate", key, F.when(n > 0, F.concat_ws("", drawn)).otherwise(F.col(column)).alias(column))
 
 

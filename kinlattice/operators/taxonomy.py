@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import without_strain
 from ..sources.newick import Node
@@ -81,17 +82,21 @@ def mrca(prefix: Column, move_up_by: int = 0, avoid_all_life: bool = True, micro
     return F.struct(taxon.alias("taxon"), lineage.alias("lineage"), F.coalesce(microbial, F.lit(False)).alias("is_microbial"))
 
 
-def tree_paths(edges: DataFrame, node: str = "node", parent: str = "parent", limit: int = 64) -> DataFrame:
+def tree_paths(edges: DataFrame, node: str = "node", parent: str = "parent") -> DataFrame:
     """node, ancestor and distance for every node and each of its ancestors, itself included.
 
-    Paths double in each round, so that a tree of depth d takes log2(d) joins.
+    Paths double in each round until none is longer, so that a tree of depth d takes log2(d) joins. A cycle is an error.
     """
     base = edges.select(F.col(node).alias("node"), F.col(parent).alias("up"))
     closure = base.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
     hop = base.where("up IS NOT NULL").select("node", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
     closure = closure.unionByName(hop)
-    reach = 1
-    while reach < limit:
+    reach, nodes = 1, None
+    while True:
+        if reach >= 64:
+            nodes = nodes or base.count()
+            if reach > 2 * nodes:
+                raise ValueError("the edges have a cycle")
         a, b = closure.alias("a"), closure.where("distance > 0").alias("b")
         more = a.join(b, F.col("a.ancestor") == F.col("b.node")).where(F.col("a.distance") == reach).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")).persist()  # read by each later round
         if more.isEmpty():
@@ -160,3 +165,16 @@ def sort_by_taxa(df: DataFrame, order: list[str], paralog: str | None = None, ke
     column = paralog or next(c for c in ("recip_paralog", "nickname", "name") if c in df.columns)
     places = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(order)] or [("", 0)], "_o string, _at int")
     return df.join(F.broadcast(places), df[key] == places["_o"], "left").orderBy(F.col(column).asc_nulls_last(), F.col("_at").asc_nulls_last(), row).drop("_o", "_at")
+
+
+def placed_by_taxa(df: DataFrame, order: list[str], by: list[str], key: str = "ott", row: str = "row_id") -> DataFrame:
+    """df with place, its row's number (from 1) in the order by columns, by the leaves' order, and by row.
+
+    Places are counted by range: ranks within a range of equal columns and leaf, plus what lies in the ranges before.
+    """
+    leaves = df.sparkSession.createDataFrame([(o, i) for i, o in enumerate(order)] or [("", 0)], "_o string, _at int")
+    rows = df.join(F.broadcast(leaves), df[key] == leaves["_o"], "left").withColumn("_block", F.struct(*by, F.coalesce("_at", F.lit(len(order))).alias("_at"))).drop("_o", "_at")
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_m"))  # a row for each range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_m").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = rows.join(before, "_block").withColumn("place", F.row_number().over(Window.partitionBy("_block").orderBy(row)) + F.col("_before"))
+    return placed.drop("_block", "_m", "_before")

@@ -121,8 +121,7 @@ def validate_core(spark, d):
 
 @query("SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies, md5(text) AS text_md5 FROM documents GROUP BY text")
 def dedupe_exact(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5("text").alias("text_md5"))
-    return docs.groupBy("text_md5").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return dedup.distinct_rows(table(spark, d, "documents"), [F.md5("text").alias("text_md5")], "doc_id")
 
 
 @query(r"""
@@ -157,14 +156,15 @@ def alias_nickname(spark, d):
     return table(spark, d, "part").select("p_partkey", nickname(F.col("p_name"), _PATTERNS).alias("nickname"))
 
 
-WIDTH = 60
-_ALI = f"SELECT doc_id, lang, replace(replace(substr(text, 1, {WIDTH}), ' ', '-'), chr(10), '-') AS ali FROM documents WHERE length(text) >= {WIDTH}"
+# whole names of parts, filled up with gaps to the longest one's width
+_ALI = "SELECT p_partkey AS doc_id, p_brand AS lang, rpad(replace(p_name, ' ', '-'), (SELECT max(length(p_name)) FROM part)::INT, '-') AS ali FROM part"
 _LONG = f"a AS ({_ALI}), l AS (SELECT doc_id, lang, unnest(string_split(ali, '')) AS aa, generate_subscripts(string_split(ali, ''), 1) - 1 AS pos FROM a)"
 
 
 def _ali(spark, d) -> DataFrame:
-    held = F.replace(F.replace(F.substring("text", 1, WIDTH), F.lit(" "), F.lit("-")), F.lit("\n"), F.lit("-"))
-    return table(spark, d, "documents").where(F.length("text") >= WIDTH).select("doc_id", "lang", held.alias("ali"))
+    part = table(spark, d, "part")
+    width = part.agg(F.max(F.length("p_name"))).first()[0] or 1
+    return part.select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("lang"), F.rpad(F.replace("p_name", F.lit(" "), F.lit("-")), width, "-").alias("ali"))
 
 
 @query(f"""WITH {_LONG}
@@ -175,7 +175,8 @@ def sparse_columns(spark, d):
 
 
 _SCORES = f"""a AS ({_ALI}),
-c AS (SELECT doc_id, lang, regexp_replace(substr(translate(ali, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 7, 48), '[^ACDEFGHIKLMNPQRSTVWY-]', '-', 'g') AS cut FROM a),
+w AS (SELECT round_even(max(length(ali)) * 0.1, 0)::BIGINT AS f, round_even(max(length(ali)) * 0.9, 0)::BIGINT AS t FROM a),
+c AS (SELECT doc_id, lang, regexp_replace(substr(translate(ali, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), w.f + 1, w.t - w.f), '[^ACDEFGHIKLMNPQRSTVWY-]', '-', 'g') AS cut FROM a, w),
 l AS (SELECT doc_id, lang, unnest(string_split(cut, '')) AS aa, generate_subscripts(string_split(cut, ''), 1) - 1 AS pos FROM c),
 p AS (SELECT lang, pos, avg((aa = '-')::INT) >= 0.5 AS sparse FROM l GROUP BY lang, pos HAVING min((aa = '-')::INT) = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY pos) - row_number() OVER (PARTITION BY lang, sparse ORDER BY pos) AS run FROM p),
@@ -265,8 +266,9 @@ def topk_budget(spark, d):
 
 
 @query("""
-WITH c AS (SELECT o_orderpriority AS name, count(*) AS n FROM orders WHERE o_totalprice > 300000 OR o_orderpriority < '3' GROUP BY 1),
-t AS (SELECT *, round_even(3000 / (count(*) OVER ()), 0) AS b0 FROM c),
+WITH c AS (SELECT o_orderstatus AS name, count(*) AS n FROM orders GROUP BY 1),
+t0 AS (SELECT *, round_even(sum(n) OVER () * 0.9, 0) AS total, count(*) OVER () AS names, min(name) OVER () AS first FROM c),
+t AS (SELECT name, n, round_even(total / names, 0) + CASE WHEN name = first AND round_even(total / names, 0) * names < total THEN 1 ELSE 0 END AS b0 FROM t0),
 a AS (SELECT *, least(b0, n) AS f1, b0 >= n AS done, sum(CASE WHEN b0 >= n THEN b0 - n ELSE 0 END) OVER () AS pool, sum(CASE WHEN b0 >= n THEN 0 ELSE b0 END) OVER () AS rest FROM t),
 a2 AS (SELECT *, CASE WHEN done OR pool = 0 THEN f1 ELSE round_even(b0 / rest * (rest + pool), 0) END AS b1 FROM a),
 b AS (SELECT *, NOT done AND b1 >= n AS done2, sum(CASE WHEN NOT done AND b1 >= n THEN b1 - n ELSE 0 END) OVER () AS pool2, sum(CASE WHEN done OR b1 >= n THEN 0 ELSE b1 END) OVER () AS rest2 FROM a2),
@@ -275,9 +277,9 @@ e AS (SELECT *, NOT done AND NOT done2 AND b2 >= n AS done3, sum(CASE WHEN NOT d
 e2 AS (SELECT *, CASE WHEN done OR done2 THEN b2 WHEN done3 THEN n WHEN pool3 = 0 THEN b2 ELSE round_even(b2 / rest3 * (rest3 + pool3), 0) END AS b3 FROM e)
 SELECT name, n::BIGINT AS n, least(b3, n)::BIGINT AS budget FROM e2""")
 def even_budget(spark, d):
-    counts = table(spark, d, "orders").where("o_totalprice > 300000 OR o_orderpriority < '3'").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("n")).collect()
-    n = {r["name"]: r["n"] for r in counts}  # one row for each priority
-    got = budgets.capped(dict.fromkeys(n, round(3000 / len(n))), n) if n else {}
+    counts = table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("name")).agg(F.count("*").alias("n")).collect()
+    n = {r["name"]: r["n"] for r in counts}  # one row for each status
+    got = budgets.capped(budgets.even_budget(list(n), round(sum(n.values()) * 0.9)), n) if n else {}
     return spark.createDataFrame([(k, n[k], int(got[k])) for k in n], "name string, n long, budget long")
 
 
@@ -312,13 +314,10 @@ def tree_paths(spark, d):
 
 @query("""SELECT c_custkey, n_name, row_number() OVER (ORDER BY c_mktsegment, n_regionkey, n_nationkey, c_custkey)::BIGINT AS place FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def sort_taxa(spark, d):
-    """Places are counted by range: ranks within ranges plus what lies in the ranges before."""
     nations = table(spark, d, "nation").orderBy("n_regionkey", "n_nationkey").select("n_nationkey", "n_name").collect()
-    order = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(nations)], "c_nationkey int, n_name string, at int")
-    rows = table(spark, d, "customer").join(F.broadcast(order), "c_nationkey").withColumn("block", F.struct("c_mktsegment", "at"))
-    sizes = rows.groupBy("block").agg(F.count("*").alias("m"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("m").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = rows.join(F.broadcast(before), "block").withColumn("place", F.row_number().over(Window.partitionBy("block").orderBy("c_custkey")) + F.col("before"))
+    names = spark.createDataFrame([(r[0], r[1]) for r in nations], "c_nationkey int, n_name string")
+    rows = table(spark, d, "customer").join(F.broadcast(names), "c_nationkey")
+    placed = taxonomy.placed_by_taxa(rows, [r[1] for r in nations], ["c_mktsegment"], "n_name", "c_custkey")
     return placed.select("c_custkey", "n_name", F.col("place").cast("long").alias("place"))
 
 
@@ -403,9 +402,12 @@ def union_seed_hits(spark, d):
 
 @query("SELECT d.doc_id, l.doc_id IS NOT NULL AS keep, coalesce(quality, -1) AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def anti_missing(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("seen"))
-    out = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("seen", F.lit(False)).alias("keep"), F.coalesce("quality", F.lit(-1)).alias("quality"))
+    from ..sources import fasta
+
+    file = table(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit("|label")).alias("header"), F.col("quality").cast("string").alias("sequence"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("uid"), F.lit(True).alias("keep"))
+    out = fasta.read_into(rows, file)
+    return out.select(F.col("uid").cast("long").alias("doc_id"), "keep", F.coalesce(F.col("alignment").cast("int"), F.lit(-1)).alias("quality"))
 
 
 TREE = "(((a0,a1)n1,(a2,a3)n2)n5,((a4,a5)n3,(a6,a7)n4)n6)n7;"
@@ -420,13 +422,12 @@ def parsimony_gaps(spark, d):
     return ancestors.ancestral_gaps(seen.select("site", gaps.alias("gaps")), TREE)
 
 
-@query(f"""SELECT doc_id, r.range AS replicate, md5(array_to_string(list_transform(range(40), lambda i: substr(text, 1 + (i * 31 + r.range * 17 + 7) % 60, 1)), '')) AS sample FROM documents, range(3) r WHERE length(text) >= {WIDTH}""")
+@query("""SELECT p_partkey, r.range AS replicate, md5(array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: p_name[1 + (i * 31 + r.range * 17 + 7) % length(p_name)]), '')) AS sample FROM part, range(3) r""")
 def bootstrap_sample(spark, d):
-    """Columns by modular arithmetic in place of the seeded hash, so that SQL can draw the same ones."""
-    docs = table(spark, d, "documents").where(F.length("text") >= WIDTH).select("doc_id", F.substring("text", 1, WIDTH).alias("t"))
-    held = docs.crossJoin(F.broadcast(spark.range(3).withColumnRenamed("id", "replicate")))
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.substr("t", (1 + F.pmod(i * 31 + F.col("replicate") * 17 + 7, F.lit(60))).cast("int"), F.lit(1)))
-    return held.select("doc_id", "replicate", F.md5(F.concat_ws("", drawn)).alias("sample"))
+    """Places by modular arithmetic in place of the seeded hash, so that SQL can draw the same ones."""
+    draw = lambda i, replicate, n: F.pmod(i * 31 + replicate * 17 + 7, n)
+    out = models.resampled(table(spark, d, "part").select("p_partkey", "p_name"), 3, "p_partkey", "p_name", draw=draw)
+    return out.select("p_partkey", "replicate", F.md5("p_name").alias("sample"))
 
 
 @query(r"""

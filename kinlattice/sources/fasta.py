@@ -10,8 +10,11 @@ from ..schema import ROW, TableError
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """row_id, header and sequence; files may be gzipped. Split at '>' by the reader, so records don't meet in the driver."""
-    raw = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    """row_id, header and sequence; files may be gzipped.
+
+    Split by the reader at '>' at a line's start, so records don't meet in the driver; a '>' within a header stays.
+    """
+    raw = spark.read.text(path, lineSep="\n>").select(F.regexp_replace("value", r"^\s*>", "").alias("value")).where(F.trim("value") != "")
     header = F.trim(F.regexp_extract("value", r"^([^\r\n]*)", 1))
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s+", "")
     return raw.select(F.monotonically_increasing_id().alias(ROW), header.alias("header"), body.alias("sequence"))
@@ -21,7 +24,7 @@ def records(spark: SparkSession, lines: list[str]) -> DataFrame:
     """The same from lines in memory."""
     text = "\n".join(x.rstrip("\n") for x in lines)
     rows = []
-    for i, part in enumerate(p for p in text.split(">") if p.strip()):
+    for i, part in enumerate(p for p in ("\n" + text).split("\n>") if p.strip()):
         head, _, body = part.partition("\n")
         rows.append((i, head.strip(), "".join(body.split())))
     return spark.createDataFrame(rows, f"{ROW} long, header string, sequence string")

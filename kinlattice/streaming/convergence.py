@@ -40,29 +40,34 @@ def running_support(trees: DataFrame, newick: str = "value") -> DataFrame:
 class Halves:
     """Counts of splits in two halves of the replicates, kept between micro-batches in a table.
 
-    Each micro-batch adds its trees to one half or the other by a hash of its place; the weighted distance of
-    the halves tells whether more replicates would still change the support. Stops its query at cutoff.
+    Each micro-batch writes its counts under its epoch, so that a batch that is run again replaces its own,
+    and a restarted query goes on from what the table has. Equal trees of a batch go to the halves in
+    turn, whatever their places. The weighted distance of the halves, one aggregation of the table, tells
+    whether more replicates would still change the support.
     """
 
-    def __init__(self, cutoff: float = 0.03, least: int = 50):
-        self.cutoff, self.least = cutoff, least
-        self.counts: dict[str, list[int]] = {}
+    def __init__(self, folder: str, cutoff: float = 0.03, least: int = 50):
+        self.folder, self.cutoff, self.least = folder.rstrip("/"), cutoff, least
         self.trees, self.history, self.done = 0, [], False
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
         if self.done:
             return
-        half = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(epoch)), F.lit(2)).cast("int")
-        rows = batch.withColumn("half", half)
-        for h in (0, 1):
-            # one row a split of the trees, whose number the number of taxa bounds
-            for r in split_rows(rows.where(F.col("half") == h)).groupBy("split_key").agg(F.count("*").alias("n")).collect():
-                if r["split_key"] == "TREE":
-                    self.trees += r["n"]
-                else:
-                    self.counts.setdefault(r["split_key"], [0, 0])[h] += r["n"]
-        total = sum(a + b for a, b in self.counts.values())
-        wrf = sum(abs(a - b) for a, b in self.counts.values()) / total if total else 0.0
+        text = batch.columns[0]
+        rows = batch.groupBy(text).agg(F.count("*").alias("m")).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("m"))))
+        rows = rows.select(text, F.pmod(F.xxhash64(text, F.lit(epoch)) + F.col("i"), F.lit(2)).cast("int").alias("half"))
+        one = [split_rows(rows.where(F.col("half") == h), text).groupBy("split_key").agg(F.count("*").alias("n")).withColumn("half", F.lit(h)) for h in (0, 1)]
+        one[0].unionByName(one[1]).write.mode("overwrite").parquet(f"{self.folder}/epoch={epoch}")
+        held = batch.sparkSession.read.schema("split_key string, n long, half int, epoch int").parquet(self.folder)
+        per = held.groupBy("split_key").agg(F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n"))
+        tree = F.col("split_key") == "TREE"
+        seen = per.agg(
+            F.sum(F.when(tree, F.col("n"))).alias("trees"),
+            F.sum(F.when(~tree, F.abs(2 * F.col("a") - F.col("n")))).alias("d"),
+            F.sum(F.when(~tree, F.col("n"))).alias("n"),
+        ).first()
+        self.trees = seen["trees"] or 0
+        wrf = seen["d"] / seen["n"] if seen["n"] else 0.0
         self.done = self.trees >= self.least and wrf <= self.cutoff
         self.history.append((epoch, self.trees, wrf, self.done))
 

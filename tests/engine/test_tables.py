@@ -218,3 +218,43 @@ def test_search_scores_every_candidate(spark):
     db = spark.createDataFrame([*[(f"acc{i:03d}", "", s) for i, s in enumerate(decoys)], ("relative", "", relative)], "accession string, hit_def string, sequence string")
     got = search.search(spark.createDataFrame([("q1", query)], "query string, sequence string"), db).orderBy(ROW).collect()
     assert got[0].accession == "relative"
+
+
+def test_limits_of_old_are_gone(spark):
+    """More than 64 steps to the root, more than 12 paralogs, bits far beyond the temperature, long report tables."""
+    import itertools
+
+    from kinlattice.operators import posterior
+    from kinlattice.plans import report
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}" if i < 139 else None) for i in range(140)], "node string, parent string")
+    paths = taxonomy.tree_paths(chain)
+    assert paths.count() == 140 * 141 // 2 and paths.agg({"distance": "max"}).first()[0] == 139
+    hits = spark.createDataFrame([("q", 1000.0, "a"), ("q", 999.0, "b"), ("r", 3.0, "b")], "query string, bits double, hit string")
+    marks = {n: posterior.F.col("hit") == n for n in ("a", "b")}
+    got = {r["query"]: r for r in posterior.shares(hits, "query", "bits", marks, 0.01).collect()}
+    t = 0.01 * 2**7  # the first temperature at which 2^(1000 / T) + 2^(999 / T) is finite
+    assert got["q"].post_a == pytest.approx(2 ** (1 / t) / (1 + 2 ** (1 / t))) and got["r"].post_b == 1
+    names = [f"p{i:02}" for i in range(14)]
+    rows = [[0.0] * 14 for _ in range(4)]
+    rows[0][3] = 1.0
+    rows[1][1], rows[1][5] = 0.5, 0.5
+    rows[2][0], rows[2][12], rows[2][13] = 0.6, 0.3, 0.1
+    posts = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "k int, " + ", ".join(f"post_{n} double" for n in names))
+    many = {r.k: (r.paralog, r.found) for r in posterior.call(posts, names).collect()}
+    small = {}
+    for i, r in enumerate(rows):
+        some = [n for n, p in zip(names, r, strict=True) if p] or names[:1]
+        one = posterior.call(posts.where(f"k = {i}"), some).first()
+        small[i] = (one.paralog, one.found)
+    assert many == small and many[0][0] == "p03" and list(itertools.islice(many, 4))
+    page = report.table_of(spark.range(30), limit=10)
+    assert "20 more rows" in page and page.count("<tr") == 11
+
+
+def test_headers_may_hold_the_record_sign(spark, tmp_path):
+    from kinlattice.sources import fasta
+
+    (tmp_path / "a.fasta").write_text(">a1 beta->alpha kinase\nMK\nLV\n>b2 x\nGG\n")
+    for got in (fasta.read_fasta(spark, str(tmp_path / "a.fasta")), fasta.records(spark, (tmp_path / "a.fasta").read_text().splitlines())):
+        assert [(r.header, r.sequence) for r in got.orderBy("row_id").collect()] == [("a1 beta->alpha kinase", "MKLV"), ("b2 x", "GG")]

@@ -171,10 +171,19 @@ def test_stream(spark, tmp_path):
     folder.mkdir()
     for i in range(6):
         (folder / f"{i}.newick").write_text("((A,B),(C,D));\n" * 20)
-    state = convergence.Halves(cutoff=0.9, least=40)
+    state = convergence.Halves(str(tmp_path / "state"), cutoff=0.9, least=40)
     q = convergence.follow(convergence.tree_stream(spark, str(folder), 2), state, str(tmp_path / "ck"))
     q.awaitTermination(60)
-    assert state.done and state.trees >= 40 and set(state.counts) == {"C,D"}
+    assert state.done and state.trees >= 40
+    held = spark.read.parquet(str(tmp_path / "state"))
+    assert {r.split_key for r in held.collect()} == {"TREE", "C,D"}
+    # a state made anew goes on from the table, and an epoch that runs again replaces its own counts
+    again = convergence.Halves(str(tmp_path / "state"), cutoff=0.0, least=10**6)
+    batch = spark.createDataFrame([("((A,B),(C,D));",)] * 41, "value string")
+    last = max(r.epoch for r in held.collect())
+    for _ in range(2):
+        again(batch, last + 1)
+    assert again.trees == state.trees + 41 and again.history[-1][2] <= 1 / 41 + 1e-9
     stream = convergence.running_support(convergence.tree_stream(spark, str(folder)))
     q = stream.writeStream.outputMode("complete").format("memory").queryName("running").trigger(availableNow=True).start()
     q.awaitTermination(60)
