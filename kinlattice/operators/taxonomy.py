@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import without_strain
+from ..session import cut
 from ..sources.newick import Node
 
 LIFE = "ott805080"
@@ -90,7 +91,7 @@ def tree_paths(edges: DataFrame, node: str = "node", parent: str = "parent") ->
     base = edges.select(F.col(node).alias("node"), F.col(parent).alias("up"))
     closure = base.select("node", F.col("node").alias("ancestor"), F.lit(0).cast("long").alias("distance"))
     hop = base.where("up IS NOT NULL").select("node", F.col("up").alias("ancestor"), F.lit(1).cast("long").alias("distance"))
-    closure = closure.unionByName(hop)
+    closure = cut(closure.unionByName(hop))
     reach, nodes = 1, None
     while True:
         if reach >= 64:
@@ -98,9 +99,9 @@ def tree_paths(edges: DataFrame, node: str = "node", parent: str = "parent") ->
             if reach > 2 * nodes:
                 raise ValueError("the edges have a cycle")
         a, b = closure.alias("a"), closure.where("distance > 0").alias("b")
-        more = a.join(b, F.col("a.ancestor") == F.col("b.node")).where(F.col("a.distance") == reach).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance")).persist()  # read by each later round
+        more = a.join(b, F.col("a.ancestor") == F.col("b.node")).where(F.col("a.distance") == reach).select(F.col("a.node").alias("node"), F.col("b.ancestor").alias("ancestor"), (F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        more = cut(more)  # read by each later round
         if more.isEmpty():
-            more.unpersist()
             return closure
         closure = closure.unionByName(more)
         reach *= 2

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -20,3 +22,17 @@ def session(name: str = "kinlattice", master: str | None = None, **settings: str
     for k, v in (SETTINGS | settings).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the folder that the cluster names in spark.checkpoint.dir: its plan starts anew there.
+
+    Only a session that runs in one process may go without the setting, and gets a temporary folder.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinlattice-"))
+    return df.checkpoint()
