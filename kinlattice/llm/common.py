@@ -66,28 +66,31 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
 
 
 class Slots:
-    """Which of a fixed number of slots some hashes fall in: one byte each, handed to a plan as the only value of a subquery.
+    """Which of a fixed number of slots some hashes fall in: a bit each, handed to a plan as the only value of a subquery.
 
     A filter before a join: rows whose slot is empty can have no partner and need not be shuffled. Its
     size doesn't follow the data; with more hashes than slots it lets more rows through, never fewer.
+    Seven bits go to a byte, so that every byte is a sign that ascii() reads.
     """
 
-    def __init__(self, hashes: DataFrame, name: str, slots: int = 1 << 20):
+    def __init__(self, hashes: DataFrame, name: str, slots: int = 7 << 20):
         self.slots = slots
-        held = bytearray(slots)
-        at = hashes.select(self._slot(F.col(name)).alias("s")).distinct().toArrow().column("s")  # at most slots numbers
-        np.frombuffer(held, np.uint8)[at.to_numpy()] = 1
-        self.used, self.held = len(at), bytes(held)
-        self.table = hashes.sparkSession.createDataFrame([(held,)], "held binary")
+        at = hashes.select(self._slot(F.col(name)).alias("s")).distinct().toArrow().column("s").to_numpy()  # at most slots numbers
+        held = np.zeros(-(-slots // 7), np.uint8)
+        np.bitwise_or.at(held, at // 7, (1 << (at % 7)).astype(np.uint8))
+        self.used = len(at)
+        self.table = hashes.sparkSession.createDataFrame([(bytearray(held.tobytes()),)], "held binary")
 
     def _slot(self, h: Column) -> Column:
         return F.pmod(h, F.lit(self.slots)).cast("int")
 
     def has(self, h: Column) -> Column:
-        return F.substring(self.table.scalar(), self._slot(h) + 1, F.lit(1)) == F.lit(b"\x01")
+        at = self._slot(h)
+        byte = F.ascii(F.substring(self.table.scalar(), ((at - F.pmod(at, F.lit(7))) / 7 + 1).cast("int"), F.lit(1)).cast("string"))
+        return byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(7)]), F.pmod(at, F.lit(7)) + 1)) != 0
 
 
-def salted(counts: DataFrame, name: str, count: str, least: int, slots: int = 1 << 20):
+def salted(counts: DataFrame, name: str, count: str, least: int):
     """A function from a key to its number of salts: 1, or 8, 64, ... for keys of more than least, 8 * least, ... rows.
 
     Both sides of a join use it: the one with the rows deals them over the salts, the other repeats its row for each.
@@ -95,7 +98,7 @@ def salted(counts: DataFrame, name: str, count: str, least: int, slots: int = 1
     most = counts.agg(F.max(count)).first()[0] or 0
     tiers = []
     while most > least * 8 ** len(tiers):
-        tiers.append(Slots(counts.where(F.col(count) > least * 8 ** len(tiers)), name, slots))
+        tiers.append(Slots(counts.where(F.col(count) > least * 8 ** len(tiers)), name))
 
     def of(key: Column) -> Column:
         out = F.lit(1)

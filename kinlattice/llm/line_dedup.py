@@ -65,7 +65,10 @@ def mark(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", text:
     own = own.withColumn("salt", F.pmod(F.xxhash64("r1", "pos"), salts).cast("int"))
     copies = wanted.select("h1", "h2", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     places = own.join(copies, ["h1", "h2", "salt"], "left_semi").groupBy("r1", "r2").agg(F.collect_set("pos").alias("at"))
-    joined = held.join(places, ["r1", "r2"], "left").withColumn("lines", F.when(F.col("at").isNotNull(), lines_of(body)))
+    places = staged(places, "places")
+    maybe = Slots(places, "r1").has(F.col("r1"))  # rows that lose nothing stay where they are
+    joined = held.where(maybe).join(places, ["r1", "r2"], "left").unionByName(held.where(~maybe).withColumn("at", F.lit(None).cast("array<int>")))
+    joined = joined.withColumn("lines", F.when(F.col("at").isNotNull(), lines_of(body)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("at"))
     joined = joined.withColumn("stay", F.when(F.col("at").isNotNull(), F.transform(stay, lambda i: F.get("lines", i))))
     none_own = F.col("at").isNotNull() & ~F.exists(F.coalesce("stay", F.array()), lambda x: F.trim(x) != "")

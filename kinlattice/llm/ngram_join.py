@@ -49,7 +49,7 @@ from .common import Slots, WordHash, columns, flattened, hash128, map_columns, m
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
 STARS = 3
-SLOTS = 1 << 22  # of the maps that tell which rows have a partner
+SLOTS = 7 << 20  # of the maps that tell which rows have a partner
 MEMBERS = 256  # pairs of one hub that may meet one copy of its set
 COUNTED = 4_000_000  # values of shingles that one task holds at a time to count unshared ones
 BUCKET = 1_000_000  # signatures that one task holds at a time

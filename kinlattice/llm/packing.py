@@ -32,13 +32,23 @@ from .common import map_columns, staged, table
 
 LENGTH = 1024
 END = 0
-REMEMBERED = 800_000  # words whose ids a worker keeps
+REMEMBERED = 1_200_000  # words whose ids a worker keeps
 LONGEST = 48  # characters of a word that is kept
 SEGMENT = 1 << 20  # characters that are cut into words at a time
 _CUT = re.compile(r"(?= \S)")
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _ODD = re.compile(r" (?=\s|\Z)")
 
 
+def _signs() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others for signs from 256 on, in order."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+_SIGNS = _signs()
+
+
 class Encoder:
     """Texts to ids by a tokenizers file, each distinct word once.
 
@@ -65,6 +75,9 @@ class Encoder:
     def words(self, parts: list[str]) -> list[bytes]:
         """ids() of words, each after a space: they go to the library as one text, whose ids are dealt out by their numbers of bytes."""
         out: list[bytes] = []
+        if parts and _LETTERS.fullmatch(parts[0]):  # a space and letters are one word of the pattern: it needs no cutting
+            tokenize = self.tokenizer.model.tokenize
+            return [array("I", [t.id for t in tokenize("\u0120" + (w if w.isascii() else w.encode("utf-8").decode("latin-1").translate(_SIGNS)))]).tobytes() for w in parts]
         for at in range(0, len(parts), 10_000):
             some = parts[at : at + 10_000]
             raw = self.ids([" " + " ".join(some)])[0]
@@ -81,7 +94,8 @@ class Encoder:
         got = [list(map(self.known.get, t)) for t in tails]
         new = list({w for t, g in zip(tails, got, strict=True) if None in g for w, i in zip(t, g, strict=True) if i is None})
         if new:
-            found = dict(zip(new, self.words(new), strict=True))
+            plain, rest = [w for w in new if _LETTERS.fullmatch(w)], [w for w in new if not _LETTERS.fullmatch(w)]
+            found = dict(zip(plain + rest, self.words(plain) + self.words(rest), strict=True))
             for t, g in zip(tails, got, strict=True):
                 if None in g:
                     g[:] = [found[w] if i is None else i for w, i in zip(t, g, strict=True)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, columns, map_columns, mix, staged, table
+from .common import columns, map_columns, mix, staged, table
 
 DEPTH = 200
 STRETCH = 150
@@ -44,6 +44,7 @@ KEY = 50
 DIGITS = 4
 SEGMENT = 1 << 20
 HEAVY = 2_000
+HEAVY_SLOTS = 1 << 20
 BLOCK = 15
 CHUNK = 3 << 20  # bytes of runs that one step of the later passes holds
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -215,10 +216,10 @@ def blocks(raw: bytes, key: int, at: int, first: int, last: int) -> list[tuple[i
     return out
 
 
-def repeated_starts(held: DataFrame, buckets: int, heavy: bytes = b"\0") -> DataFrame:
+def repeated_starts(held: DataFrame, buckets: int, heavy: np.ndarray | None = None) -> DataFrame:
     """a, first, last: within a run of text a, the first and the last start of a repeated string.
 
-    held: a, t (text) and places (repeated anchors) of each different text. heavy: a map of slots of heavy keys.
+    held: a, t (text) and places (repeated anchors) of each different text. heavy: a mark for each slot of heavy keys, if there are any.
     """
     names = ("bucket", "ids", "keys", "shift", "starts", "sizes", "count", "bytes")
 
@@ -230,7 +231,7 @@ def repeated_starts(held: DataFrame, buckets: int, heavy: bytes = b"\0") -> Data
             keep = np.flatnonzero(np.isin(anchor, np.frombuffer(b"".join(p), "<u4")))
             keys = keys_of(raw, anchor[keep])
             for k, at, f, e in zip(keys.tolist(), anchor[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                cut = blocks(raw, k, at, f, e) if heavy[k % len(heavy)] else [(k, f, e)]
+                cut = blocks(raw, k, at, f, e) if heavy is not None and heavy[k % len(heavy)] else [(k, f, e)]
                 for own, b, c in cut:
                     found.setdefault((own, at - b, raw[b : c + DEPTH]), []).append((i, b))
         if not found:
@@ -384,7 +385,10 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     classes = ids.groupBy("a", "b").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.max(F.col(key).isNull().cast("int")).alias("some_null"))
     anchors = staged(repeated_anchors(docs, max(least, total // (128 << 20)), text), "anchors")
-    heavy = Slots(anchors.where("places IS NULL"), "a")
+    slots = anchors.where("places IS NULL").select(F.pmod("a", F.lit(HEAVY_SLOTS)).cast("int").alias("s")).distinct().toArrow().column("s").to_numpy()  # at most so many numbers
+    heavy = np.zeros(HEAVY_SLOTS, bool) if len(slots) else None
+    if len(slots):
+        heavy[slots] = True
     places = anchors.where("places IS NOT NULL").dropDuplicates(["a", "places"]).groupBy("a").agg(F.collect_list("places").alias("places"))
     of = classes.join(places, "a").select("a", "b", F.col("rep").alias("k"), "places")
     texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
@@ -395,7 +399,7 @@ def removed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
     joined = texts.join(of, texts["k"].eqNullSafe(of["k"])).drop(of["k"])
     held = staged(map_columns(joined, [F.col(c) for c in ("a", "b", "t", "places")], own, "a long, b long, t string, places array<binary>"), "held")
-    starts = repeated_starts(held, max(least, total // (64 << 20)), heavy.held if heavy.used else b"\0")
+    starts = repeated_starts(held, max(least, total // (64 << 20)), heavy)
     spans = starts.groupBy("a").agg(F.collect_list(F.struct("first", "last")).alias("s"))
 
     def result(a: list, b: list, ts: list, ss: list) -> dict:
