@@ -21,7 +21,7 @@ Documents with equal sets form a class, and only one set of a class goes on. For
 4. Components of the links, by smallest label, in joins that stay on the executors.
 
 The plan is the same at every size: texts and sets are shuffled only where their slot in a map of fixed
-size has a partner, and no side is broadcast. All shuffles carry fixed-size records, or packed arrays whose buckets are made as small as a parameter
+size has a partner, and never sent to a broadcast side; slim tables of numbers are joined as Spark's own size checks say. All shuffles carry fixed-size records, or packed arrays whose buckets are made as small as a parameter
 says; a shingle or signature that a third of all documents have is one entry of each of them.
 
 Defined cases: null or empty texts have no shingle, no link and themselves as component; a text of
@@ -48,7 +48,7 @@ from .common import Slots, WordHash, columns, flattened, hash128, map_columns, m
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
-STARS = 3
+STARS = 2
 SLOTS = 7 << 20  # of the maps that tell which rows have a partner
 MEMBERS = 256  # pairs of one hub that may meet one copy of its set
 COUNTED = 4_000_000  # values of shingles that one task holds at a time to count unshared ones
@@ -354,7 +354,7 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     groups: node, label of groups of sets. A group's sets are dealt into blocks of bounded size, and each
     pair of blocks is one task's work, which counts common shingles by their postings and gives only links.
     """
-    of = sets.where(Slots(groups, "node", SLOTS).has(F.col("cid"))).join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")).hint("merge"), "cid")
+    of = sets.where(Slots(groups, "node", SLOTS).has(F.col("cid"))).join(groups.select(F.col("node").alias("cid"), F.col("label").alias("g")), "cid")
     size = of.groupBy("g").agg(F.greatest(F.ceil(F.sum("n") / tile), F.lit(1)).cast("int").alias("blocks"))
     held = of.join(size, "g").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -393,13 +393,11 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
 
 
 def labelled(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """sets with the label of their component; a set without links is its own, and isn't shuffled."""
-    alone = sets.select("cid", "n", "u", "set", F.col("cid").alias("label"))
+    """sets with the label of their component; a set without links is its own."""
     if labels is None:
-        return alone
-    slots = Slots(labels, "node", SLOTS)
-    some = sets.where(slots.has(F.col("cid"))).join(labels.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
-    return alone.where(~slots.has(F.col("cid"))).unionByName(some.select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label")))
+        return sets.select("cid", "n", "u", "set", F.col("cid").alias("label"))
+    out = sets.join(labels.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
+    return out.select("cid", "n", "u", "set", F.coalesce("label", "cid").alias("label"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -409,8 +407,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """
     some = sets.where(Slots(pairs.select(F.explode(F.array("a", "b")).alias("c")), "c", SLOTS).has(F.col("cid"))).select("cid", "set")
     salts = salted(staged(pairs.groupBy("a").agg(F.count("*").alias("n")), "hubs"), "a", "n", MEMBERS)
-    hubs = Slots(pairs, "a", SLOTS)
-    left = some.where(hubs.has(F.col("cid"))).select(F.col("cid").alias("a"), F.explode(F.sequence(F.lit(0), salts(F.col("cid")) - 1)).alias("salt"), F.col("set").alias("sa"))
+    left = some.join(pairs.select(F.col("a").alias("cid")).distinct(), "cid", "left_semi").select(F.col("cid").alias("a"), F.explode(F.sequence(F.lit(0), salts(F.col("cid")) - 1)).alias("salt"), F.col("set").alias("sa"))
     right = some.withColumnRenamed("cid", "b").withColumnRenamed("set", "sb").join(pairs.hint("merge"), "b").withColumn("salt", F.pmod(F.xxhash64("b"), salts(F.col("a"))).cast("int"))
     both = right.join(left.hint("merge"), ["a", "salt"])
 
@@ -453,7 +450,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     ids = scan.where("bucket < 0").select(F.col("key").alias(key), "r1", "r2", "n_shingles", "s1", "s2")
     classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"), F.min(F.struct("r1", "r2")).alias("r"))
     alone = unshared(scan.where("bucket >= 0"), buckets).withColumnRenamed("id", "s1")
-    survivors = classes.where("n >= 3").join(alone.hint("merge"), "s1", "left").where("4 * coalesce(u, 0) <= n")
+    survivors = classes.where("n >= 3").join(alone, "s1", "left").where("4 * coalesce(u, 0) <= n")
     survivors = staged(survivors.select("s1", "s2", "n", "rep", "r.r1", "r.r2"), "survivors")
     # one row of each class brings the text, found by its own hash, whatever its key; rows without a slot stay where they are
     r1, r2 = hash128(F.col(key), F.col(text))
@@ -480,7 +477,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
 
     _buckets_of_sets = _buckets(spark, held, COUNTED)
     exact = unshared(map_columns(fetched, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary"), _buckets_of_sets)
-    sets = staged(fetched.join(exact.withColumnRenamed("id", "cid").hint("merge"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
+    sets = staged(fetched.join(exact.withColumnRenamed("id", "cid"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
     edges = [int(x) for x in _BANDS[:-1] if x < 1 << 31]
     band = F.expr("size(filter(array(" + ",".join(map(str, edges)) + "), e -> e < n))")
     per = {r["band"]: r["c"] for r in sets.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()}  # one row a band
@@ -510,13 +507,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
 def _labelled(ids: DataFrame, classes: DataFrame, survivors: DataFrame, labels: DataFrame | None, key: str, rows: bool) -> DataFrame:
     """Components' smallest keys, from labels of classes to rows."""
     if labels is not None:
-        reps = labels.join(survivors.select(F.col("s1").alias("node"), "rep").hint("merge"), "node")
+        reps = labels.join(survivors.select(F.col("s1").alias("node"), "rep"), "node")
         least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-        joined = labels.join(least.hint("merge"), "label").select(F.col("node").alias("s1"), "component_id", F.col("label").alias("component"))
-        whole = classes.join(joined.hint("merge"), "s1", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "s1").alias("component"))
+        joined = labels.join(least, "label").select(F.col("node").alias("s1"), "component_id", F.col("label").alias("component"))
+        whole = classes.join(joined, "s1", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("component", "s1").alias("component"))
     else:
         whole = classes.select("s1", "s2", F.col("rep").alias("component_id"), F.col("s1").alias("component"))
-    out = ids.join(whole.hint("merge"), ["s1", "s2"], "left")
+    out = ids.join(whole, ["s1", "s2"], "left")
     least = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", key)).otherwise(F.col(key)).alias("component_id")
     return out.select(key, "n_shingles", least, *(["r1", "r2", "component"] if rows else []))
 
