@@ -51,13 +51,13 @@ SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are c
 STARS = 2
 SLOTS = 7 << 20  # of the maps that tell which rows have a partner
 MEMBERS = 256  # pairs of one hub that may meet one copy of its set
-COUNTED = 4_000_000  # values of shingles that one task holds at a time to count unshared ones
-BUCKET = 1_000_000  # signatures that one task holds at a time
+COUNTED = 2_000_000  # values of shingles that one task holds at a time to count unshared ones
+BUCKET = 500_000  # signatures that one task holds at a time
 LADDER = [(1, 3), (1, 4), (2, 5), (3, 6), (3, 7), (4, 8)]  # k2 and n2, by rising selectivity and cost
 SLACK = 5  # quarters
 ROUGH = 8  # the stars look at one in so many signatures, the last round at all
 HEAVY = 64  # sets that share a signature, above which pairs are looked for in tiles
-TILE = 800_000  # shingles of a block of sets
+TILE = 500_000  # shingles of a block of sets
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
