@@ -65,6 +65,16 @@ def hash128(*parts: Column) -> tuple[Column, Column]:
     return F.xxhash64(*parts), F.xxhash64(F.lit(0x5EED), *parts)
 
 
+BATCH_ROWS = 4_000  # rows that go to a Python worker at a time: documents are longer than what the default counts on
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, where it has more."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Slots:
     """Which of a fixed number of slots some hashes fall in: a bit each, handed to a plan as the only value of a subquery.
 
@@ -197,6 +207,7 @@ def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataF
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     out_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out_schema)
     starts = getattr(work, "starts", False)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, starting, table
+from .common import map_columns, small_batches, starting, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -241,6 +241,7 @@ def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, text: str
             lang, score = run([t if isinstance(t, str) else None for t in texts])
             yield pd.Series([a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)])
 
+    small_batches(docs.sparkSession)
     return docs.where(known(F.col(text)))
 
 
