@@ -134,7 +134,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """Word to 64-bit hash, remembered up to a bounded number of words."""
 
-    LIMIT = 150_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -32,7 +32,7 @@ from .common import map_columns, staged, table
 
 LENGTH = 1024
 END = 0
-REMEMBERED = 250_000  # words whose ids a worker keeps
+REMEMBERED = 100_000  # words whose ids a worker keeps
 LONGEST = 48  # characters of a word that is kept
 SEGMENT = 1 << 20  # characters that are cut into words at a time
 _CUT = re.compile(r"(?= \S)")
