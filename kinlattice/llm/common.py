@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import itertools
 import shutil
 import tempfile
@@ -40,14 +41,26 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table goes when the driver's JVM ends.
+    The table goes when the driver's JVM ends, or by dropped(). Shuffle files of the plan that wrote it go at once: Spark
+    removes them when the driver collects the plan, which on its own it does seldom, whatever the size of the files.
     """
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/kinlattice-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    gc.collect()
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.folder = folder
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the table that staged() wrote; no plan may read it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def nested(df: DataFrame, **added: Column) -> DataFrame:

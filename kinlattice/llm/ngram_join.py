@@ -15,8 +15,10 @@ Documents with equal sets form a class, and only one set of a class goes on. For
    compared with one of them (a star), so that a group of copies needs as many comparisons as it has
    sets; then one set of each component found so far with another hub, STARS times; at last all pairs
    that share a signature and still lie in different components, unless their sizes and unshared shingles
-   exclude a link. Where more than HEAVY sets share a signature, these pairs never become rows: the sets
-   are dealt into blocks, and a task counts the common shingles of two blocks. No pair is left out that
+   exclude a link. Where more than HEAVY sets share a signature, as sets of one template do, two of them
+   can only be linked if they share one of their floor(n / 4) + 1 rarest shingles, in an order that is the
+   same for all; only such pairs become rows. Where more than HEAVY sets share such a shingle too, they are
+   dealt into blocks, and a task counts the common shingles of two blocks. No pair is left out that
    could join two components.
 4. Components of the links, by smallest label, in joins that stay on the executors.
 
@@ -37,6 +39,7 @@ import functools
 import hashlib
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -44,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, WordHash, columns, flattened, hash128, map_columns, mix, nested, salted, shingle_sets, staged, starting, table
+from .common import Slots, WordHash, columns, dropped, flattened, hash128, map_columns, mix, nested, salted, shingle_sets, staged, starting, table
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
@@ -58,6 +61,7 @@ SLACK = 5  # quarters
 ROUGH = 8  # the stars look at one in so many signatures, the last round at all
 HEAVY = 64  # sets that share a signature, above which pairs are looked for in tiles
 TILE = 500_000  # shingles of a block of sets
+PLACES = 1 << 22  # of the map of frequent shingles
 _CH = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -213,13 +217,68 @@ def _subsets(n: int, size: int) -> np.ndarray:
     return pick
 
 
-def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, mode: str, heavy_from: int) -> DataFrame:
+def by_parts(shapes: dict[int, tuple[int, int]]):
+    """A set's signatures by PartEnum, those of its own band marked by their last bit: it also signs as one of the next band."""
+
+    def sign(s: np.ndarray) -> np.ndarray:
+        b = int(band_of(len(s)))
+        made = [(signatures(s, band, shapes[band]) & ~np.uint64(1)) | np.uint64(band == b) for band in (b, b + 1) if band in shapes]
+        return np.concatenate(made) if made else np.empty(0, np.uint64)
+
+    return sign
+
+
+def by_rarity(levels: bytes):
+    """A set's floor(n / 4) + 1 rarest shingles: of two linked sets, which have three quarters of either in common, these share one.
+
+    levels: compressed, a byte for each of PLACES. The order is by level, then by value, and so the same for all sets.
+    """
+
+    def sign(s: np.ndarray) -> np.ndarray:
+        level = _opened(levels)[(s & np.uint64(PLACES - 1)).astype(np.int64)]
+        return s[np.argsort(level, kind="stable")[: len(s) // 4 + 1]] | np.uint64(1)  # s is sorted
+
+    return sign
+
+
+@functools.lru_cache(maxsize=1)
+def _opened(levels: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(levels), np.uint8)
+
+
+def frequent(sets: DataFrame, total: int, least: int = HEAVY) -> bytes:
+    """For by_rarity(): the binary logarithm of how many of the sets have a shingle, where more than least do; else 0."""
+    buckets = _buckets(sets.sparkSession, total, COUNTED)
+
+    def whole(cids: list, stored: list) -> dict:
+        return columns(PACKED, _pack(cids, [np.frombuffer(s, "<u8") for s in stored], buckets))
+
+    def count(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(b, []).append(v)
+        for b in list(held):
+            v, n = np.unique(np.frombuffer(b"".join(held.pop(b)), "<u4"), return_counts=True)
+            v, n = v[n > least], n[n > least]
+            yield pa.RecordBatch.from_arrays([pa.array((v & np.uint32(PLACES - 1)).astype(np.int32)), pa.array(np.log2(n).astype(np.int32))], names=["place", "level"])
+
+    packed = map_columns(sets, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary")
+    dealt = packed.select("bucket", "values").repartition(buckets, "bucket").mapInArrow(count, "place int, level int")
+    got = dealt.groupBy("place").agg(F.max("level").alias("level")).toArrow()  # at most PLACES rows
+    out = np.zeros(PLACES, np.uint8)
+    out[got.column("place").to_numpy()] = got.column("level").to_numpy()
+    return zlib.compress(out.tobytes())
+
+
+def _meetings(sets: DataFrame, sign, total: int, mode: str, heavy_from: int) -> DataFrame:
     """Pairs a, b of cid that share a signature, could be linked by their sizes, and have different labels.
 
     sets: cid, n, u, set, label. Of n shingles u are in no other set, so that two sets have at most
     m = min(n - u) in common. mode 'best': for each set the hub, the smallest set of a signature, that it
     meets most often; 'star' and a number: one set of each label with a hub chosen by hash; 'all': every pair.
     Where more than heavy_from sets share a signature, the rows are heavy and only a forest over these sets.
+    sign gives a set's signatures, whose last bit says whether it may be linked with sets that have it at 0; total is their number.
     """
     part = 1 if mode == "all" else ROUGH
     buckets = _buckets(sets.sparkSession, total // part)
@@ -229,15 +288,11 @@ def _meetings(sets: DataFrame, shapes: dict[int, tuple[int, int]], total: int, m
         ids, labels, sizes, alone = (np.array(x, np.int64) for x in (ids, labels, sizes, alone))
         values, owner, held = [], [], 0
         for i, raw in enumerate(stored):
-            s = np.frombuffer(raw, "<u8")
-            b = int(band_of(len(s)))
-            for band, native in ((b, 1), (b + 1, 0)):
-                if band in shapes:
-                    v = signatures(s, band, shapes[band])
-                    v = v[(v >> np.uint64(8)) % np.uint64(part) == 0]
-                    values.append((v & ~np.uint64(1)) | np.uint64(native))
-                    owner.append(np.full(len(v), i))
-                    held += len(v)
+            v = sign(np.frombuffer(raw, "<u8"))
+            v = v[(v >> np.uint64(8)) % np.uint64(part) == 0]
+            values.append(v)
+            owner.append(np.full(len(v), i))
+            held += len(v)
             if held and (held > 500_000 or i == len(stored) - 1):
                 rows = []
                 for bucket, v, o in _deal(np.concatenate(values), np.concatenate(owner), buckets):
@@ -392,6 +447,12 @@ def tiled(sets: DataFrame, groups: DataFrame, tile: int = TILE) -> DataFrame:
     return held.groupBy("g", "i", "j").applyInPandas(work, "a long, b long")
 
 
+def of_nodes(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the sets that are an end of one of the edges a, b, as a table."""
+    nodes = staged(edges.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "nodes")
+    return staged(sets.where(Slots(nodes, "cid", SLOTS).has(F.col("cid"))).join(nodes.hint("merge"), "cid", "left_semi"), "crowd")
+
+
 def labelled(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
     """sets with the label of their component; a set without links is its own."""
     if labels is None:
@@ -447,11 +508,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = _buckets(spark, chars // 6 * SAMPLED // 16, COUNTED)
     scan = staged(scanned(docs, buckets, key, text), "scan")
-    ids = scan.where("bucket < 0").select(F.col("key").alias(key), "r1", "r2", "n_shingles", "s1", "s2")
+    ids = staged(scan.where("bucket < 0").select(F.col("key").alias(key), "r1", "r2", "n_shingles", "s1", "s2"), "ids")
     classes = ids.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("n_shingles").alias("n"), F.min(key).alias("rep"), F.min(F.struct("r1", "r2")).alias("r"))
     alone = unshared(scan.where("bucket >= 0"), buckets).withColumnRenamed("id", "s1")
     survivors = classes.where("n >= 3").join(alone, "s1", "left").where("4 * coalesce(u, 0) <= n")
     survivors = staged(survivors.select("s1", "s2", "n", "rep", "r.r1", "r.r2"), "survivors")
+    dropped(scan)
     # one row of each class brings the text, found by its own hash, whatever its key; rows without a slot stay where they are
     r1, r2 = hash128(F.col(key), F.col(text))
     wanted = Slots(survivors, "r1", SLOTS)
@@ -478,6 +540,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     _buckets_of_sets = _buckets(spark, held, COUNTED)
     exact = unshared(map_columns(fetched, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary"), _buckets_of_sets)
     sets = staged(fetched.join(exact.withColumnRenamed("id", "cid"), "cid", "left").withColumn("u", F.coalesce("u", F.lit(0))).where("4 * u <= n"), "sets")
+    dropped(fetched)
     edges = [int(x) for x in _BANDS[:-1] if x < 1 << 31]
     band = F.expr("size(filter(array(" + ",".join(map(str, edges)) + "), e -> e < n))")
     per = {r["band"]: r["c"] for r in sets.groupBy("n").agg(F.count("*").alias("c")).groupBy(band.alias("band")).agg(F.sum("c").alias("c")).collect()}  # one row a band
@@ -486,16 +549,22 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", heavy: int =
     links, labels, tested = None, None, None
     for mode in ("best", *(f"star{i}" for i in range(STARS)), "all"):
         marked = labelled(sets, labels)
-        met = staged(_meetings(marked, shapes, int(weight), mode, heavy), "met")
+        met = staged(_meetings(marked, by_parts(shapes), int(weight), mode, heavy), "met")
+        large = met.where("heavy").select("a", "b")
+        crowded = mode == "all" and not large.isEmpty()
+        if crowded:
+            some = of_nodes(marked, large)
+            total = some.agg(F.sum("n")).first()[0]
+            closer = staged(_meetings(some, by_rarity(frequent(some, total, heavy)), total // 4, mode, heavy), "met")
+            met, large = met.where("NOT heavy").unionByName(closer), closer.where("heavy").select("a", "b")
         pairs = met.where("NOT heavy").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = linked(pairs, sets)
-        large = met.where("heavy").select("a", "b")
-        if mode == "all" and not large.isEmpty():
-            found = found.unionByName(tiled(marked, components(large), tile))
+        if crowded and not large.isEmpty():
+            found = found.unionByName(tiled(some, components(large), tile))
         new = staged(found, "links")
         if new.isEmpty():
             continue

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from kinlattice.llm import common
 from kinlattice.llm import ngram_join as nj
 
 
@@ -149,3 +150,40 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.label for r in nj.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == label
+
+
+def test_a_shared_template_makes_no_tiles(docs, monkeypatch):
+    """Texts of one template that are else alike in pairs at most: only pairs with a rare shingle in common are compared."""
+
+    def none(*_):
+        raise AssertionError("dealt into blocks, whose number grows with the group")
+
+    monkeypatch.setattr(nj, "tiled", none)
+    template = " ".join(f"t{j}" for j in range(60))
+    block = [" ".join(f"b{i}w{j}" for j in range(30)) for i in range(41)]
+    rows = [(i, f"{template} {block[i]} {block[i + 1]}") for i in range(40)]
+    rows += [(900, rows[7][1] + " end"), (901, rows[31][1].replace("b31w5", "other"))]
+    got = sorted((tuple(r) for r in nj.join(docs(rows), heavy=8).collect()), key=repr)
+    assert got == brute(rows) and len({r[2] for r in got}) == 40
+
+
+def test_linked_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 3, nj.PLACES).astype(np.uint8)
+    sign = nj.by_rarity(nj.zlib.compress(levels.tobytes()))
+    for size in [1, 2, 3, 4, 5, 8, 33, 150]:
+        for _ in range(40):
+            union = rng.integers(0, 1 << 63, size * 4 // 3 + 1).astype(np.uint64)
+            a, b = np.unique(union[:size]), np.unique(union[int(rng.integers(0, size)) :])
+            both = len(np.intersect1d(a, b))
+            if 4 * both >= 3 * (len(a) + len(b) - both):
+                assert set(sign(a).tolist()) & set(sign(b).tolist())
+
+
+def test_dead_tables_go(docs, tmp_path, monkeypatch):
+    """Scanned shingles and the first copy of the sets don't stay on the disk until the end."""
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = [(i, near(i // 2, [i])) for i in range(20)]
+    assert nj.join(docs(rows)).count() == 20
+    left = [p.name for p in tmp_path.glob("*/*")]
+    assert "scan" not in left and left.count("sets") == 1 and "survivors" in left
