@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import itertools
 import shutil
@@ -210,6 +212,24 @@ def shingle_set(text: str | None, words: WordHash, width: int = 5) -> np.ndarray
     return shingle_sets([text], words, width)[0]
 
 
+kept: list = []  # cached functions whose values a worker keeps from task to task, for work that is marked by keeping()
+
+
+def trimmed(forget: bool = False) -> None:
+    """Give freed memory back: a worker that is used again would else hold what its largest task took, beside the JVM's heap.
+
+    forget: what the functions in kept hold goes too.
+    """
+    import pyarrow as pa
+
+    for cache in kept if forget else []:
+        cache.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataFrame:
     """Run work over Arrow batches: it gets one list per input and gives a dict of columns named by schema.
 
@@ -223,14 +243,17 @@ def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataF
     small_batches(df.sparkSession)
     out_schema = StructType.fromDDL(schema)
     arrow = to_arrow_schema(out_schema)
-    starts = getattr(work, "starts", False)
+    starts, keeps = getattr(work, "starts", False), getattr(work, "keeps", False)
 
     def run(batches):
+        trimmed(forget=not keeps)
         f = work() if starts else work
         for b in batches:
             made = f(*(c.to_pylist() for c in b.columns))
             for cols in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([pa.array(cols[x.name], x.type, from_pandas=False) for x in arrow], schema=arrow)
+        f = b = made = cols = None
+        trimmed()
 
     return df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out_schema)
 
@@ -244,3 +267,9 @@ def starting(f):
     """Mark a function that makes the function for map_columns, once per task."""
     f.starts = True
     return f
+
+
+def keeping(f):
+    """Mark a function for map_columns that uses what the functions in kept hold; other work lets a worker forget it."""
+    f.keeps = True
+    return f

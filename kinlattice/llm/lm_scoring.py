@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, staged, table
+from .common import keeping, map_columns, staged, table
 from .packing import default_vocabulary, encoder
 
 SIDE = 2
@@ -68,6 +68,7 @@ def tokenized(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
     """The key and the ids of each text, as numbers of the vocabulary's kind."""
     narrow = kind(vocabulary_size(vocabulary))
 
+    @keeping
     def ids(keys: list, texts: list) -> dict:
         return {key: keys, "ids": [np.frombuffer(x, "<u4").astype(narrow).tobytes() for x in encoder(vocabulary)(texts)]}
 

@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Slots, WordHash, columns, dropped, flattened, hash128, map_columns, mix, nested, salted, shingle_sets, staged, starting, table
+from .common import Slots, WordHash, columns, dropped, flattened, hash128, map_columns, mix, nested, salted, shingle_sets, staged, starting, table, trimmed
 
 WIDTH = 5
 SAMPLED = 6  # sixteenths of the shingle domain in which unshared shingles are counted
@@ -150,6 +150,7 @@ def unshared(packed: DataFrame, buckets: int) -> DataFrame:
             low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
             of, u = np.unique(low[low == high], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(u)], names=["id", "u"])
+        trimmed()
 
     dealt = packed.select(*PACKED).repartition(buckets, "bucket")
     return dealt.mapInArrow(count, "id long, u long").groupBy("id").agg(F.sum("u").alias("u"))
@@ -262,6 +263,7 @@ def frequent(sets: DataFrame, total: int, least: int = HEAVY) -> bytes:
             v, n = np.unique(np.frombuffer(b"".join(held.pop(b)), "<u4"), return_counts=True)
             v, n = v[n > least], n[n > least]
             yield pa.RecordBatch.from_arrays([pa.array((v & np.uint32(PLACES - 1)).astype(np.int32)), pa.array(np.log2(n).astype(np.int32))], names=["place", "level"])
+        trimmed()
 
     packed = map_columns(sets, [F.col("cid"), F.col("set")], whole, "bucket int, ids binary, n binary, values binary")
     dealt = packed.select("bucket", "values").repartition(buckets, "bucket").mapInArrow(count, "place int, level int")
@@ -318,6 +320,7 @@ def _meetings(sets: DataFrame, sign, total: int, mode: str, heavy_from: int) ->
             for x, y, heavy in _pairs(v, ids, labels, sizes, common, mode, heavy_from):
                 pairs, count = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(count), pa.array(np.full(len(count), heavy))], names=["a", "b", "c", "heavy"])
+        trimmed()
 
     found = packed.mapInArrow(meet, "a long, b long, c long, heavy boolean").groupBy("a", "b", "heavy").agg(F.sum("c").alias("c"))
     if mode == "best":

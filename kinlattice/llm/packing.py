@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_columns, staged, table
+from .common import keeping, kept, map_columns, staged, table
 
 LENGTH = 1024
 END = 0
@@ -137,6 +137,9 @@ def encoder(vocabulary: str) -> Encoder:
     return Encoder(vocabulary)
 
 
+kept.append(encoder)
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -149,6 +152,7 @@ def cut(docs: DataFrame, vocabulary: str, length: int = LENGTH, key: str = "doc_
     names = ["start", "length", "ids_crc32", "doc_tokens", "text_hash"]
     end = np.array([END], "<u4").tobytes()
 
+    @keeping
     def pieces(keys: list, texts: list) -> dict:
         of, rows = [], []
         for k, raw in zip(keys, encoder(vocabulary)(texts), strict=True):

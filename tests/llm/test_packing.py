@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from kinlattice.llm import packing
+from kinlattice.llm import common, packing
 
 
 @given(st.dictionaries(st.integers(1, 64), st.integers(0, 50), max_size=64))
@@ -94,3 +95,22 @@ def test_every_id_once_gapless(spark, docs, group_rows):
 
 def test_empty_table(docs):
     assert packing.packed(docs([])).count() == 0
+
+
+def test_other_work_lets_a_worker_forget_the_tokenizer(spark):
+    """A worker is used for many stages; what one stage cached is not held beside the next one's memory."""
+
+    def held(n: list) -> dict:
+        from kinlattice.llm import packing as there
+
+        return {"held": [there.encoder.cache_info().currsize] * len(n)}
+
+    def fill(n: list) -> dict:
+        from kinlattice.llm import packing as there
+
+        there.encoder(there.default_vocabulary())
+        return held(n)
+
+    rows = spark.range(4, numPartitions=1).select("id")
+    assert {r.held for r in common.map_columns(rows, [F.col("id")], common.keeping(fill), "held long").collect()} == {1}
+    assert {r.held for r in common.map_columns(rows, [F.col("id")], held, "held long").collect()} == {0}
