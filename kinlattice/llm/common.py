@@ -258,6 +258,17 @@ def map_columns(df: DataFrame, inputs: list[Column], work, schema: str) -> DataF
     return df.select(*[c.alias(f"c{i}") for i, c in enumerate(inputs)]).mapInArrow(run, out_schema)
 
 
+def rested(spark: SparkSession) -> None:
+    """Let executors give back what they hold from work that is over: workers' memory and caches, and the JVM's heap.
+
+    A JVM's heap stays as large as its busiest moment made it, until a full collection; the next work's Python workers
+    would come on top of it. One short task for each core, which a full collection of a heap mostly empty ends.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    done = map_columns(spark.range(0, cores, 1, cores), [F.col("id")], lambda ids: {"id": ids}, "id long")
+    done.select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()  # a row for each core
+
+
 def columns(names, rows: list) -> dict[str, list]:
     """Rows as named lists, also where there is no row."""
     return {n: [r[i] for r in rows] for i, n in enumerate(names)}

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, small_batches, starting, table
+from .common import map_columns, small_batches, starting, table, trimmed
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -236,10 +236,13 @@ def accepted(docs: DataFrame, net: Network | None, least: float = 0.5, text: str
 
     @F.pandas_udf("boolean")
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trimmed(forget=True)
         run = classifier(net)
         for texts in batches:
             lang, score = run([t if isinstance(t, str) else None for t in texts])
             yield pd.Series([a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)])
+        run = texts = None
+        trimmed()
 
     small_batches(docs.sparkSession)
     return docs.where(known(F.col(text)))

@@ -132,6 +132,37 @@ def scanned(docs: DataFrame, buckets: int, key: str = "doc_id", text: str = "tex
     return map_columns(docs, inputs, work, "key long, r1 long, r2 long, n_shingles long, s1 long, s2 long, bucket int, ids binary, n binary, values binary")
 
 
+def alone(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and how many of their values no other id has, where any; from a bucket's rows ids, n, values, of which rows is emptied.
+
+    A value and its owner's number are one 64-bit number, sorted in place: a task holds little more than that.
+    """
+    ids, owner = np.unique(np.concatenate([np.frombuffer(r[0], "<i8") for r in rows]), return_inverse=True)
+    n = np.concatenate([np.frombuffer(r[1], "<u4") for r in rows]).astype(np.int64)
+    both = np.empty(int(n.sum()), np.uint64)
+    at = 0
+    for r in rows:
+        v = np.frombuffer(r[2], "<u4")
+        both[at : at + len(v)] = v
+        at += len(v)
+    rows.clear()
+    both <<= np.uint64(32)
+    at = 0
+    for i in range(0, len(n), 4096):
+        some = np.repeat(owner[i : i + 4096].astype(np.uint64), n[i : i + 4096])
+        both[at : at + len(some)] |= some
+        at += len(some)
+    both.sort()
+    v = (both >> np.uint64(32)).astype(np.uint32)
+    of = both.astype(np.uint32)  # the lower half
+    del both
+    last = np.append(v[1:] != v[:-1], True)[: len(v)]  # of the places of one value
+    first = np.append(True, last[:-1])[: len(v)]
+    count = np.bincount(of[first][of[first] == of[last]], minlength=len(ids))
+    some = np.flatnonzero(count)
+    return ids[some], count[some]
+
+
 def unshared(packed: DataFrame, buckets: int) -> DataFrame:
     """id and u: how many of a set's packed values no other set has (left out where none)."""
 
@@ -140,15 +171,9 @@ def unshared(packed: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for b, i, n, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(b, []).append((i, n, v))
+        batch = None
         for b in list(held):
-            rows = held.pop(b)
-            v = np.concatenate([np.frombuffer(r[2], "<u4") for r in rows])
-            ids = np.concatenate([np.repeat(np.frombuffer(r[0], "<i8"), np.frombuffer(r[1], "<u4")) for r in rows])
-            order = np.argsort(v)
-            v, ids = v[order], ids[order]
-            first = np.flatnonzero(np.diff(v.astype(np.int64), prepend=-1))
-            low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-            of, u = np.unique(low[low == high], return_counts=True)
+            of, u = alone(held.pop(b))
             yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(u)], names=["id", "u"])
         trimmed()
 

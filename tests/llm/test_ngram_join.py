@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -187,3 +188,31 @@ def test_dead_tables_go(docs, tmp_path, monkeypatch):
     assert nj.join(docs(rows)).count() == 20
     left = [p.name for p in tmp_path.glob("*/*")]
     assert "scan" not in left and left.count("sets") == 1 and "survivors" in left
+
+
+def test_counting_unshared_values_holds_little():
+    rng = np.random.default_rng(1)
+
+    def row(ids, sizes, values) -> tuple:
+        return np.array(ids, "<i8").tobytes(), np.array(sizes, "<u4").tobytes(), np.array(values).astype("<u4").tobytes()
+
+    for _ in range(50):
+        rows, owners = [], defaultdict(set)
+        for _ in range(int(rng.integers(1, 5))):
+            ids = rng.choice(np.arange(-3, 3), int(rng.integers(1, 5)), replace=False)
+            sizes = rng.integers(0, 6, len(ids))
+            values = rng.integers(0, 30, int(sizes.sum())) * 143165576  # up to the last bit
+            rows.append(row(ids, sizes, values))
+            for i, v in zip(np.repeat(ids, sizes).tolist(), values.tolist(), strict=True):
+                owners[v].add(i)
+        want = defaultdict(int)
+        for o in owners.values():
+            want[min(o)] += len(o) == 1
+        of, u = nj.alone(rows)
+        assert dict(zip(of.tolist(), u.tolist(), strict=True)) == {i: n for i, n in want.items() if n}
+    rows = [row(np.arange(i * 4000, i * 4000 + 4000), np.full(4000, 8), rng.integers(0, 1 << 32, 32_000)) for i in range(30)]
+    tracemalloc.start()
+    nj.alone(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30 * 32_000 * 32  # bytes a value; 64 before

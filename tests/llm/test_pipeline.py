@@ -4,9 +4,10 @@ from collections import defaultdict
 import test_decontam
 import test_line_dedup
 import test_ngram_join
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinlattice.llm import language_id, packing
+from kinlattice.llm import common, language_id, packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -61,3 +62,32 @@ def test_against_brute_force(spark, tmp_path):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_join", "decontam", "packing"]
+
+
+def test_stages_begin_with_what_earlier_ones_held_given_back(spark, docs):
+    """Also before a stage without Python, and by a stage's own Python function that isn't run by map_columns."""
+
+    def fill(n: list) -> dict:
+        from kinlattice.llm import packing as there
+
+        there.encoder(there.default_vocabulary())
+        return {"held": [there.encoder.cache_info().currsize] * len(n)}
+
+    def look(n: list) -> dict:
+        from kinlattice.llm import packing as there
+
+        return {"held": [there.encoder.cache_info().currsize] * len(n)}
+
+    def held(work) -> set:
+        rows = spark.range(4, numPartitions=1).select("id")
+        return {r.held for r in common.map_columns(rows, [F.col("id")], common.keeping(work), "held long").collect()}
+
+    some = docs([(1, "one two")]).coalesce(1)
+    assert held(fill) == {1}
+    language_id.accepted(some, None).collect()
+    assert held(look) == {0}
+    assert held(fill) == {1}
+    gc = spark.range(1).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")))
+    assert len(gc.collect()) == 1
+    corpus_pipeline.own_lines(spark, some, "")
+    assert held(look) == {0}
