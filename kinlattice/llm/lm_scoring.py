@@ -14,6 +14,9 @@ the network adds: learned vectors of the 2 * SIDE neighbours (one of INPUTS rows
 frequent ids with a row of their own) are added up and go through a ramp; for d2 and d3 a second ramp
 layer mixes them with a learned vector of the digits before.
 
+A class has far fewer digits than the largest one: d2 and d3 are computed over a tier of classes of like
+width, and only over the columns that these have. The others have no value, so nothing is left out.
+
 Training sees every token once. Documents are cut into segments and dealt by a hash over shards of
 about SHARD tokens; in each of ROUNDS rounds every shard trains from the common weights on its share of
 the places, and the weights are averaged by the places seen. Shards, their order and the sums (of
@@ -49,8 +52,10 @@ ROUNDS = 2
 SHARD = 4_000_000
 SEGMENT = 8192
 BATCH = 4096
+SCORED = 16384  # places that are scored at a time: each step has a fixed cost
 RATE = 0.02
 OFFSETS = [*range(-SIDE, 0), *range(1, SIDE + 1)]
+NARROW = 16  # columns of the first tier of classes; each further one has up to four times as many
 GRID = 1 << 20  # weights are summed as whole multiples of 1 / GRID
 Weights = dict[str, np.ndarray]
 
@@ -140,6 +145,15 @@ class Codes:
         digits[order] = np.stack([d1, group, d2, d3], 1)
         self.d1, self.group, self.d2, self.d3 = np.ascontiguousarray(digits.T)
         self.more = (sizes > 1)[self.d1]  # whether the first digit doesn't say all
+        # classes of like width in a row: from one class to the next tier's, and the columns that their digits have
+        width = np.maximum.accumulate(np.maximum(wide, groups))
+        tier = np.ceil(np.log2(np.maximum(width, NARROW) / NARROW) / 2).astype(np.int64)
+        first = np.flatnonzero(np.diff(tier, prepend=-1))
+        start = np.cumsum(groups) - groups
+        self.tiers = []
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), OUTPUTS], strict=True):
+            w, g = int(width[b - 1]), slice(int(start[a]), int(start[b - 1] + groups[b - 1]))
+            self.tiers.append((a, b, w, {2: (a, np.ascontiguousarray(self.base2[a:b, :w])), 3: (g.start, np.ascontiguousarray(self.base3[g, :w]))}))
         self.rows = classes(counts, INPUTS).astype(np.uint16)
 
     def shapes(self) -> dict[str, tuple]:
@@ -229,14 +243,32 @@ def _first(p: Weights, codes: Codes, h: np.ndarray, room: Room) -> np.ndarray:
     return z
 
 
-def _deeper(p: Weights, h: np.ndarray, level: int, before: np.ndarray, base: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray]:
-    n = len(h)
-    m = np.dot(h, p[f"W{level}"], out=room("m", n, HIDDEN))
-    m += np.take(p[f"A{level}"], before, axis=0, out=room("a", n, HIDDEN), mode="clip")
-    np.maximum(m, 0, out=m)
-    z = np.dot(m, p[f"V{level}"], out=room("z", n, base.shape[1]))
-    z += np.take(base, before, axis=0, out=room("base", n, base.shape[1]), mode="clip")
-    return m, z
+def _spans(codes: Codes, d1: np.ndarray) -> list[tuple[slice, int, dict]]:
+    """Rows, columns and log shares of each tier, for rows in the order of their first digits."""
+    ends = np.searchsorted(d1, [b for _, b, _, _ in codes.tiers]).tolist()
+    return [(slice(i, j), w, base) for i, j, (_, _, w, base) in zip([0, *ends], ends, codes.tiers, strict=False) if j > i]
+
+
+def _mixed(p: Weights, h: np.ndarray, level: int, before: np.ndarray, room: Room) -> np.ndarray:
+    """The second ramp layer of a level."""
+    m = np.dot(h, p[f"W{level}"], out=room("m", len(h), HIDDEN))
+    m += np.take(p[f"A{level}"], before, axis=0, out=room("a", len(h), HIDDEN), mode="clip")
+    return np.maximum(m, 0, out=m)
+
+
+def _narrow(p: Weights, m: np.ndarray, level: int, before: np.ndarray, span: tuple, room: Room) -> np.ndarray:
+    """Logits of a tier's rows: only its columns, as the log share of all others is that of no value."""
+    at, w, base = span
+    first, shares = base[level]
+    z = np.dot(m[at], p[f"V{level}"][:, :w], out=room(f"z{w}", at.stop - at.start, w))
+    z += np.take(shares, before[at] - first, axis=0, out=room(f"base{w}", at.stop - at.start, w), mode="clip")
+    return z
+
+
+def _deep_rows(codes: Codes, ids: np.ndarray) -> np.ndarray:
+    """Rows whose first digit doesn't say all, in the order of their groups and so of their classes."""
+    on = np.flatnonzero(codes.more[ids])
+    return on[np.argsort(codes.group[ids[on]], kind="stable")]
 
 
 def log_probs(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids: np.ndarray, room: Room | None = None) -> np.ndarray:
@@ -244,22 +276,27 @@ def log_probs(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids
     room = room or Room()
     _, h = hidden(p, line, place, room)
     out = _softmax(_first(p, codes, h, room), codes.d1[ids])
-    on = np.flatnonzero(codes.more[ids])
+    on = _deep_rows(codes, ids)
     if len(on):
         h, ids = np.take(h, on, axis=0, out=room("some", len(on), DIM), mode="clip"), ids[on]
-        out[on] += _softmax(_deeper(p, h, 2, codes.d1[ids], codes.base2, room)[1], codes.d2[ids])
-        out[on] += _softmax(_deeper(p, h, 3, codes.group[ids], codes.base3, room)[1], codes.d3[ids])
+        more, spans = np.zeros(len(on), h.dtype), _spans(codes, codes.d1[ids])
+        for level, before, digit in ((2, codes.d1[ids], codes.d2[ids]), (3, codes.group[ids], codes.d3[ids])):
+            m = _mixed(p, h, level, before, room)
+            for span in spans:
+                more[span[0]] += _softmax(_narrow(p, m, level, before, span, room), digit[span[0]])
+        out[on] += more
     return out
 
 
-def _summed(of: np.ndarray, rows: np.ndarray, shape: tuple, room: Room) -> np.ndarray:
-    """Rows added up by the row (of 16 bits) that they belong to."""
+def _summed(of: np.ndarray, rows: np.ndarray, shape: tuple, room: Room | None = None) -> np.ndarray:
+    """Rows added up by the row (of 16 bits) that they belong to; without room they come in this order."""
     out = np.zeros(shape, np.float32)
     if len(of):
-        order = np.argsort(of, kind="stable")
-        of = of[order]
+        if room:
+            order = np.argsort(of, kind="stable")
+            of, rows = of[order], np.take(rows, order, axis=0, out=room("sorted", len(rows), rows.shape[1]), mode="clip")
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-        out[of[first]] = np.add.reduceat(np.take(rows, order, axis=0, out=room("sorted", len(rows), rows.shape[1]), mode="clip"), first, axis=0)
+        out[of[first]] = np.add.reduceat(rows, first, axis=0)
     return out
 
 
@@ -275,20 +312,25 @@ def gradients(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids
     z *= np.float32(1 / n)
     g = {"V1": h.T @ z}
     back = np.dot(z, p["V1"].T, out=room("back", n, DIM))
-    on = np.flatnonzero(codes.more[ids])
+    on = _deep_rows(codes, ids)
     some, h2 = ids[on], np.take(h, on, axis=0, out=room("some", len(on), DIM), mode="clip")
-    for level, before, base, digit in ((2, codes.d1, codes.base2, codes.d2), (3, codes.group, codes.base3, codes.d3)):
-        of = before[some]
-        m, z = _deeper(p, h2, level, of, base, room)
-        loss -= float(_softmax(z, digit[some]).sum())
-        z[np.arange(len(some)), digit[some]] -= 1
-        z *= np.float32(1 / n)
-        g[f"V{level}"] = m.T @ z
-        d = np.dot(z, p[f"V{level}"].T, out=room("d", len(some), HIDDEN))
+    spans, deep = _spans(codes, codes.d1[some]), np.zeros_like(h2)
+    for level, before, digit in ((2, codes.d1[some], codes.d2[some]), (3, codes.group[some], codes.d3[some])):
+        m, v = _mixed(p, h2, level, before, room), p[f"V{level}"]
+        d, g[f"V{level}"] = room("d", len(some), HIDDEN), np.zeros_like(v)
+        for span in spans:
+            at, w, _ = span
+            z = _narrow(p, m, level, before, span, room)
+            loss -= float(_softmax(z, digit[at]).sum())
+            z[np.arange(len(z)), digit[at]] -= 1
+            z *= np.float32(1 / n)
+            g[f"V{level}"][:, :w] += m[at].T @ z
+            np.dot(z, v[:, :w].T, out=d[at])
         d *= m > 0
         g[f"W{level}"] = h2.T @ d
-        g[f"A{level}"] = _summed(of, d, p[f"A{level}"].shape, room)
-        back[on] += np.dot(d, p[f"W{level}"].T, out=room("t", len(some), DIM))
+        g[f"A{level}"] = _summed(before, d, p[f"A{level}"].shape)
+        deep += np.dot(d, p[f"W{level}"].T, out=room("t", len(some), DIM))
+    back[on] += deep
     back *= h > 0
     g["b"] = back.sum(axis=0)
     g["E"] = np.stack([_summed(x, back, p["E"].shape[1:], room) for x in near])
@@ -296,28 +338,34 @@ def gradients(p: Weights, codes: Codes, line: np.ndarray, place: np.ndarray, ids
 
 
 class Adam:
+    """Steps over all weights in one line, of which p's arrays become parts."""
+
     def __init__(self, p: Weights):
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.v = {k: np.zeros_like(v) for k, v in p.items()}
+        self.line = flat(p)
+        self.m, self.v = np.zeros_like(self.line), np.zeros_like(self.line)
         self.t = 0
+        at = 0
+        for k, x in p.items():
+            p[k] = self.line[at : at + x.size].reshape(x.shape)
+            at += x.size
 
-    def step(self, p: Weights, g: Weights, rate: float) -> None:
+    def step(self, g: Weights, rate: float) -> None:
+        """g: in the order of p."""
         self.t += 1
         a, b = np.float32(rate / (1 - 0.9**self.t)), np.float32(1 / (1 - 0.99**self.t))
-        for k in p:
-            m, v, d = self.m[k], self.v[k], g[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * d
-            v *= np.float32(0.99)
-            d *= d
-            d *= np.float32(0.01)
-            v += d
-            np.multiply(v, b, out=d)
-            np.sqrt(d, out=d)
-            d += np.float32(1e-6)
-            np.divide(m, d, out=d)
-            d *= a
-            p[k] -= d
+        m, v, d = self.m, self.v, flat(g)
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * d
+        v *= np.float32(0.99)
+        d *= d
+        d *= np.float32(0.01)
+        v += d
+        np.multiply(v, b, out=d)
+        np.sqrt(d, out=d)
+        d += np.float32(1e-6)
+        np.divide(m, d, out=d)
+        d *= a
+        self.line -= d
 
 
 def segments(tokens: DataFrame, shards: int, size: int, key: str = "doc_id", length: int = SEGMENT) -> DataFrame:
@@ -373,7 +421,7 @@ def train_shard(p: Weights, codes: Codes, rows: list[tuple], turn: int, rounds:
         for i in range(0, len(keep), batch):
             k = keep[i : i + batch]
             g, _ = gradients(p, codes, line, place[k], ids[k], room)
-            adam.step(p, g, rate * min(1.0, len(k) / batch * 2))
+            adam.step(g, rate * min(1.0, len(k) / batch * 2))
         seen += len(keep)
     return seen
 
@@ -426,8 +474,8 @@ def score(tokens: DataFrame, p: Weights, codes: Codes, key: str = "doc_id") -> D
                 line, place = laid_out(pieces, codes)
                 ids = np.concatenate(pieces)
                 lp = np.empty(len(ids), np.float64)
-                for s in range(0, len(ids), BATCH):
-                    part = slice(s, s + BATCH)
+                for s in range(0, len(ids), SCORED):
+                    part = slice(s, s + SCORED)
                     lp[part] = log_probs(p, codes, line, place[part], ids[part], room)
                 sums = np.add.reduceat(lp, np.cumsum([0, *(len(x) for x in pieces)])[:-1])
                 for i, v in zip(pending, sums, strict=True):

@@ -176,3 +176,23 @@ def test_every_place_trains_once(spark):
     counts = lm.id_counts(tokens, SIZE)
     codes = lm.Codes(counts)
     assert lm.score(tokens, lm.train(tokens, codes, 400 * len(text)), codes).first().mean_pll > math.log(0.5)
+
+
+def test_frequent_classes_take_only_their_own_columns(monkeypatch):
+    """Over the columns of the largest class, most of a batch's logits would be those of no value."""
+    counts = (1e7 / np.arange(1, 20_001) ** 1.2).astype(np.int64) + 1
+    codes = lm.Codes(counts)
+    p = {k: v.astype(np.float32) for k, v in noisy(codes).items()}
+    ids = np.random.default_rng(6).choice(len(counts), 3000, p=counts / counts.sum()).astype(np.uint16)
+    ids[:3] = 19_999, 10_000, 3_000  # of the last classes
+    made, softmax = [], lm._softmax
+    monkeypatch.setattr(lm, "_softmax", lambda z, d: made.append(z.size) or softmax(z, d))
+    line, place = lm.laid_out([ids], codes)
+    got = lm.log_probs(p, codes, line, place, ids)
+    deep = np.count_nonzero(codes.more[ids])
+    assert sum(made) - lm.OUTPUTS * len(ids) < 1.2 * deep * codes.values  # of twice as many
+    for i in (0, 1, 2, *range(3, 3000, 100)):
+        assert got[i] == pytest.approx(naive_log_prob(p, codes, ids, i), abs=1e-3)
+    made.clear()
+    lm.gradients(p, codes, line, place, ids)
+    assert sum(made) - lm.OUTPUTS * len(ids) < 1.2 * deep * codes.values
